@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing
+from tessera.llm import decontaminate, mixing, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op2_suffix_automaton": decontaminate.op2_suffix_automaton,
+        "op4_pivot_simhash": simhash_dedup.op4_pivot_simhash,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pareto_mixing": mixing.ORACLE}
+    return {"op2_suffix_automaton": decontaminate.ORACLE, "op9_pareto_mixing": mixing.ORACLE}
