@@ -255,6 +255,26 @@ def remove(docs: DataFrame, items: DataFrame, n: int = N, longest: int = N, cove
     return found.mapInArrow(per_batch(make), f"doc_id {dict(found.dtypes)['doc_id']}, text string")
 
 
+def clean(docs: DataFrame, items: DataFrame, n: int = N, coverage: int = 20) -> DataFrame:
+    """The rows of docs that aren't contaminated, with docs' own columns; one shard of items after the other judges the text, on all hits."""
+    automata = list(_automata(items, n))
+    held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata]
+    at = docs.columns.index("text")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for text in batch.column(at).cast(pa.binary()).to_pylist():
+                ws = words_of(text)
+                n_hit = sum(b - a for a, b in united([s for h in held for s in h.value.match(ws)[0]]))
+                keep.append(not (n_hit and coverage * n_hit >= len(ws)))
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        return one
+
+    return docs.mapInArrow(per_batch(make), docs.schema)
+
+
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = find(docs, items).withColumn("n_hit", hits("spans"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, simhash_dedup
+from tessera.llm import decontaminate, mixing, pii, quality, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_automaton": decontaminate.op2_suffix_automaton,
         "op4_pivot_simhash": simhash_dedup.op4_pivot_simhash,
+        "op5_random_indexing": quality.op5_random_indexing,
+        "op8_char_bilstm_crf": pii.op8_char_bilstm_crf,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "pipeline": corpus_pipeline.run,
     }
