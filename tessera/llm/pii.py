@@ -303,7 +303,7 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int
         begin = end = -1
         stretches = []
         for m in TRIGGER.finditer(text):
-            if m.start() - 32 > end:
+            if end < 0 or m.start() - 32 > end:
                 if end >= 0:
                     stretches.append((begin, end))
                 begin = max(0, m.start() - 32)
