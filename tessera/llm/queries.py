@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, pii, quality, simhash_dedup
+from tessera.llm import chat, decontaminate, fingerprints, mixing, pii, quality, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_automaton": decontaminate.op2_suffix_automaton,
         "op4_pivot_simhash": simhash_dedup.op4_pivot_simhash,
         "op5_random_indexing": quality.op5_random_indexing,
+        "op7_budgeted_windows": chat.op7_budgeted_windows,
         "op8_char_bilstm_crf": pii.op8_char_bilstm_crf,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
+        "op10_simhash_fingerprints": fingerprints.op10_simhash_fingerprints,
         "pipeline": corpus_pipeline.run,
     }
 
