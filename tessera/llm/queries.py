@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, fingerprints, mixing, pii, quality, simhash_dedup
+from tessera.llm import chat, decontaminate, fingerprints, licenses, mixing, pii, quality, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op1_minhash_licenses": licenses.op1_minhash_licenses,
         "op2_suffix_automaton": decontaminate.op2_suffix_automaton,
         "op4_pivot_simhash": simhash_dedup.op4_pivot_simhash,
         "op5_random_indexing": quality.op5_random_indexing,
