@@ -1,9 +1,22 @@
-"""Registered queries: name -> (plan, DuckDB SQL)."""
+"""Registered queries: name -> plan, name -> DuckDB SQL."""
+
+from __future__ import annotations
+
+from tessera.plans import relational, scalar, vectors
+from tessera.plans.dialect import DUCK, plan
+
+BOTH = relational.QUERIES | scalar.QUERIES | vectors.QUERIES
+
+
+def _duck(sql: str) -> str:
+    return sql.replace(" AS STRING)", " AS VARCHAR)")
 
 
 def queries():
-    return {}
+    from tessera.streaming import folds
+
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | folds.PLANS
 
 
 def oracle_sql():
-    return {}
+    return {name: _duck(q(DUCK)) for name, q in BOTH.items()}
