@@ -1 +1,82 @@
+"""Vector retrieval, feedback votes and rank fusion, over the embeddings table.
+
+Queries are a stated set (every fiftieth vector) against all rows. Only the query side, whose size is that of the set, is
+small; the engine decides whether to broadcast it.
+"""
+
+from __future__ import annotations
+
 QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def pairs(d, every: int = 50, policy: str = "d <= 2") -> str:
+    return f"""(SELECT q, id, qlabel, label, d, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rn FROM (SELECT a.vec_id AS q, a.label AS qlabel, b.vec_id AS id, b.label, round({d.cosine('a.embedding', 'b.embedding')}, 9) AS d
+      FROM (SELECT * FROM embeddings WHERE vec_id % {every} = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id) p WHERE {policy})"""
+
+
+@query
+def semantic_topk(d):
+    """The nearest five within the cutoff, finite distances only."""
+    return f"SELECT q, id, round(d, 6) AS distance, CAST(rn AS BIGINT) AS rn FROM {pairs(d, policy='d >= 0 AND d <= 0.75')} r WHERE rn <= 5"
+
+
+@query
+def j2_knn_valid(d):
+    """Neighbours with valid current labels."""
+    return f"SELECT q, id, label FROM {pairs(d, policy='label IS NOT NULL AND id % 7 <> 0')} r WHERE rn <= 3"
+
+
+def votes(d) -> str:
+    return f"(SELECT q, qlabel, label, CAST(sum(CAST(round((1 - d) * 1000000) AS BIGINT)) AS BIGINT) AS w, count(*) AS n FROM {pairs(d)} r WHERE rn <= 15 GROUP BY q, qlabel, label)"
+
+
+@query
+def knn_vote(d):
+    """Weights 1 - d, support and share thresholds, ties by label; abstains below them."""
+    return f"""SELECT q, CASE WHEN n >= 2 AND share >= 0.2 AND w - runner >= 1 THEN label END AS vote, n AS support, round(share, 6) AS share FROM
+      (SELECT q, label, n, w, CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY q) AS share, coalesce(lead(w) OVER (PARTITION BY q ORDER BY w DESC, label), 0) AS runner, row_number() OVER (PARTITION BY q ORDER BY w DESC, label) AS place FROM {votes(d)} v) x WHERE place = 1"""
+
+
+@query
+def correction_match(d):
+    """Near, or of the same sender and not too far."""
+    return f"SELECT q, {d.argmin('id', 'd * 1000000 + id / 1000000.0')} AS id FROM {pairs(d, policy='d <= 0.70 OR (label = qlabel AND d <= 0.80)')} r GROUP BY q"
+
+
+@query
+def precedent_gate(d):
+    """The nearest three, if there are three."""
+    return f"SELECT q, count(DISTINCT id) >= 3 AS gated, {d.listed('CAST(id AS STRING)')} AS ids FROM {pairs(d, policy='d <= 0.78')} r WHERE rn <= 3 GROUP BY q"
+
+
+@query
+def j8_all_neighbours(d):
+    """J8"""
+    return f"SELECT q, id, CAST(rn AS BIGINT) AS rn FROM {pairs(d, every=100)} r WHERE rn <= 15"
+
+
+@query
+def policy_grid_best(d):
+    """The policy with the most right votes, then the larger coverage, then the smaller distance."""
+    return f"""SELECT CAST(maxd AS DOUBLE) AS maxd, k, hits, covered FROM (SELECT maxd, k, CAST(count_if(vote = qlabel) AS BIGINT) AS hits, count(vote) AS covered FROM
+      (SELECT maxd, k, q, qlabel, {d.argmax('label', 'n * 1000 - label')} AS vote FROM (SELECT g.maxd, h.k, r.q, r.qlabel, r.label, count(*) AS n FROM {pairs(d)} r JOIN (VALUES (0.7), (0.8), (0.9)) AS g(maxd) ON r.d <= g.maxd JOIN (VALUES (5), (15)) AS h(k) ON r.rn <= h.k
+      GROUP BY g.maxd, h.k, r.q, r.qlabel, r.label) c GROUP BY maxd, k, q, qlabel) s GROUP BY maxd, k) t ORDER BY hits DESC, covered DESC, maxd, k LIMIT 1"""
+
+
+@query
+def hybrid_rank(d):
+    """reciprocal ranks of both sides, fused; ties by lexical rank, semantic rank, id."""
+    return f"""SELECT id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, lex NULLS LAST, sem NULLS LAST, id) AS BIGINT) AS place FROM (SELECT coalesce(l.doc_id, s.id) AS id, l.lex, s.sem,
+      coalesce(CAST(2 AS DOUBLE) / (20 + l.lex), 0) + coalesce(greatest(CAST(0 AS DOUBLE), 1 - s.d) / (20 + s.sem), 0) AS score FROM
+      (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS lex FROM documents WHERE {d.has('lower(text)', "'that'")}) l FULL OUTER JOIN (SELECT id, d, rn AS sem FROM {pairs(d, every=1000000)} r WHERE rn <= 100) s ON s.id = l.doc_id WHERE coalesce(l.lex, 1) <= 200) f"""
+
+
+@query
+def a20_vector_upsert(d):
+    """Keyed by hash, the latest stands."""
+    return f"SELECT {d.sha(f"concat('mail', chr(31), CAST(vec_id % 400 AS STRING))")} AS vector_key, max(vec_id) AS vec_id, count(*) AS versions FROM embeddings GROUP BY 1"

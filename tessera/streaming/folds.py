@@ -1 +1,127 @@
-PLANS = {}
+"""Stateful operators: the same per-key folds run on a table and in a stream.
+
+A fold is a plain function of one key's rows in order. ``batch`` runs it with applyInPandas, ``stream`` in
+foreachBatch micro-batches over the rows that are new, so both give the same result.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COOLDOWN_S = 6 * 3600
+MOST_ATTEMPTS = 4
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def per_key(df: DataFrame, key: str, order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return df.groupBy(key).applyInPandas(lambda rows: fold(rows.sort_values(order)), schema)
+
+
+def accepted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Greedy acceptance: a row passes if the last that passed is a cooldown away."""
+    at = rows.ts.astype("int64").to_numpy() // 10**9 if rows.ts.dtype == "datetime64[ns]" else rows.ts.astype("datetime64[us]").astype("int64").to_numpy() // 10**6
+    ok, last = np.zeros(len(at), bool), -(10**18)
+    for k, t in enumerate(at.tolist()):
+        if t - last >= COOLDOWN_S:
+            ok[k], last = True, t
+    return pd.DataFrame({"user_id": rows.user_id, "event_id": rows.event_id, "accepted": ok})
+
+
+def cooldown_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9"""
+    return per_key(_events(spark, sf_dir).select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], accepted, "user_id long, event_id long, accepted boolean")
+
+
+def dead_letters(rows: pd.DataFrame) -> pd.DataFrame:
+    """Failures raise the attempt, anything else clears it; a key is dead after MOST_ATTEMPTS failures in a row."""
+    attempt, dead, retry = 0, False, 0
+    for kind in rows.event_type:
+        attempt = attempt + 1 if kind == "error" else 0
+        dead = dead or attempt >= MOST_ATTEMPTS
+        retry = 0 if not attempt else min(300, 5 * 2 ** min(attempt - 1, 6))
+    return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "attempt": [attempt], "status": ["dead" if dead else "retry" if attempt else "queued"], "backoff": [retry]})
+
+
+def m4_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4, M8"""
+    return per_key(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), "user_id", ["event_id"], dead_letters, "user_id long, attempt long, status string, backoff long")
+
+
+def streamed(spark: SparkSession, source: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run a stream to its end, each micro-batch written once by its number; the table that results."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    run = source.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    kind = spark.read.parquet(path).schema
+    return spark.readStream.schema(kind).parquet(path)
+
+
+def a1_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after the cursor (the checkpoint), deduplicated by id within the watermark."""
+    events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    return streamed(spark, events.select("event_id", "user_id", "event_type"), lambda b: b, "feed")
+
+
+def m1_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each micro-batch scores its new rows with the functions that the batch side uses."""
+    step = lambda b: b.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("value").cast("long")).alias("tokens"))
+    return streamed(spark, _stream(spark, sf_dir), step, "cycle").groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+def d25_bootstrap(spark: SparkSession, sf_dir: str, replicates: int = 200) -> DataFrame:
+    """Whole groups (sources) drawn with replacement; from each replicate the accuracy, from all the 2.5 and 97.5 percentiles."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    groups = docs.join(labels, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("n_chars") > 900).cast("int") == F.col("quality")).alias("hits"))
+    draws = groups.crossJoin(spark.range(replicates).withColumnRenamed("id", "replicate"))
+    # the multinomial counts of a bootstrap, as independent Poisson(1) draws by hash
+    u = (F.pmod(F.xxhash64("source", "replicate"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    times = sum((u > p).cast("int") for p in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634))
+    by = draws.withColumn("times", times).groupBy("replicate").agg((F.sum(F.col("hits") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("accuracy"))
+    return by.agg(F.round(F.percentile("accuracy", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("accuracy", F.lit(0.975)), 6).alias("high"), F.count("accuracy").alias("replicates"))
+
+
+def fit_nonnegative(x: np.ndarray, y: np.ndarray, steps: int = 4000, rate: float = 0.5, penalty: float = 0.05) -> tuple[np.ndarray, float]:
+    """Logistic regression with weights of zero or more, by projected gradient steps."""
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(steps):
+        g = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = np.maximum(0, w - rate * (x.T @ g / len(y) + penalty * w)), b - rate * g.mean()
+    return w, b
+
+
+def l7_fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of four text signals, and again without each. The table is aggregated to its distinct signal rows (16 at most) first."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    signals = {"shouting": F.col("text").rlike("!!"), "long": F.col("n_chars") > 900, "digits": F.col("text").rlike("[0-9]{6}"), "bars": F.col("text").contains(" | ")}
+    rows = docs.join(labels, "doc_id").select(*(c.cast("int").alias(k) for k, c in signals.items()), "quality").groupBy(*signals, "quality").count().collect()
+    names = list(signals)
+    x = np.repeat([[r[k] for k in names] for r in rows], [r["count"] for r in rows], axis=0).astype(float)
+    y = np.repeat([1 - r["quality"] for r in rows], [r["count"] for r in rows]).astype(float)
+    out = []
+    for without in (None, *names):
+        use = [k for k in names if k != without]
+        w, b = fit_nonnegative(x[:, [names.index(k) for k in use]], y, 1500)
+        out += [(without or "none", k, round(float(v), 6)) for k, v in zip((*use, "bias"), (*w, b), strict=True)]
+    return spark.createDataFrame(out, "without string, signal string, weight double")
+
+
+PLANS = {f.__name__: f for f in (cooldown_accept, m4_dead_letters, a1_change_feed, m1_micro_batches, d25_bootstrap, l7_fit_weights)}
