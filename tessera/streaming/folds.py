@@ -72,7 +72,7 @@ def streamed(spark: SparkSession, source: DataFrame, step: Callable[[DataFrame],
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     kind = spark.read.parquet(path).schema
-    return spark.readStream.schema(kind).parquet(path)
+    return spark.readStream.schema(kind).parquet(f"{sf_dir}/events*.parquet")  # a pattern takes a file as well as a folder of files
 
 
 def a1_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
