@@ -340,8 +340,11 @@ def edges_clear(text: str, a: int, b: int) -> bool:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
     """From at most ``sample`` documents with a digit or an @, by the smallest hash of their texts; of each the first 20,000 characters."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.substring("text", 1, 20_000).alias("text")).distinct().orderBy("h").limit(sample)
-    x, y = examples([r.text for r in sorted(some.collect(), key=lambda r: (r.h, r.text))])
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.substring("text", 1, 20_000).alias("text"))
+    # hashes first: a task sends the driver no texts that are not among the sample
+    chosen = [r.h for r in some.select("h").distinct().orderBy("h").limit(sample).collect()]
+    texts = {r.h: r.text for r in some.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).collect()} if chosen else {}
+    x, y = examples([texts[h] for h in chosen])
     return Tagger().train(x, y)
 
 
