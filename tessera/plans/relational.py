@@ -587,7 +587,7 @@ def n7_purge(d):
 @query
 def n9_candidate_counters(d):
     """N9"""
-    return "SELECT CAST(count_if(fresh AND ok) AS BIGINT) AS created, CAST(count_if(ok) AS BIGINT) AS accepted, CAST(count_if(NOT ok) AS BIGINT) AS rejected FROM (SELECT row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) = 1 AS fresh, l_quantity >= 5 AS ok FROM lineitem) x"
+    return "SELECT CAST(count_if(fresh AND ok) AS BIGINT) AS created, CAST(count_if(ok) AS BIGINT) AS accepted, CAST(count_if(NOT ok) AS BIGINT) AS rejected FROM (SELECT row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_extendedprice) = 1 AS fresh, l_quantity >= 5 AS ok FROM lineitem) x"
 
 
 @query
