@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, fingerprints, licenses, mixing, pii, quality, simhash_dedup
+from tessera.llm import chat, decontaminate, fingerprints, licenses, mixing, passages, pii, quality, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_licenses": licenses.op1_minhash_licenses,
         "op2_suffix_automaton": decontaminate.op2_suffix_automaton,
+        "op3_collinear_chains": passages.op3_collinear_chains,
         "op4_pivot_simhash": simhash_dedup.op4_pivot_simhash,
         "op5_random_indexing": quality.op5_random_indexing,
         "op7_budgeted_windows": chat.op7_budgeted_windows,
