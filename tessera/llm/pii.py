@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm.base import per_batch, table
 
@@ -406,7 +407,7 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
         return one
 
-    out = found.mapInArrow(per_batch(make), docs.schema.add("__new", "string"))
+    out = found.mapInArrow(per_batch(make), StructType([*docs.schema.fields, StructField("__new", StringType())]))
     changed = F.col("__new").isNotNull()
     own = {"text": F.coalesce("__new", "text"), "n_chars": F.when(changed, F.char_length("__new").cast("long")).otherwise(F.col("n_chars") if "n_chars" in names else F.lit(None))}
     return out.select(*(own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col(f"`{c}`") for c in names))
