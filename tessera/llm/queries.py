@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, fingerprints, licenses, mixing, passages, pii, quality, simhash_dedup
+from tessera.llm import chat, decontaminate, fingerprints, licenses, mixing, passages, pii, quality, simhash_dedup, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_collinear_chains": passages.op3_collinear_chains,
         "op4_pivot_simhash": simhash_dedup.op4_pivot_simhash,
         "op5_random_indexing": quality.op5_random_indexing,
+        "op6_induced_sorting": substrings.op6_induced_sorting,
         "op7_budgeted_windows": chat.op7_budgeted_windows,
         "op8_char_bilstm_crf": pii.op8_char_bilstm_crf,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
