@@ -29,20 +29,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import table, written
+from tessera.llm.base import table
 from tessera.llm.licenses import sliding_min
 
 LENGTH, GRAM = 50, 25
 WINDOW = LENGTH - GRAM + 1
 GROUP = 8 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 HELD = 16 << 20
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
+ANCHOR = np.uint64((1 << 48) - 1)
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -125,13 +127,16 @@ def census(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if not len(anchor):
             continue
         own = keys[np.searchsorted(ends, start, "right")]
+        anchor = anchor & ANCHOR  # six bytes: a chance meeting only adds a candidate
         order = np.lexsort((own, anchor))
         anchor, own = anchor[order], own[order]
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])))
         anchor, own = anchor[new], own[new]
         lead = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         several = np.diff(np.concatenate((np.flatnonzero(lead), [len(anchor)])))[np.cumsum(lead) - 1] > 1
-        yield from addressed(0, anchor[lead] % np.uint64(groups), (anchor[lead], own[lead], several[lead]))
+        first = np.flatnonzero(lead)
+        first = first[np.argsort(own[first], kind="stable")]  # by document, so that the keys shrink to nothing
+        yield from addressed(0, anchor[first] % np.uint64(groups), (anchor[first].astype(np.uint32), (anchor[first] >> np.uint64(32)).astype(np.uint16), own[first], several[first]))
         yield from addressed(1, own[several] % groups, (pair(own[several], anchor[several]),))
 
 
@@ -151,15 +156,19 @@ def as_table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
 
 
 def shared(groups: int, rows: pa.Table) -> pa.Table:
-    """The anchors of a shard that several documents have, told to those that said so."""
-    parts = [opened(b, np.uint64, np.int64, np.bool_) for b in rows.column("blob").to_pylist()]
-    anchor, own, several = together(parts, 3)
+    """The anchors of a shard that several documents have, told to those that said so; rows of kind 1 pass."""
+    told = pa.compute.equal(rows.column("kind"), 1)
+    passed, rows = rows.filter(told).select(["kind", "to", "blob"]), rows.filter(pa.compute.invert(told))
+    if not rows.num_rows:
+        return passed
+    low, high, own, several = together([opened(b, np.uint32, np.uint16, np.int64, np.bool_) for b in rows.column("blob").to_pylist()], 4)
+    anchor = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
     order = np.argsort(anchor, kind="stable")
     anchor, own, several = anchor[order], own[order], several[order]
     lead = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     size = np.diff(np.concatenate((lead, [len(anchor)])))
     yes = np.repeat((size > 1) | np.logical_or.reduceat(several, lead), size)
-    return as_table(addressed(1, own[yes] % groups, (pair(own[yes], anchor[yes]),)))
+    return pa.concat_tables([passed, as_table(addressed(1, own[yes] % groups, (pair(own[yes], anchor[yes]),)))])
 
 
 def cut(groups: int, docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -173,6 +182,7 @@ def cut(groups: int, docs: pa.Table, told: pa.Table) -> pa.Table:
     if not len(anchor):
         return as_table(iter(()))
     at = np.searchsorted(ends, first, "right")
+    anchor = anchor & ANCHOR
     mine = pair(key[at], anchor)
     yes = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
     anchor, first, last, at = anchor[yes], first[yes], last[yes], at[yes]
@@ -307,7 +317,11 @@ def neighbours_equal(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def sorted_shard(groups: int, rows: pa.Table) -> pa.Table:
-    """The stretches of a shard to the spans that a smaller document has too."""
+    """The stretches of a shard to the spans that a smaller document has too; rows of kind 1 pass."""
+    told = pa.compute.equal(rows.column("kind"), 1)
+    passed, rows = rows.filter(told).select(["kind", "to", "blob"]), rows.filter(pa.compute.invert(told))
+    if not rows.num_rows:
+        return passed
     parts = [opened(b, np.int64, np.int64, np.int64, np.int64, np.uint8) for b in rows.column("blob").to_pylist()]
     doc, key, offset, size, data = together(parts, 5)
     starts = np.cumsum(size) - size
@@ -339,7 +353,7 @@ def sorted_shard(groups: int, rows: pa.Table) -> pa.Table:
             gone_at += (firsts + offset[k]).tolist()
             gone_n += (lasts - firsts + LENGTH).tolist()
     spans = [np.array(v, np.int64) for v in (gone_key, gone_at, gone_n)]
-    return as_table(addressed(1, spans[0] % groups, tuple(spans)))
+    return pa.concat_tables([passed, as_table(addressed(1, spans[0] % groups, tuple(spans)))])
 
 
 def removed(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -388,10 +402,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     source = source.withColumn("key", F.xxhash64("doc", "text"))
     blobs = "kind int, to long, blob binary"
     by_group = source.withColumn("to", F.pmod("key", F.lit(groups))).groupBy("to")
-    said, _ = written(source.select("key", "text").mapInArrow(partial(census, groups), blobs), "census")
-    told = said.where("kind = 0").groupBy("to").applyInArrow(on_group(shared, groups), blobs).unionByName(said.where("kind = 1"))
-    pieces, _ = written(by_group.cogroup(told.groupBy("to")).applyInArrow(on_both(cut, groups), blobs), "stretches")
-    spans = pieces.where("kind = 0").groupBy("to").applyInArrow(on_group(sorted_shard, groups), blobs).unionByName(pieces.where("kind = 1"))
+    # one query: the shuffle of the documents serves both cogroups
+    told = source.select("key", "text").mapInArrow(partial(census, groups), blobs).groupBy("to").applyInArrow(on_group(shared, groups), blobs)
+    pieces = by_group.cogroup(told.groupBy("to")).applyInArrow(on_both(cut, groups), blobs)
+    spans = pieces.groupBy("to").applyInArrow(on_group(sorted_shard, groups), blobs)
     return by_group.cogroup(spans.groupBy("to")).applyInArrow(on_both(removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
