@@ -92,7 +92,8 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray,
         h = gram_hashes(part)
         least = sliding_min((h & ~_POS) | np.arange(len(h), dtype=np.uint64), WINDOW)
         starts = np.arange(len(least), dtype=np.int64) + at
-        whole = starts + LENGTH <= ends[np.searchsorted(ends, starts, "right")]
+        near = ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(starts)) + 1]
+        whole = starts + LENGTH <= np.repeat(near, np.diff(np.concatenate(([at], near))))[: len(starts)]
         starts, where = starts[whole], (least[whole] & _POS).astype(np.int64)
         if not len(starts):
             continue
@@ -270,8 +271,18 @@ def suffix_order(text: np.ndarray, held: int = HELD) -> np.ndarray:
     s = np.concatenate((up[np.minimum(decided, n - 1)], [True]))  # the type at the end of a run of equal bytes is the run's
     lms = (np.flatnonzero(s[1:n] & ~s[: n - 1]) + 1).astype(np.int32)
     words = eights(text)
-    for k in range(6, -1, -1):
-        lms = lms[np.argsort(words[lms.astype(np.int64) + 8 * k], kind="stable")]
+    lms, rank = lms[np.argsort(words[lms])], None
+    for k in range(7):  # whatever is told apart is not sorted again
+        w = words[lms.astype(np.int64) + 8 * k]
+        if k:
+            tie = rank[1:] == rank[:-1]
+            some = np.flatnonzero(np.concatenate((tie, [False])) | np.concatenate(([False], tie))) if len(rank) else np.empty(0, np.int64)
+            if not len(some):
+                break
+            turn = np.lexsort((w[some], rank[some]))
+            lms[some], w[some] = lms[some][turn], w[some][turn]
+        new = w[1:] != w[:-1]
+        rank = np.concatenate(([0], np.cumsum(new if rank is None else new | (rank[1:] != rank[:-1])))) if len(lms) else np.empty(0, np.int64)
     text8 = text
     lms_at = np.searchsorted(text8[lms], np.arange(257))
     queues, larger = Queues(held), [np.empty(0, np.int32)] * 256
@@ -342,18 +353,17 @@ def sorted_shard(groups: int, rows: pa.Table) -> pa.Table:
     best = np.empty(len(text), np.int64)
     if len(order):
         best[order] = np.repeat(np.minimum.reduceat(lowest[own[order]], lead), np.diff(np.concatenate((lead, [len(order)]))))
-    gone_key, gone_at, gone_n = [], [], []
-    for k in range(len(doc)):
-        a, n = int(at[number[k]]), int(size[k]) - LENGTH + 1
-        hit = np.flatnonzero(best[a : a + n] < doc[k])
-        if len(hit):
-            cuts = np.flatnonzero(np.diff(hit) > 1)
-            firsts, lasts = hit[np.concatenate(([0], cuts + 1))], hit[np.concatenate((cuts, [len(hit) - 1]))]
-            gone_key += [int(key[k])] * len(firsts)
-            gone_at += (firsts + offset[k]).tolist()
-            gone_n += (lasts - firsts + LENGTH).tolist()
-    spans = [np.array(v, np.int64) for v in (gone_key, gone_at, gone_n)]
-    return pa.concat_tables([passed, as_table(addressed(1, spans[0] % groups, tuple(spans)))])
+    n = size - LENGTH + 1
+    begin = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(of)) - begin[of]
+    hit = best[at[number[of]] + step] < doc[of]
+    edge = np.concatenate((of[1:] != of[:-1], [True]))
+    after = np.concatenate((hit[1:], [False]))
+    firsts = np.flatnonzero(hit & np.concatenate(([True], edge[:-1] | ~hit[:-1])))
+    lasts = np.flatnonzero(hit & (edge | ~after))
+    spans = (key[of[firsts]], offset[of[firsts]] + step[firsts], lasts - firsts + LENGTH)
+    return pa.concat_tables([passed, as_table(addressed(1, spans[0] % groups, spans))])
 
 
 def removed(docs: pa.Table, told: pa.Table) -> pa.Table:
