@@ -8,7 +8,8 @@ are streamed, and only runs as long as the shortest window.
 
 The automata are bounded: items are cut into overlapping pieces of PIECE words (overlap n - 1, so that
 no window is lost) and dealt by hash into shards of about SHARD words; documents pass over each
-shard and the hits are united. One shard is broadcast at a time, its size known beforehand.
+shard and the hits are united. A task holds one shard, in ``clean`` AT_ONCE of them; beyond those, ``clean`` passes
+over the documents again with the next ones.
 
 Defined cases: null text and null items have no words; a null item_id counts as a hit but is not
 listed; equal items are listed each; an item shorter than n is one window; an empty benchmark hits
@@ -20,21 +21,25 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm.base import WORDS, column_bytes, per_batch, table
+from tessera.llm.base import WORDS, column_bytes, per_batch, table, written
 
 N = 13
 SHARD = 100_000
 PIECE = 20_000
+AT_ONCE = 8
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPANS = "array<struct<start:long,end:long>>"
+SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -175,15 +180,18 @@ def pieces_of(items: DataFrame, n: int) -> DataFrame:
     return source.mapInArrow(per_batch(make), "item string, whole boolean, words binary, n long").where("n > 0")
 
 
-def _automata(items: DataFrame, n: int):
-    """One automaton after the other, each of bounded size."""
+def _automata(items: DataFrame, n: int) -> tuple[int, Iterator[Automaton]]:
+    """How many automata there are, and one after the other, each of bounded size."""
     pieces = pieces_of(items, n)
     total = pieces.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    for k in range(shards):
+
+    def built(k: int) -> Automaton:
         own = pieces if shards == 1 else pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(shards)) == k)
         rows = sorted(((r.item, r.whole, bytes(r.words)) for r in own.collect()), key=lambda r: (r[0] is None, r))
-        yield Automaton([(i, w, ws.split()) for i, w, ws in rows], n)
+        return Automaton([(i, w, ws.split()) for i, w, ws in rows], n)
+
+    return shards, map(built, range(shards))
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
@@ -207,7 +215,7 @@ def find(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
         return one
 
-    parts = [source.mapInArrow(per_batch(partial(make, docs.sparkSession.sparkContext.broadcast(a))), schema) for a in _automata(items, n)]
+    parts = [source.mapInArrow(per_batch(partial(make, docs.sparkSession.sparkContext.broadcast(a))), schema) for a in _automata(items, n)[1]]
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -256,23 +264,36 @@ def remove(docs: DataFrame, items: DataFrame, n: int = N, longest: int = N, cove
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N, coverage: int = 20) -> DataFrame:
-    """The rows of docs that aren't contaminated, with docs' own columns; one shard of items after the other judges the text, on all hits."""
-    automata = list(_automata(items, n))
-    held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata]
-    at = docs.columns.index("text")
+    """The rows of docs that aren't contaminated, with docs' own columns; a text is judged on the hits of all shards."""
+    spark, names, kind = docs.sparkSession, docs.columns, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    at, schema = names.index("text"), docs.schema
+    shards, automata = _automata(items, n)
+    own = "__spans" + "_" * max(map(len, names))  # longer than any other name
 
-    def make():
+    def make(held: list, judges: bool):
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for text in batch.column(at).cast(pa.binary()).to_pylist():
+            before = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else repeat(())
+            keep, spans = [], []
+            for text, old in zip(batch.column(at).cast(pa.binary()).to_pylist(), before):
                 ws = words_of(text)
-                n_hit = sum(b - a for a, b in united([s for h in held for s in h.value.match(ws)[0]]))
+                spans.append(united([(s["start"], s["end"]) for s in old] + [s for h in held for s in h.value.match(ws)[0]]))
+                n_hit = sum(b - a for a, b in spans[-1])
                 keep.append(not (n_hit and coverage * n_hit >= len(ws)))
-            return batch.filter(pa.array(keep, pa.bool_()))
+            if judges:
+                return pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(keep, pa.bool_()))
+            found = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], [*names, own])
 
         return one
 
-    return docs.mapInArrow(per_batch(make), docs.schema)
+    for first in range(0, shards, AT_ONCE):
+        held = [spark.sparkContext.broadcast(a) for a in islice(automata, AT_ONCE)]
+        if first + AT_ONCE >= shards:
+            return docs.mapInArrow(per_batch(partial(make, held, True)), schema)
+        docs, _ = written(docs.mapInArrow(per_batch(partial(make, held, False)), StructType([*schema.fields, StructField(own, ArrayType(SPAN))])), "hits")
+        for h in held:
+            h.destroy()
+    raise AssertionError("there is at least one shard")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -82,8 +82,14 @@ def test_decontaminate_shards_and_removal(spark, monkeypatch):
     whole = sorted(decontaminate.digest(docs, items).collect())
     cleaned = decontaminate.remove(docs, items)
     assert decontaminate.digest(cleaned, items).agg({"n_hit": "max"}).first()[0] < 13
+    kept = sorted(r.doc_id for r in decontaminate.clean(docs, items).collect())
+    assert kept == sorted(r.doc_id for r in whole if not r.contaminated)
     monkeypatch.setattr(decontaminate, "SHARD", 150)
     assert sorted(decontaminate.digest(docs, items).collect()) == whole
+    monkeypatch.setattr(decontaminate, "SHARD", 1200)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    again = decontaminate.clean(docs.withColumn("__spans", docs["doc_id"]), items)
+    assert again.columns == [*docs.columns, "__spans"] and sorted(r.doc_id for r in again.collect()) == kept
 
 
 def test_simhash_brute_force(spark):
