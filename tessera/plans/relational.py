@@ -625,3 +625,29 @@ def k12_optimistic_correction(d):
 def k11_subscription_window(d):
     """K11"""
     return f"SELECT o_custkey, last_at FROM {recurring(d)} r WHERE last_at >= {now(d)} - INTERVAL 400 DAY AND {d.days('last_at', now(d))} - 90 <= 45"
+
+
+@query
+def a2_listing_page(d):
+    """A2: the newest hundred messages that are not on the skip list."""
+    return "SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY doc_id DESC LIMIT 100"
+
+
+@query
+def a18_report_lines(d):
+    """The lines of a report table, one a group; the same at every run."""
+    return "SELECT concat('| ', event_type, ' | ', CAST(count(*) AS STRING), ' | ', CAST(count(DISTINCT user_id) AS STRING), ' |') AS line FROM events GROUP BY event_type"
+
+
+@query
+def m13_route_failover(d):
+    """Per message the first route whose cooldown is over, and how many routes were passed over."""
+    return """SELECT event_id, CASE WHEN value < 25 THEN 'fallback' WHEN value < 60 THEN 'second' ELSE 'local' END AS route,
+      CAST(CASE WHEN value < 25 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS BIGINT) AS passed FROM events"""
+
+
+@query
+def o11_redteam_layers(d):
+    """Per family the harm with the layer off and on."""
+    return """SELECT event_type AS family, count(*) AS attacks, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS harm_off, CAST(sum(CASE WHEN value > 50 AND NOT blocked THEN 1 ELSE 0 END) AS BIGINT) AS harm_on FROM
+      (SELECT event_type, value, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = events.user_id AND l.toxic = 1) AS blocked FROM events) x GROUP BY event_type"""

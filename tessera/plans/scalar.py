@@ -56,13 +56,32 @@ def h1_canonical_text(d):
 @query
 def h2_subject(d):
     """H2"""
-    return f"SELECT doc_id, substr(trim({d.sub('substr(text, 1, 400)', chr(92) + 's+', ' ')}), 1, 2000) AS subject FROM documents"
+    return f"SELECT doc_id, substr(trim({d.sub('text', chr(92) + 's+', ' ')}), 1, 2000) AS subject FROM documents"
 
 
 def key(d, s):
     return f"lower(trim({d.sub(d.translate(s, '“”‘’–—', chr(34) * 2 + '``--'), chr(92) + 's+', ' ')}))"
 
 
+@query
+def i18_strict_object(d):
+    """The text is at most 200 characters, a JSON object, and repeats no key (flat objects)."""
+    keys = d.each(d.every("s", r'"[^"]*" *:'), d.sub("x", " *:$"))
+    valid = "try_parse_json(s) IS NOT NULL" if d.name == "spark" else "json_valid(s)"
+    cases = values("id, s", """1, '{"a": 1, "b": 2}'""", """2, '{"a": 1, "a": 2}'""", "3, '[1]'", "4, 'x'", "5, ''", """6, '{"a":'""")
+    return f"""SELECT src, id, coalesce(length(s) BETWEEN 1 AND 200 AND {valid} AND {d.like('s', '^[ ]*[{]')} AND {d.size(d.unique(keys))} = {d.size(keys)}, false) AS accepted FROM
+      (SELECT 'case' AS src, CAST(id AS BIGINT) AS id, s FROM {cases} UNION ALL SELECT 'event', event_id, props FROM events) x"""
+
+
+@query
+def a19_delivery_result(d):
+    """Sent with a message number; retry when throttled or the server failed; unknown without a readable answer; blocked otherwise."""
+    cases = values("id, status, answer", """1, 200, '{"ok": true, "id": 5}'""", """2, 200, '{"ok": true}'""", """3, 429, '{"ok": false, "wait": 30}'""", """4, 503, '{"ok": false}'""", """5, 403, '{"ok": false}'""", "6, 200, NULL")
+    ok, number, wait = d.json("answer", "$.ok"), d.json("answer", "$.id"), d.json("answer", "$.wait")
+    return f"""SELECT id, CASE WHEN answer IS NULL THEN 'unknown' WHEN status = 200 AND {ok} = 'true' THEN CASE WHEN {number} IS NULL THEN 'unknown' ELSE 'sent' END
+      WHEN status = 429 OR status >= 500 THEN 'retry' ELSE 'blocked' END AS result, CASE WHEN status = 429 THEN {d.try_cast(wait, 'DOUBLE')} END AS retry_after FROM {cases}"""
+
+
 @query
 def h3_grounding_key(d):
     """H3"""
@@ -73,7 +92,7 @@ def h3_grounding_key(d):
 def grounded_quotes(d):
     """Benchmark passages found in documents, by normalised containment."""
     return f"""SELECT b.item_id, count(d.doc_id) AS documents FROM (SELECT item_id, {key(d, 'substr(text, 1, 80)')} AS q FROM benchmark) b
-      LEFT JOIN (SELECT doc_id, {key(d, 'text')} AS s FROM documents WHERE lang IN ('es', 'en')) d ON {d.has('d.s', 'b.q')} AND b.q <> '' GROUP BY b.item_id"""
+      LEFT JOIN (SELECT doc_id, {key(d, 'text')} AS s FROM documents) d ON {d.has('d.s', 'b.q')} AND b.q <> '' GROUP BY b.item_id"""
 
 
 @query

@@ -80,3 +80,9 @@ def hybrid_rank(d):
 def a20_vector_upsert(d):
     """Keyed by hash, the latest stands."""
     return f"SELECT {d.sha(f"concat('mail', chr(31), CAST(vec_id % 400 AS STRING))")} AS vector_key, max(vec_id) AS vec_id, count(*) AS versions FROM embeddings GROUP BY 1"
+
+
+@query
+def o1_local_inference(d):
+    """O1: the vote of the neighbours, or the commonest label where they abstain."""
+    return f"SELECT v.q, coalesce(v.vote, p.label) AS label, v.vote IS NULL AS fell_back FROM ({knn_vote(d)}) v CROSS JOIN (SELECT label FROM embeddings WHERE label IS NOT NULL GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) p"

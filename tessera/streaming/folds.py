@@ -59,7 +59,10 @@ def m4_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, source: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Run a stream to its end, each micro-batch written once by its number; the table that results."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = (shared or f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
