@@ -651,3 +651,13 @@ def o11_redteam_layers(d):
     """Per family the harm with the layer off and on."""
     return """SELECT event_type AS family, count(*) AS attacks, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS harm_off, CAST(sum(CASE WHEN value > 50 AND NOT blocked THEN 1 ELSE 0 END) AS BIGINT) AS harm_on FROM
       (SELECT event_type, value, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = events.user_id AND l.toxic = 1) AS blocked FROM events) x GROUP BY event_type"""
+
+
+@query
+def m4_dead_letters(d):
+    """M4, M8: failures in a row raise the attempt, anything else clears it; four in a row at any time are final."""
+    return """SELECT user_id, attempt, CASE WHEN dead THEN 'dead' WHEN attempt > 0 THEN 'retry' ELSE 'queued' END AS status,
+      CASE WHEN attempt > 0 THEN least(300, 5 * CAST(power(2, least(attempt - 1, 6)) AS BIGINT)) ELSE 0 END AS backoff FROM
+      (SELECT user_id, bool_or(in_row = 4) AS dead, CAST(sum(CASE WHEN failed = 1 AND event_id > coalesce(cleared, -1) THEN 1 ELSE 0 END) AS BIGINT) AS attempt FROM
+      (SELECT *, sum(failed) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS in_row, max(CASE WHEN failed = 0 THEN event_id END) OVER (PARTITION BY user_id) AS cleared FROM
+      (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed FROM events) e) w GROUP BY user_id) x"""

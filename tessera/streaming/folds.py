@@ -52,11 +52,6 @@ def dead_letters(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "attempt": [attempt], "status": ["dead" if dead else "retry" if attempt else "queued"], "backoff": [retry]})
 
 
-def m4_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4, M8"""
-    return per_key(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), "user_id", ["event_id"], dead_letters, "user_id long, attempt long, status string, backoff long")
-
-
 def streamed(spark: SparkSession, source: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Run a stream to its end, each micro-batch written once by its number; the table that results."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -127,4 +122,4 @@ def l7_fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "without string, signal string, weight double")
 
 
-PLANS = {f.__name__: f for f in (cooldown_accept, m4_dead_letters, a1_change_feed, m1_micro_batches, d25_bootstrap, l7_fit_weights)}
+PLANS = {f.__name__: f for f in (cooldown_accept, a1_change_feed, m1_micro_batches, d25_bootstrap, l7_fit_weights)}
