@@ -1,0 +1,45 @@
+"""Ledger steps over tables: masked texts, records, one bounded scan step; documents stand for messages, sources for accounts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import money
+from tessera.plans.dialect import SPARK
+from tessera.plans.scalar import redacted
+
+SCAN = 20
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message a document: every text carries a written total of its length."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    body = F.concat(F.lit("Order total: Rs. "), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(".50\n"), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", "source", F.concat(F.col("source"), F.lit(" Orders <a@mail.example.com>")).alias("sender"), F.lit("Receipt").alias("subject"), body.alias("body"), F.lit("2024-01-31").cast("date").alias("received"))
+
+
+def k3_amount_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: amounts as numbered tags, then the masks of H19."""
+    tags = _messages(spark, sf_dir).select("doc_id", money.amount_tags("body").alias("t")).select("doc_id", "t.masked", "t.n")
+    return tags.select("doc_id", F.sha2(F.expr(redacted(SPARK, "masked")), 256).alias("masked"), "n")
+
+
+def k7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2, K4-K7 as one record a message; messages without a total have nulls."""
+    return _messages(spark, sf_dir).select("doc_id", money.money_record("sender", "subject", "body", "received").alias("r")).select("doc_id", "r.*")
+
+
+def scan_step(due: DataFrame, most: int = SCAN) -> DataFrame:
+    """Of each account the newest due messages (the bound is the feature; the rest wait for later steps) get their records and states."""
+    newest = due.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))).where(F.col("k") <= most)
+    read = newest.select("source", "doc_id", money.money_record("sender", "subject", "body", "received").alias("r"))
+    done = F.coalesce("r.gate", F.lit(False)) & F.col("r.kind").isNotNull()
+    return read.select("source", "doc_id", F.when(done, "done").otherwise("not_transaction").alias("status"), F.when(done, F.col("r.amount_minor")).alias("amount_minor"))
+
+
+def k10_scan_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_step(_messages(spark, sf_dir))
+
+
+PLANS = {f.__name__: f for f in (k3_amount_tags, k7_records, k10_scan_step)}

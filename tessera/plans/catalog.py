@@ -13,9 +13,10 @@ def _duck(sql: str) -> str:
 
 
 def queries():
+    from tessera.functions import ledger
     from tessera.streaming import folds
 
-    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | folds.PLANS
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | folds.PLANS | ledger.PLANS
 
 
 def oracle_sql():

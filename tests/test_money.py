@@ -1,0 +1,53 @@
+from datetime import date
+
+from tessera.functions import ledger, money
+
+
+def test_amounts_and_tags():
+    text = "Paid Rs. 1,23,456.5 and 20 usd, not 12.345.678 or $0"
+    assert [(a.minor, a.currency) for a in money.amounts(text)] == [(12345650, "INR"), (2000, "USD")]
+    assert money.tagged(text)[0] == "Paid [AMOUNT_1] and [AMOUNT_2], not 12.345.678 or $0"
+    assert money.tagged("") == ("", [])
+    assert len(money.amounts("$5 " * 50)) == money.MOST
+
+
+def test_total():
+    pick = lambda s: getattr(money.total(s, money.amounts(s)), "minor", None)
+    assert pick("Subtotal $90\nTotal $80\nOrder total $70") == 7000
+    assert pick("You saved $99 | shipping $4, gift $6") == 600
+    assert pick("total: $5\ntotal: $7") == 700
+    assert pick("was $9") is None
+
+
+def test_days():
+    got = date(2024, 11, 10)
+    assert money.written_day("5 Nov", got) == date(2025, 11, 5)
+    assert money.written_day("November 12", got) == date(2024, 11, 12)
+    assert money.written_day("5 Nov, 2026", got) == date(2026, 11, 5)
+    assert money.written_day("2024-13-01", got) is None
+    assert money.written_day("29 Feb", got) is None
+
+
+def test_record():
+    r = money.record("Blue Shop Alerts <a@b.example.com>", "Subscription", "Your plan renews on 5 Nov. You paid $8 per month.", date(2024, 1, 1))
+    assert (r["kind"], r["amount_minor"], r["merchant"], r["renews_on"], r["period"], r["gate"]) == ("subscription", 800, "Blue Shop", "2024-11-05", "monthly", True)
+    assert r["evidence"] == "You paid $8 per month"
+    assert money.record("", "", "", date(2024, 1, 1)) is None
+    assert money.merchant("noreply@shop.example.com") == "Example"
+    assert money.merchant("orders@mail.shop.co.in") == "Shop"
+    assert money.merchant("a@gmail.com") == "Unknown merchant"
+
+
+def test_scan_step_takes_the_newest_due(spark):
+    sf = "/root/testdata/sf0.001"
+    due, step = ledger._messages(spark, sf).collect(), ledger.k10_scan_step(spark, sf).collect()
+    by: dict = {}
+    for r in due:
+        by.setdefault(r.source, []).append(r.doc_id)
+    assert {(r.source, r.doc_id) for r in step} == {(s, i) for s, ids in by.items() for i in sorted(ids)[-ledger.SCAN :]}
+    assert {r.status for r in step} <= {"done", "not_transaction"}
+
+
+def test_records_over_nulls(spark):
+    rows = spark.createDataFrame([(1, "s", None, None, None, date(2024, 1, 1)), (2, "s", "x", "y", "paid $5", date(2024, 1, 1))], "doc_id long, source string, sender string, subject string, body string, received date")
+    assert {(r.doc_id, r.status, r.amount_minor) for r in ledger.scan_step(rows).collect()} == {(1, "not_transaction", None), (2, "done", 500)}
