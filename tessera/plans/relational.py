@@ -661,3 +661,10 @@ def m4_dead_letters(d):
       (SELECT user_id, bool_or(in_row = 4) AS dead, CAST(sum(CASE WHEN failed = 1 AND event_id > coalesce(cleared, -1) THEN 1 ELSE 0 END) AS BIGINT) AS attempt FROM
       (SELECT *, sum(failed) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS in_row, max(CASE WHEN failed = 0 THEN event_id END) OVER (PARTITION BY user_id) AS cleared FROM
       (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed FROM events) e) w GROUP BY user_id) x"""
+
+
+@query
+def m2_lease_claim(d):
+    """M2: a lease ends five minutes after its holder's last event; who asks at the end of the table gets it if it has ended, and what the holder left running is due again."""
+    return """SELECT user_id, until <= now AS granted, CASE WHEN until <= now THEN running ELSE 0 END AS requeued FROM (
+      SELECT user_id, max(ts) + INTERVAL 5 MINUTE AS until, (SELECT max(ts) FROM events) AS now, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS running FROM events GROUP BY user_id) x"""

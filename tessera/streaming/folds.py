@@ -6,8 +6,6 @@ foreachBatch micro-batches over the rows that are new, so both give the same res
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.published import workspace
+
 COOLDOWN_S = 6 * 3600
 MOST_ATTEMPTS = 4
 
@@ -54,10 +54,7 @@ def dead_letters(rows: pd.DataFrame) -> pd.DataFrame:
 
 def streamed(spark: SparkSession, source: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Run a stream to its end, each micro-batch written once by its number; the table that results."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = (shared or f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    root = workspace(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
