@@ -2,7 +2,7 @@
 
 Seeds are five-word shingles, chosen as minimisers of windows of SPAN, so that any SPAN + 4 words that two texts share
 hold a shared seed. Seeds meet by hash; each occurrence is linked to the one in the smallest document (within a batch
-first, so that of a seed that every document has each batch sends one row), which is enough to tell
+first, so that of a seed that every document has each batch sends the occurrences in one document), which is enough to tell
 what repeats and grows with the occurrences, not with their pairs. The links between two documents are chained: in order of
 position a Fenwick tree over the other document's positions gives the best chain to go on from, less a cost for the gap.
 Chains are cut at wide gaps and aligned word by word, by one-byte word hashes that seeds
@@ -101,7 +101,7 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to their rows: one for the document, links inside the batch, one seed row for each hash."""
+    """Documents to their rows: one for the document, links inside the batch, of each hash the seed rows of the smallest document."""
     number = Numbers()
     for batch in batches:
         texts = column_bytes(batch, "text")
@@ -123,7 +123,8 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((pos, rows[of], docs[of], h))
         h, of, pos, around = h[order], of[order], pos[order], around[order]
         lead = np.maximum.accumulate(np.where(np.concatenate(([True], h[1:] != h[:-1])), np.arange(len(h)), 0))
-        yield packed(int((lead == np.arange(len(h))).sum()), around[lead == np.arange(len(h))], **{k: v[lead == np.arange(len(h))] for k, v in {"key": h.view(np.int64), "doc": docs[of], "row": rows[of], "pos": pos}.items()})
+        mine = docs[of] == docs[of][lead]  # links() has the others
+        yield packed(int(mine.sum()), around[mine], **{k: v[mine] for k, v in {"key": h.view(np.int64), "doc": docs[of], "row": rows[of], "pos": pos}.items()})
         yield links(h, docs[of], rows[of], pos, around, lead)
 
 

@@ -251,6 +251,17 @@ def test_passages(spark):
     assert 95 <= got[2].n_repeated <= 122
 
 
+def test_passages_repeated_within_a_document(spark):
+    rng = random.Random(21)
+    fill = lambda n: [word(rng) for _ in range(n)]
+    twice = fill(60)
+    rows = [(1, " ".join(fill(30) + twice + fill(30))), (5, " ".join(fill(40) + twice + fill(70) + twice + fill(40)))]
+    for n in (1, 2):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+        got = {r.doc_id: (r.n_repeated, r.n_passages) for r in passages.repeated(docs).collect()}
+        assert got == {1: (0, 0), 5: (120, 2)}, n
+
+
 def test_passages_catch_exact_repeats(spark):
     docs = [(r.doc_id, decontaminate.words_of(r.text.encode())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: r.n_passages for r in passages.op3_collinear_chains(spark, SF).collect()}
