@@ -3,7 +3,9 @@
 Seeds are five-word shingles, chosen as minimisers of windows of SPAN, so that any SPAN + 4 words that two texts share
 hold a shared seed. Seeds meet by hash; each occurrence is linked to the one in the smallest document (within a batch
 first, so that of a seed that every document has each batch sends the occurrences in one document), which is enough to tell
-what repeats and grows with the occurrences, not with their pairs. The links between two documents are chained: in order of
+what repeats where seeds are rare, and grows with the occurrences, not with their pairs. Seeds that several documents have meet again
+with the 5 and the 20 words before and after them (CONTEXTS), each time linked to the smallest document that has these too, so that
+passages of common phrases find the document that has the passage. The links between two documents are chained: in order of
 position a Fenwick tree over the other document's positions gives the best chain to go on from, less a cost for the gap.
 Chains are cut at wide gaps and aligned word by word, by one-byte word hashes that seeds
 carry for the REACH words before and after them; gaps of unlike length count the words that match at both ends. A passage
@@ -33,7 +35,9 @@ WEIGHT, GAP, WIDE, SHIFT = 8.0, 0.1, 40, 8
 CHUNK = 1_000_000
 LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 26) - 1)
-SEED, LINK, DOC = 0, 1, 2
+SEED, LINK, DOC, NEAR = 0, 1, 2, 3
+#: Words around a seed, as columns of its surroundings, that it must share with a partner, besides the seed itself.
+CONTEXTS = [(REACH - 5, REACH), (REACH, REACH + 5), (0, REACH), (REACH, 2 * REACH)]
 COLUMNS = [("key", pa.int64()), ("kind", pa.int8()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("other", pa.int64()), ("other_row", pa.int64()), ("other_pos", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("around", pa.binary())]
 DDL = "key long, kind byte, doc long, row long, pos long, other long, other_row long, other_pos long, before long, after long, around binary"
 SCHEMA = pa.schema(COLUMNS)
@@ -121,11 +125,49 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(h):
             continue
         order = np.lexsort((pos, rows[of], docs[of], h))
-        h, of, pos, around = h[order], of[order], pos[order], around[order]
-        lead = np.maximum.accumulate(np.where(np.concatenate(([True], h[1:] != h[:-1])), np.arange(len(h)), 0))
-        mine = docs[of] == docs[of][lead]  # links() has the others
-        yield packed(int(mine.sum()), around[mine], **{k: v[mine] for k, v in {"key": h.view(np.int64), "doc": docs[of], "row": rows[of], "pos": pos}.items()})
-        yield links(h, docs[of], rows[of], pos, around, lead)
+        of = of[order]
+        c = {"key": h[order].view(np.int64), "doc": docs[of], "row": rows[of], "pos": pos[order], "around": around[order]}
+        lead = leads(c["key"])
+        mine = c["doc"] == c["doc"][lead]  # links() has the others
+        yield sent(c, np.flatnonzero(mine), SEED, c["key"][mine])
+        yield links(c["key"], c["doc"], c["row"], c["pos"], c["around"], lead)
+        shared = np.zeros(len(lead), bool)
+        shared[lead[~mine]] = True
+        yield from contexts({k: v[shared[lead]] for k, v in c.items()})
+
+
+def leads(key: np.ndarray) -> np.ndarray:
+    """Of each row the first with its key; keys are sorted."""
+    return np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
+
+
+def sent(c: dict[str, np.ndarray], i: np.ndarray, kind: int, key: np.ndarray) -> pa.RecordBatch:
+    return packed(len(i), c["around"][i], key=key, kind=kind, **{k: c[k][i] for k in ("doc", "row", "pos")})
+
+
+def contexts(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of seeds that several documents have, sorted by seed and document: keyed by the seed with each of CONTEXTS that lies
+    within the text, the rows of each key's smallest document; links of the others to it, but those that an earlier key gave."""
+    known = [leads(c["key"])]
+    for n, (a, b) in enumerate(CONTEXTS):
+        at = np.flatnonzero((c["around"][:, a:b] != 0).all(axis=1))
+        if not len(at):
+            continue
+        key = c["key"][at].view(np.uint64) ^ np.uint64((n + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+        for k in range(a, b):
+            key = (key ^ c["around"][at, k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        order = np.lexsort((at, key))
+        at, key = at[order], key[order].view(np.int64)
+        target = np.arange(len(c["key"]))
+        target[at] = at[leads(key)]
+        mine = c["doc"][at] == c["doc"][target[at]]
+        yield sent(c, at[mine], NEAR, key[mine])
+        new = np.ones(len(target), bool)
+        for t in known:
+            new &= target != t
+        yield links(c["key"], c["doc"], c["row"], c["pos"], c["around"], np.where(new, target, np.arange(len(target))))
+        known.append(target)
 
 
 def links(h, docs, rows, pos, around, lead) -> pa.RecordBatch:
@@ -135,25 +177,32 @@ def links(h, docs, rows, pos, around, lead) -> pa.RecordBatch:
     return packed(len(i), key=docs[i] ^ rows[i], kind=LINK, doc=docs[i], row=rows[i], pos=pos[i], other=docs[j], other_row=rows[j], other_pos=pos[j], before=before, after=after)
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: seeds of one hash are linked to the first; the others pass."""
-    lead_row: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        c = unpacked(batch)
-        other = c["kind"] != SEED
-        if other.any():
-            yield batch.filter(pa.array(other))
-        c = {k: v[~other] for k, v in c.items()}
-        if not len(c["key"]):
-            continue
-        if lead_row is not None and lead_row["key"][0] == c["key"][0]:
-            c = {k: np.concatenate((lead_row[k], v)) for k, v in c.items()}
-        key = c["key"]
-        lead = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
-        lead_row = {k: v[lead[-1] : lead[-1] + 1].copy() for k, v in c.items()}
-        found = links(key, c["doc"], c["row"], c["pos"], c["around"], lead)
-        if found.num_rows:
-            yield found
+def meet(kind: int):
+    """Over rows sorted by key: those of the kind with one key are linked to the first; the others pass. Seeds that meet go on by their contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead_row: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            c = unpacked(batch)
+            other = c["kind"] != kind
+            if other.any():
+                yield batch.filter(pa.array(other))
+            c = {k: v[~other] for k, v in c.items()}
+            if not len(c["key"]):
+                continue
+            if lead_row is not None and lead_row["key"][0] == c["key"][0]:
+                c = {k: np.concatenate((lead_row[k], v)) for k, v in c.items()}
+            key = c["key"]
+            lead = leads(key)
+            lead_row = {k: v[lead[-1] : lead[-1] + 1].copy() for k, v in c.items()}
+            found = links(key, c["doc"], c["row"], c["pos"], c["around"], lead)
+            if found.num_rows:
+                yield found
+            if kind == SEED:
+                several = np.bincount(lead, minlength=len(key))[lead] > 1
+                yield from contexts({k: c[k][several] for k in ("key", "doc", "row", "pos", "around")})
+
+    return run
 
 
 class Fenwick:
@@ -301,7 +350,9 @@ def chain_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_repeated, n_passages, passages (first word:end:smallest other doc_id)."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
-    met = source.mapInArrow(read, DDL).repartition("key").sortWithinPartitions("key", "kind", "doc", "row", "pos").mapInArrow(meet, DDL)
+    met = source.mapInArrow(read, DDL)
+    for kind in (SEED, NEAR):
+        met = met.repartition("key").sortWithinPartitions("key", "kind", "doc", "row", "pos").mapInArrow(meet(kind), DDL)
     links_ = met.select("doc", "row", "kind", "pos", "other", "other_row", "other_pos", "before", "after")
     dealt = links_.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("kind").desc())
     return dealt.mapInArrow(chain_up, "doc_id long, n_words long, n_repeated long, n_passages long, passages string")

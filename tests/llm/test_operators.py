@@ -262,6 +262,23 @@ def test_passages_repeated_within_a_document(spark):
         assert got == {1: (0, 0), 5: (120, 2)}, n
 
 
+def test_passages_of_common_phrases(spark):
+    rng = random.Random(22)
+    fill = lambda n: [word(rng) for _ in range(n)]
+    rows, wanted = [], {}
+    for k in range(12):
+        passage = fill(rng.randint(55, 80))
+        for at in range(0, len(passage) - 8, 3):  # every nine words are in a smaller document
+            rows.append((len(rows), " ".join(fill(12) + passage[at : at + 9] + fill(12))))
+        rows.append((1000 + k, " ".join(fill(30) + passage + fill(30))))
+        rows.append((2000 + k, " ".join(fill(25) + passage + fill(35))))
+        wanted[2000 + k] = len(passage)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    got = {r.doc_id: r.n_repeated for r in passages.repeated(docs).collect()}
+    assert {k for k, n in got.items() if n} == set(wanted)
+    assert all(wanted[k] <= got[k] <= wanted[k] + 2 for k in wanted), [(got[k], n) for k, n in wanted.items()]
+
+
 def test_passages_catch_exact_repeats(spark):
     docs = [(r.doc_id, decontaminate.words_of(r.text.encode())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: r.n_passages for r in passages.op3_collinear_chains(spark, SF).collect()}
