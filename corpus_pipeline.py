@@ -1,8 +1,8 @@
 """The corpus pipeline: STAGES in order, each written as Parquet and reread as the next one's documents.
 
 1. quality classifier: documents scored under the threshold go;
-2. SimHash near-dedup: of each component the document with the smallest id stays (rows that repeat
-   that id with the same text are one document);
+2. SimHash near-dedup: of each component one row stays, that with the smallest id (null last), then by hash of the
+   text, then by the other columns; rows of one id go only with their own component;
 3. benchmark decontamination: contaminated documents go, by the rule of the operator;
 4. PII: the spans are replaced by their kinds;
 5. mixing: sizes, targets and the words that the mix takes, one row a document.
@@ -10,8 +10,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixing, pii, quality, simhash_dedup
 from tessera.llm.base import table, written
@@ -22,15 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash_dedup.classes(docs)
-    gone = classes.where("doc_id != component_id or component_id is null").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.head(1):
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    first = again.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))).where("__n = 1").drop("__n")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    return simhash_dedup.firsts(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

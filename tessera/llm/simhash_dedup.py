@@ -59,18 +59,19 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(over).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (64 bits as a signed long)."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, the columns to keep, fp (64 bits as a signed long)."""
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
+    kinds = dict(source.dtypes)
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = np.array([fingerprint(t) for t in column_bytes(batch, "text")], np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got.view(np.int64))], ["doc_id", *keep, "fp"])
 
         return one
 
-    return source.mapInArrow(per_batch(make), f"doc_id {dict(source.dtypes)['doc_id']}, fp long")
+    return source.mapInArrow(per_batch(make), ", ".join([f"{c} {kinds[c]}" for c in ("doc_id", *keep)] + ["fp long"]))
 
 
 def block_masks(blocks: int, bits: int = 64) -> list[np.uint64]:
@@ -227,12 +228,32 @@ def edges(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Data
     return pairs
 
 
+def rooted(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+    """prints (doc_id, fp) -> fp, least (smallest doc_id with it), root of its component."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(edges(distinct.select("fp"), radius, limit))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """One row of each component: the smallest doc_id's (null last), then by hash of the text, then by the other columns."""
+    hashed = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in ("doc_id", "text")]
+    keyed = docs.withColumn("__key", F.concat(*hashed))
+    prints, _ = written(fingerprints(keyed, "__key"), "fingerprints")
+    rows = prints.groupBy("__key", "fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key", "n")).alias("least")
+    stay, _ = written(rows.join(rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(least).select("least.__key", "least.n"), "stay")
+    once = keyed.join(stay.where("n = 1"), "__key", "left_semi").select(*docs.columns)
+    if not stay.where("n > 1").head(1):
+        return once
+    again = keyed.join(stay.where("n > 1"), "__key", "left_semi")
+    return once.unionByName(again.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
+
+
 def classes(docs: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, component_id (smallest doc_id reachable)."""
     prints, _ = written(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(edges(distinct.select("fp"), radius, limit))
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of = rooted(prints, radius, limit)
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(of.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

@@ -314,6 +314,28 @@ def test_pipeline_runs(spark):
         docs = after
 
 
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    texts = [" ".join(word(rng) for _ in range(60)) for _ in range(12)]
+    near = texts[0] + " " + word(rng)
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[3]), (4, texts[3]), (4, texts[4]), (5, near), (5, texts[5]), (None, texts[6]), (None, texts[7]), (None, texts[7]), (None, texts[1]), (6, None), (None, ""), (7, texts[8]), (7, texts[0])]
+    prints = [simhash_dedup.fingerprint((t or "").encode()) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 3:
+                    root[i] = root[j] = min(root[i], root[j])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [min((r for r, at in zip(rows, root, strict=True) if at == c), key=key) for c in set(root)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_suffix_order_sorts(tmp_path):
     from tessera.llm import substrings
 
