@@ -234,7 +234,24 @@ def test_licenses_brute_force():
             k = min(5, len(tw))
             of = lambda x, k=k: [tuple(x[i : i + k]) for i in range(len(x) - k + 1)]
             wanted, n, s = set(of(tw)), len(tw) - k + 1, of(ws)
-            assert (name in got) == any(len(wanted & set(s[i : i + n])) >= 0.8 * len(wanted) for i in range(len(s) - n + 1)), name
+            assert (name in got) == any(len(wanted & set(s[i : i + n])) >= 0.8 * len(wanted) for i in range(max(1, len(s) - n + 1))), name
+
+
+def test_licenses_at_the_ends_of_texts():
+    """Each template whole, without its last or first words, alone and at either end of a text; recall against brute force is whole here."""
+    rng, scanner, missed, n = random.Random(18), licenses.Scanner(), [], 0
+    for name, t in licenses.TEMPLATES:
+        ws = t.split()
+        less = len(licenses.words_of(t.encode())) // 30 + 1 if len(ws) > 8 else 0
+        filler = [word(rng) for _ in range(60)]
+        for cut in {0, less}:
+            own = [ws[: len(ws) - cut], ws[cut:]]
+            texts = [" ".join(x).encode() for o in own for x in (o, filler + o, o + filler, filler + o + filler)]
+            for k, got in enumerate(scanner.scan(texts)):
+                n += 1
+                missed += [] if name in got else [(name, cut, k)]
+    assert not missed and n > 150
+    assert scanner.scan([None, b"", b"mit", " ".join(word(rng) for _ in range(900)).encode()]) == [{}] * 4
 
 
 def test_passages(spark):
