@@ -3,17 +3,18 @@
 Patterns find the base spans, which always stay. The network adds spans that no pattern covers (a
 phone without its plus, an address spelt with (at), a card grouped with dots). It is
 trained at the start from labelled spans: the base spans of a bounded sample of documents, and spans that
-are written in other forms into the texts of that sample, with dates, versions, prices and plain
-numbers as counterexamples. A span of any kind holds a digit, an @ or a spelt (at), so only
-the neighbourhoods of those are decoded: in overlapping windows whose emissions are averaged with weights
-that fall towards the rim, after which one Viterbi path over the whole stretch reconciles them. The log odds of an added
-span against no span must reach ``sure``; it must be plausible for its kind, and clear of the base spans.
+are written in other forms into the texts of that sample, with dates, versions, prices, plain
+numbers and running text as counterexamples. Every character of every text is decoded: in overlapping windows whose
+emissions are averaged with weights that fall towards the rim, after which the best path over the whole text is found.
+That path is cut where it must be outside of any span (see ``cuts``), and its parts are solved on their own: their paths
+joined are the path over the whole. The log odds of an added span against no span must reach ``sure``; it must have the
+digits and marks of its kind, and be clear of the base spans.
 
 Offsets are code points, end exclusive. Kinds: email, ip, card, phone.
 
 Defined cases: null text is empty and has no spans; texts of any length are scanned whole; a sample
 without spans leaves only the written forms to train on; an empty table gives an empty result; rows may
-repeat; other columns are ignored.
+repeat; other columns are kept by ``redact``, whatever their names, and ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm.base import per_batch, table
 
 KINDS = ("email", "ip", "card", "phone")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
-SAMPLE = 300
+#: Training texts, and characters of each that training reads, from a place that the text's hash gives.
+SAMPLE, REACH = 300, 20_000
 
 
 def luhn(digits: str) -> bool:
@@ -75,6 +76,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and inner of each kind
 CHARS, EMBED, HIDDEN, WINDOW = 130, 12, 20, 64
+#: Characters a window when decoding, and from one window to the next.
+LONG, STEP = 256, 192
+CHUNK = 400_000
 _ALLOWED = np.array([[t == 0 or t % 2 == 1 or s in (t, t - 1) for t in range(TAGS)] for s in range(TAGS)])
 
 
@@ -98,15 +102,20 @@ class Tagger:
             self.p |= {f"{d}x": rng.normal(0, EMBED**-0.5, (EMBED, 4 * HIDDEN)), f"{d}h": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN)), f"{d}b": b}
         self.p = {k: q.astype(np.float32) for k, q in self.p.items()}
 
-    def _run(self, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        steps, batch = x.shape[:2]
-        pre = x @ self.p[f"{d}x"] + self.p[f"{d}b"]
-        h, c = np.zeros((batch, HIDDEN), x.dtype), np.zeros((batch, HIDDEN), x.dtype)
-        out, tape = np.empty((steps, batch, HIDDEN), x.dtype), []
+    def _run(self, d: str, pre: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """pre: steps x batch x gates, what the characters give to the gates."""
+        steps, batch = pre.shape[:2]
+        scale = np.array([0.5] * 3 * HIDDEN + [1.0] * HIDDEN, pre.dtype)
+        inner = self.p[f"{d}h"] * scale
+        h, c = np.zeros((batch, HIDDEN), pre.dtype), np.zeros((batch, HIDDEN), pre.dtype)
+        out, tape = np.empty((steps, batch, HIDDEN), pre.dtype), []
         for t in range(steps):
-            z = pre[t] + h @ self.p[f"{d}h"]
-            g = np.tanh(z[:, 3 * HIDDEN :])
-            s = 0.5 * (1 + np.tanh(0.5 * z[:, : 3 * HIDDEN]))
+            z = h @ inner
+            z += pre[t] * scale
+            np.tanh(z, out=z)
+            g, s = z[:, 3 * HIDDEN :], z[:, : 3 * HIDDEN]
+            s *= 0.5
+            s += 0.5
             i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
             before, c = (h, c), f * c + i * g
             tc = np.tanh(c)
@@ -118,9 +127,9 @@ class Tagger:
 
     def emissions(self, x: np.ndarray, keep: bool = False):
         """x: steps x batch of codes -> steps x batch x tags."""
-        e = self.p["embed"][x]
-        f, ft = self._run("f", e, keep)
-        b, bt = self._run("b", e[::-1], keep)
+        e = self.p["embed"][x] if keep else None
+        f, ft = self._run("f", (self.p["embed"] @ self.p["fx"] + self.p["fb"])[x], keep)
+        b, bt = self._run("b", (self.p["embed"] @ self.p["bx"] + self.p["bb"])[x[::-1]], keep)
         h = np.concatenate((f, b[::-1]), axis=2)
         scores = h @ self.p["out"] + self.p["bias"]
         return (scores, (e, h, ft, bt)) if keep else scores
@@ -188,43 +197,99 @@ class Tagger:
         return self
 
     def stretches(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """Emissions of stretches of any length: windows overlap by half and are averaged."""
-        half = WINDOW // 2
-        where = [(k, at) for k, c in enumerate(parts) for at in range(0, max(1, len(c) - half), half)]
-        rim = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)[:, None]
+        """Emissions of texts of any length: windows overlap and are averaged."""
+        where = [(k, at) for k, c in enumerate(parts) for at in range(0, max(1, len(c) - (LONG - STEP)), STEP)]
+        where.sort(key=lambda w: min(LONG, len(parts[w[0]]) - w[1]))
+        rim = (np.minimum(np.arange(LONG), np.arange(LONG)[::-1]) + 1).astype(np.float32)[:, None]
         sums = [np.zeros((len(c), TAGS), np.float32) for c in parts]
         weights = [np.zeros((len(c), 1), np.float32) for c in parts]
         for first in range(0, len(where), 256):
             some = where[first : first + 256]
-            x = np.full((WINDOW, len(some)), CHARS - 1, np.int16)
+            longest = min(LONG, len(parts[some[-1][0]]) - some[-1][1])
+            x = np.full((longest, len(some)), CHARS - 1, np.int16)
             for j, (k, at) in enumerate(some):
-                piece = parts[k][at : at + WINDOW]
+                piece = parts[k][at : at + LONG]
                 x[: len(piece), j] = piece
             got = self.emissions(x)
             for j, (k, at) in enumerate(some):
-                n = min(WINDOW, len(parts[k]) - at)
+                n = min(LONG, len(parts[k]) - at)
                 sums[k][at : at + n] += got[:n, j] * rim[:n]
                 weights[k][at : at + n] += rim[:n]
         return [s / w for s, w in zip(sums, weights, strict=True)]
 
-    def paths(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tag path of each stretch."""
+    def cuts(self, s: np.ndarray) -> np.ndarray:
+        """Positions of a text where the best path is outside for certain. In a run of positions whose emissions favour outside (by
+        more than transitions within spans can make up), let a path be in a span at t. If the span's part in the run ends inside it,
+        leaving it out gains what t's emission does, less the best entry and exit. If it goes on beyond the run, leaving out its part on
+        t's side of the run's end gains the sum there, less what entry, exit and beginning anew after the run can cost."""
+        step, none = np.where(_ALLOWED, self.p["step"], np.nan), self.p["step"][0, 0]
+        within = float(np.nanmax(step[1:, 1:]))
+        enter, leave = float(np.nanmax(step[0, 1:])) - none, float(np.nanmax(step[1:, 0])) - none
+        ends, begins = within - float(np.nanmin(step[1:, 0])), within - float(np.nanmin(step[0, 1::2]))
+        begins += max(0.0, float(np.nanmax(step[2::2] - step[1::2])))  # what follows the new beginning
+        gain = s[:, 0] - s[:, 1:].max(axis=1) - max(0.0, within - none)
+        anew = np.concatenate((np.maximum((s[1:, 2::2] - s[1:, 1::2]).max(axis=1), 0), [0]))
+        good = gain > 0
+        good[:1] = good[-1:] = False  # the ends have transitions of their own
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], good, [False])).astype(np.int8)))
+        out = np.zeros(len(s), bool)
+        sums = np.concatenate(([0.0], np.cumsum(np.where(good, gain, 0), dtype=np.float64)))
+        size = edge[1::2] - edge[::2]
+        at = np.flatnonzero(good)
+        first, last = np.repeat(edge[::2], size), np.repeat(edge[1::2], size)
+        beyond = begins + anew[last - 1]
+        right, left = sums[last] - sums[at], sums[at + 1] - sums[first]
+        out[at] = (gain[at] > enter + leave) & (right > max(enter, ends) + beyond) & (left > ends + np.maximum(leave, beyond))
+        return np.flatnonzero(out)
+
+    def path(self, s: np.ndarray) -> np.ndarray:
+        """The best tag path of one text."""
+        return self.paths([s], [(True, True)])[0]
+
+    def whole_paths(self, scores: list[np.ndarray]) -> list[list[tuple[int, np.ndarray]]]:
+        """Of each text the parts of its best path between cuts, with their places; all else is outside."""
+        parts, ends, where = [], [], []
+        for k, s in enumerate(scores):
+            if not len(s):
+                continue
+            at = np.concatenate(([-1], self.cuts(s), [len(s)]))
+            for i in np.flatnonzero(np.diff(at) > 1).tolist():
+                a, b = int(at[i]) + 1, int(at[i + 1])
+                parts.append(s[a:b])
+                ends.append((a == 0, b == len(s)))
+                where.append((k, a))
+        out: list[list] = [[] for _ in scores]
+        for (k, a), path in zip(where, self.paths(parts, ends), strict=True):
+            if path.any():
+                out[k].append((a, path))
+        return out
+
+    def paths(self, scores: list[np.ndarray], ends: list[tuple[bool, bool]]) -> list[np.ndarray]:
+        """The best tag path of each stretch; ends: whether it begins and ends its text, else outside is next to it."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(scores)
         order = sorted(range(len(scores)), key=lambda k: len(scores[k]))
-        for first in range(0, len(order), 128):
-            some = order[first : first + 128]
+        move = np.where(_ALLOWED, self.p["step"], -1e4).astype(np.float32)
+        begins, first = np.array([self.p["start"], move[0]]), 0
+        while first < len(order):
+            n = 1
+            while first + n < len(order) and n < 4096 and len(scores[order[first + n]]) * (n + 1) <= CHUNK:
+                n += 1
+            some = order[first : first + n]
+            first += n
             longest = len(scores[some[-1]])
-            s = np.zeros((longest, len(some), TAGS), np.float32)
+            s = np.zeros((longest, n, TAGS), np.float32)
             for j, k in enumerate(some):  # right-aligned, so that all paths end together
                 s[longest - len(scores[k]) :, j] = scores[k]
             begin = np.array([longest - len(scores[k]) for k in some])
-            best, back = np.zeros((len(some), TAGS), np.float32), np.zeros((longest, len(some), TAGS), np.int8)
+            start = begins[[0 if ends[k][0] else 1 for k in some]]
+            best, back = np.zeros((n, TAGS), np.float32), np.zeros((longest, n, TAGS), np.int8)
             for t in range(longest):
-                moved = best[:, :, None] + self.p["step"]
+                moved = best[:, :, None] + move
                 back[t] = moved.argmax(axis=1)
-                best = np.where((begin == t)[:, None], self.p["start"], moved.max(axis=1)) + s[t]
+                best = np.where((begin == t)[:, None], start, moved.max(axis=1)) + s[t]
+            best += np.where(np.array([ends[k][1] for k in some])[:, None], 0, move[:, 0])
             tag = best.argmax(axis=1)
-            path = np.empty((longest, len(some)), np.int64)
+            path = np.empty((longest, n), np.int64)
             for t in range(longest - 1, -1, -1):
                 path[t] = tag
                 tag = np.take_along_axis(back[t], tag[:, None], 1)[:, 0]
@@ -274,6 +339,8 @@ def examples(texts: list[str], seed: int = 8, forms: int = 1200) -> tuple[np.nda
         for at in marks[:4]:
             a = max(0, at - int(rng.integers(0, WINDOW - 16)))
             rows.append((text[a : a + WINDOW], [(k, s - a, e - a) for k, s, e in spans]))
+        for a in rng.integers(0, max(1, len(text) - WINDOW), 4).tolist():
+            rows.append((text[a : a + WINDOW], [(k, s - a, e - a) for k, s, e in spans]))
     for _ in range(forms):
         form, kind = written_forms(rng)
         text = plain[rng.integers(0, len(plain))]
@@ -298,39 +365,35 @@ def examples(texts: list[str], seed: int = 8, forms: int = 1200) -> tuple[np.nda
 
 
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]], sure: float = 3.0) -> list[list[tuple[str, int, int]]]:
-    parts: list[np.ndarray] = []
-    where: list[tuple[int, int]] = []
-    for k, text in enumerate(texts):
-        begin = end = -1
-        stretches = []
-        for m in TRIGGER.finditer(text):
-            if end < 0 or m.start() - 32 > end:
-                if end >= 0:
-                    stretches.append((begin, end))
-                begin = max(0, m.start() - 32)
-            end = m.end() + 32
-        if end >= 0:
-            stretches.append((begin, end))
-        for a, b in stretches:
-            parts.append(codes(text[a:b]))
-            where.append((k, a))
-    scores = tagger.stretches(parts)
+    out: list[list[tuple[str, int, int]]] = []
+    first = 0
+    while first < len(texts):  # as many texts at once as CHUNK characters hold
+        last, waiting = first + 1, len(texts[first])
+        while last < len(texts) and waiting + len(texts[last]) <= CHUNK:
+            waiting += len(texts[last])
+            last += 1
+        out += _added(tagger, texts[first:last], base[first:last], sure)
+        first = last
+    return out
+
+
+def _added(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]], sure: float) -> list[list[tuple[str, int, int]]]:
+    scores = tagger.stretches([codes(t) for t in texts])
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (k, at), s, path in zip(where, scores, tagger.paths(scores), strict=True):
-        if not path.any():
-            continue
-        move = tagger.p["step"]
-        firsts = np.flatnonzero(path % 2 == 1)
-        for a in firsts.tolist():
-            t = int(path[a])
-            b = a + 1
-            while b < len(path) and path[b] == t + 1:
-                b += 1
-            span = (KINDS[t // 2], at + a, at + b)
-            own = np.concatenate(([0], path[a:b], [0]))
-            odds = s[np.arange(a, b), own[1:-1]].sum() + move[own[:-1], own[1:]].sum() - s[a:b, 0].sum() - (b - a + 1) * move[0, 0]
-            if odds >= sure and plausible(span[0], texts[k][span[1] : span[2]]) and all(y <= span[1] or x >= span[2] for _, x, y in base[k]) and edges_clear(texts[k], *span[1:]):
-                out[k].append(span)
+    move = tagger.p["step"]
+    for k, parts in enumerate(tagger.whole_paths(scores)):
+        for at, path in parts:
+            s = scores[k][at : at + len(path)]
+            for a in np.flatnonzero(path % 2 == 1).tolist():
+                t = int(path[a])
+                b = a + 1
+                while b < len(path) and path[b] == t + 1:
+                    b += 1
+                span = (KINDS[t // 2], at + a, at + b)
+                own = np.concatenate(([0], path[a:b], [0]))
+                odds = s[np.arange(a, b), own[1:-1]].sum() + move[own[:-1], own[1:]].sum() - s[a:b, 0].sum() - (b - a + 1) * move[0, 0]
+                if odds >= sure and plausible(span[0], texts[k][span[1] : span[2]]) and all(y <= span[1] or x >= span[2] for _, x, y in base[k]) and edges_clear(texts[k], *span[1:]):
+                    out[k].append(span)
     return out
 
 
@@ -339,22 +402,19 @@ def edges_clear(text: str, a: int, b: int) -> bool:
     return not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """From at most ``sample`` documents with a digit or an @, by the smallest hash of their texts; of each the first 20,000 characters."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.substring("text", 1, 20_000).alias("text"))
+def fit(docs: DataFrame, sample: int = SAMPLE, reach: int = REACH) -> Tagger:
+    """From at most ``sample`` documents with a digit or an @, by the smallest hash of their texts, and of each at most ``reach`` characters from a place that the hash gives."""
+    text = F.col("text").cast("string")
+    some = docs.where(text.rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), text.alias("text"))
     # hashes first: a task sends the driver no texts that are not among the sample
     chosen = [r.h for r in some.select("h").distinct().orderBy("h").limit(sample).collect()]
-    texts = {r.h: r.text for r in some.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).collect()} if chosen else {}
+    place = 1 + F.pmod("h", F.greatest(F.lit(1), F.char_length("text") - reach + 1))
+    read = some.where(F.col("h").isin(chosen)).select("h", F.col("text").substr(place.cast("int"), F.lit(reach)).alias("text"))
+    texts = {r.h: r.text for r in read.groupBy("h").agg(F.min("text").alias("text")).collect()} if chosen else {}
     x, y = examples([texts[h] for h in chosen])
     return Tagger().train(x, y)
 
 
-def gated() -> Column:
-    """The text if it can hold a span, else null: the rest needs no Python."""
-    text = F.col("text").cast("string")
-    return F.when(text.rlike(r"[0-9@]|[(\[]at[)\]]"), text)
-
-
 def all_spans(tagger: Tagger, texts: list[str | None]) -> tuple[list, list]:
     some = [t or "" for t in texts]
     base = [base_spans(t) if t else [] for t in some]
@@ -369,7 +429,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, the counts of base spans, base_sha256, spans."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
-    source = docs.select("doc_id", gated().alias("text"))
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -395,21 +455,20 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; n_chars, where there is one, follows."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
     names = docs.columns
-    found = docs.withColumn("__gated", gated())
-    at = len(names)
+    at, new_name = names.index("text"), "__new" + "_" * max(map(len, names))  # longer than any other name
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(at).cast(pa.string()).to_pylist()
             _, spans = all_spans(held.value, texts)
             new = [masked(t, s) if s else None for t, s in zip(texts, spans, strict=True)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, pa.string())], [*names, "__new"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*names, new_name])
 
         return one
 
-    out = found.mapInArrow(per_batch(make), StructType([*docs.schema.fields, StructField("__new", StringType())]))
-    changed = F.col("__new").isNotNull()
-    own = {"text": F.coalesce("__new", "text"), "n_chars": F.when(changed, F.char_length("__new").cast("long")).otherwise(F.col("n_chars") if "n_chars" in names else F.lit(None))}
+    out = docs.mapInArrow(per_batch(make), StructType([*docs.schema.fields, StructField(new_name, StringType())]))
+    changed = F.col(new_name).isNotNull()
+    own = {"text": F.coalesce(new_name, "text"), "n_chars": F.when(changed, F.char_length(new_name).cast("long")).otherwise(F.col("n_chars") if "n_chars" in names else F.lit(None))}
     return out.select(*(own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col(f"`{c}`") for c in names))
 
 

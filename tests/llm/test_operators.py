@@ -178,6 +178,40 @@ def test_tagger_adds_spans_and_redacts(spark):
     assert redacted[1].text == "mail <EMAIL> now, <IP> too" and redacted[1].n_chars == 26 and redacted[4].n_chars == 16 and redacted[3].text is None
 
 
+def test_paths_in_parts_are_the_whole_path():
+    """The cut search against one search over the whole text, for random transitions and emissions."""
+    rng = np.random.default_rng(14)
+    tagger = pii.Tagger()
+    for k in range(120):
+        tagger.p["step"] = np.where(pii._ALLOWED, rng.normal(0, 1.5, (pii.TAGS, pii.TAGS)), -1e4).astype(np.float32)
+        tagger.p["start"] = np.where([t == 0 or t % 2 == 1 for t in range(pii.TAGS)], rng.normal(0, 1, pii.TAGS), -1e4).astype(np.float32)
+        s = rng.normal(0, 2, (rng.integers(1, 300), pii.TAGS)).astype(np.float32)
+        s[:, 0] += rng.choice([0, 6, 14], (len(s),), p=[0.1, 0.3, 0.6]) if k % 2 else 4
+        got = np.zeros(len(s), np.int64)
+        for at, path in tagger.whole_paths([s])[0]:
+            got[at : at + len(path)] = path
+        assert (got == tagger.path(s)).all()
+        best, back = tagger.p["start"] + s[0], []
+        for row in s[1:]:  # one state after the other
+            moved = best[:, None] + tagger.p["step"]
+            back.append(moved.argmax(axis=0))
+            best = moved.max(axis=0) + row
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert got.tolist() == path[::-1]
+    assert tagger.whole_paths([np.empty((0, pii.TAGS), np.float32)]) == [[]]
+
+
+def test_personal_data_in_odd_tables(spark, odd, empty):
+    clash = odd.withColumn("__new", odd["key"]).withColumn("__gated", odd["key"])
+    want = {(r.doc_id, r.text) for r in odd.collect()}
+    assert pii.redact(clash).columns == clash.columns
+    assert {(r.doc_id, r.text) for r in pii.redact(clash).collect()} == want
+    for table in (odd, empty):
+        assert pii.find(table).count() == table.count()
+
+
 def test_mixing_reaches_targets(spark):
     rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     by = {}
