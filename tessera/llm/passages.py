@@ -13,7 +13,8 @@ whose aligned words reach SIMILAR of its length stands; runs of united passages
 
 Defined cases: null and empty texts have no words; of equal documents all but the smallest id repeat; rows with one
 doc_id never repeat each other; null doc_ids come last; rows that repeat are reported each; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. Every exact repeat of LEAST words is found in any layout of the table; which of
+several smaller documents is named, and so the rim of a passage with edits, can depend on the layout.
 """
 
 from __future__ import annotations
@@ -35,12 +36,27 @@ WEIGHT, GAP, WIDE, SHIFT = 8.0, 0.1, 40, 8
 CHUNK = 1_000_000
 LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 26) - 1)
-SEED, LINK, DOC, NEAR = 0, 1, 2, 3
+_SIGN = np.uint64(1 << 63)
 #: Words around a seed, as columns of its surroundings, that it must share with a partner, besides the seed itself.
 CONTEXTS = [(REACH - 5, REACH), (REACH, REACH + 5), (0, REACH), (REACH, 2 * REACH)]
-COLUMNS = [("key", pa.int64()), ("kind", pa.int8()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("other", pa.int64()), ("other_row", pa.int64()), ("other_pos", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("around", pa.binary())]
-DDL = "key long, kind byte, doc long, row long, pos long, other long, other_row long, other_pos long, before long, after long, around binary"
-SCHEMA = pa.schema(COLUMNS)
+#: Kinds of rows; NEAR + n are seeds keyed with the n-th context, whose words their surroundings leave out.
+SEED, LINK, DOC, NEAR = 0, 1, 2, 3
+DDL = "key long, kind byte, body binary"
+SCHEMA = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("body", pa.binary())])
+#: Bodies sort as bytes: document (sign bit turned), row, then for DOC and LINK which of the two.
+_OWN = [("doc", ">u8"), ("row", ">u8")]
+_DOC = np.dtype([*_OWN, ("link", "u1"), ("words", ">u4"), ("times", ">u4")])
+_LINK = np.dtype([*_OWN, ("link", "u1"), ("pos", ">u4"), ("other", ">u8"), ("other_row", ">u8"), ("other_pos", ">u4"), ("before", ">u4"), ("after", ">u4")])
+
+
+def _seen(kind: int) -> list[int]:
+    """Columns of the surroundings that rows of a kind carry."""
+    a, b = CONTEXTS[kind - NEAR] if kind >= NEAR else (0, 0)
+    return [k for k in range(2 * REACH) if not a <= k < b]
+
+
+def _seed(kind: int) -> np.dtype:
+    return np.dtype([*_OWN, ("pos", ">u4"), ("around", "u1", len(_seen(kind)))])
 
 
 class Numbers:
@@ -59,24 +75,40 @@ class Numbers:
         return np.array([seen[w] for w in words], np.uint64)
 
 
-def packed(n: int, around: np.ndarray | None = None, **cols) -> pa.RecordBatch:
-    raw = np.zeros((n, 2 * REACH), np.uint8) if around is None else np.ascontiguousarray(around)
-    arrays = []
-    for name, kind in COLUMNS[:-1]:
-        x = cols.get(name, 0)
-        arrays.append(pa.array(np.full(n, x) if np.isscalar(x) else np.asarray(x), kind))
-    arrays.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REACH), n, [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
+def packed(kind: int, key: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
+    n = len(body)
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(body.dtype.itemsize), n, [None, pa.py_buffer(body.tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(n, kind, np.int8)), raw], schema=SCHEMA)
 
 
-def unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, (name, _) in enumerate(COLUMNS[:-1])}
-    col = batch.column(len(COLUMNS) - 1)
-    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-    out["around"] = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(col), 2 * REACH)
+def filled(dtype: np.dtype, n: int, **cols) -> np.ndarray:
+    out = np.zeros(n, dtype)
+    for name, x in cols.items():
+        out[name] = x
     return out
 
 
+def bodies(batch: pa.RecordBatch, dtype: np.dtype) -> np.ndarray:
+    """Bodies of one kind; of a filtered batch, whose bodies lie end to end."""
+    col = batch.column(2)
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype)
+
+
+def unpacked(batch: pa.RecordBatch, kind: int) -> dict[str, np.ndarray]:
+    """Seed rows; the words of a context, alike in all rows of a key, are ones."""
+    body = bodies(batch, _seed(kind))
+    around = np.ones((len(body), 2 * REACH), np.uint8)
+    around[:, _seen(kind)] = body["around"]
+    return {"key": batch.column(0).to_numpy(zero_copy_only=False), "doc": body["doc"].astype(np.uint64), "row": body["row"].astype(np.uint64), "pos": body["pos"].astype(np.int64), "around": around}
+
+
+def address(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The key of the rows of a document."""
+    x = (doc * np.uint64(0x9E3779B97F4A7C15)) ^ row
+    return x ^ (x >> np.uint64(32))
+
+
 def seeds(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number, position and surroundings of the seeds of several texts."""
     every = np.concatenate([*numbers, np.empty(0, np.uint64)])
@@ -105,12 +137,16 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to their rows: one for the document, links inside the batch, of each hash the seed rows of the smallest document."""
+    """Documents to their rows: one for the document, links inside the batch, of each hash the seed rows of the smallest document. Rows that repeat in a batch are read once."""
     number = Numbers()
     for batch in batches:
         texts = column_bytes(batch, "text")
-        docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
+        docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ _SIGN
+        rows = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64)
+        if not len(rows):
+            continue
+        _, first_at, times = np.unique(np.stack((docs, rows)), axis=1, return_index=True, return_counts=True)
+        docs, rows, texts = docs[first_at], rows[first_at], [texts[k] for k in first_at.tolist()]
         sizes, held, parts, first, waiting = [], [], [], 0, 0
         for k, t in enumerate(texts):
             held.append(number(t))
@@ -120,17 +156,17 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h, of, pos, around = seeds(held)
                 parts.append((h, of + first, pos, around))
                 held, first, waiting = [], k + 1, 0
-        yield packed(len(texts), key=docs ^ rows, kind=DOC, doc=docs, row=rows, pos=np.array(sizes, np.int64))
+        yield packed(DOC, address(docs, rows), filled(_DOC, len(texts), doc=docs, row=rows, words=sizes, times=times))
         h, of, pos, around = (np.concatenate([p[i] for p in parts]) for i in range(4))
         if not len(h):
             continue
         order = np.lexsort((pos, rows[of], docs[of], h))
         of = of[order]
-        c = {"key": h[order].view(np.int64), "doc": docs[of], "row": rows[of], "pos": pos[order], "around": around[order]}
+        c = {"key": h[order], "doc": docs[of], "row": rows[of], "pos": pos[order], "around": around[order]}
         lead = leads(c["key"])
         mine = c["doc"] == c["doc"][lead]  # links() has the others
         yield sent(c, np.flatnonzero(mine), SEED, c["key"][mine])
-        yield links(c["key"], c["doc"], c["row"], c["pos"], c["around"], lead)
+        yield links(c, lead)
         shared = np.zeros(len(lead), bool)
         shared[lead[~mine]] = True
         yield from contexts({k: v[shared[lead]] for k, v in c.items()})
@@ -142,12 +178,14 @@ def leads(key: np.ndarray) -> np.ndarray:
 
 
 def sent(c: dict[str, np.ndarray], i: np.ndarray, kind: int, key: np.ndarray) -> pa.RecordBatch:
-    return packed(len(i), c["around"][i], key=key, kind=kind, **{k: c[k][i] for k in ("doc", "row", "pos")})
+    return packed(kind, key, filled(_seed(kind), len(i), around=c["around"][i][:, _seen(kind)], **{k: c[k][i] for k in ("doc", "row", "pos")}))
 
 
 def contexts(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows of seeds that several documents have, sorted by seed and document: keyed by the seed with each of CONTEXTS that lies
     within the text, the rows of each key's smallest document; links of the others to it, but those that an earlier key gave."""
+    if not len(c["key"]):
+        return
     known = [leads(c["key"])]
     for n, (a, b) in enumerate(CONTEXTS):
         at = np.flatnonzero((c["around"][:, a:b] != 0).all(axis=1))
@@ -158,49 +196,50 @@ def contexts(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             key = (key ^ c["around"][at, k]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         order = np.lexsort((at, key))
-        at, key = at[order], key[order].view(np.int64)
+        at, key = at[order], key[order]
         target = np.arange(len(c["key"]))
         target[at] = at[leads(key)]
         mine = c["doc"][at] == c["doc"][target[at]]
-        yield sent(c, at[mine], NEAR, key[mine])
+        yield sent(c, at[mine], NEAR + n, key[mine])
         new = np.ones(len(target), bool)
         for t in known:
             new &= target != t
-        yield links(c["key"], c["doc"], c["row"], c["pos"], c["around"], np.where(new, target, np.arange(len(target))))
+        yield links(c, np.where(new, target, np.arange(len(target))))
         known.append(target)
 
 
-def links(h, docs, rows, pos, around, lead) -> pa.RecordBatch:
-    i = np.flatnonzero(docs != docs[lead])
+def links(c: dict[str, np.ndarray], lead: np.ndarray) -> pa.RecordBatch:
+    """Of rows in other documents than their leads."""
+    i = np.flatnonzero(c["doc"] != c["doc"][lead])
     j = lead[i]
-    before, after = agreeing(around[i], around[j])
-    return packed(len(i), key=docs[i] ^ rows[i], kind=LINK, doc=docs[i], row=rows[i], pos=pos[i], other=docs[j], other_row=rows[j], other_pos=pos[j], before=before, after=after)
+    before, after = agreeing(c["around"][i], c["around"][j])
+    doc, row = c["doc"][i], c["row"][i]
+    return packed(LINK, address(doc, row), filled(_LINK, len(i), doc=doc, row=row, link=1, pos=c["pos"][i], other=c["doc"][j], other_row=c["row"][j], other_pos=c["pos"][j], before=before, after=after))
 
 
-def meet(kind: int):
-    """Over rows sorted by key: those of the kind with one key are linked to the first; the others pass. Seeds that meet go on by their contexts."""
+def meet(kinds: tuple[int, ...]):
+    """Over rows sorted by key: those of the kinds with one key are linked to the first; the others pass. Seeds that meet go on by their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead_row: dict[str, np.ndarray] | None = None
+        lead_row: dict[int, dict[str, np.ndarray]] = {}
         for batch in batches:
-            c = unpacked(batch)
-            other = c["kind"] != kind
-            if other.any():
-                yield batch.filter(pa.array(other))
-            c = {k: v[~other] for k, v in c.items()}
-            if not len(c["key"]):
-                continue
-            if lead_row is not None and lead_row["key"][0] == c["key"][0]:
-                c = {k: np.concatenate((lead_row[k], v)) for k, v in c.items()}
-            key = c["key"]
-            lead = leads(key)
-            lead_row = {k: v[lead[-1] : lead[-1] + 1].copy() for k, v in c.items()}
-            found = links(key, c["doc"], c["row"], c["pos"], c["around"], lead)
-            if found.num_rows:
-                yield found
-            if kind == SEED:
-                several = np.bincount(lead, minlength=len(key))[lead] > 1
-                yield from contexts({k: c[k][several] for k in ("key", "doc", "row", "pos", "around")})
+            of = batch.column(1).to_numpy(zero_copy_only=False)
+            if not (own := np.isin(of, kinds)).all():
+                yield batch.filter(pa.array(~own))
+            for kind in kinds:
+                if not (mine := of == kind).any():
+                    continue
+                c = unpacked(batch.filter(pa.array(mine)), kind)
+                if kind in lead_row and lead_row[kind]["key"][0] == c["key"][0]:
+                    c = {k: np.concatenate((lead_row[kind][k], v)) for k, v in c.items()}
+                lead = leads(c["key"])
+                lead_row[kind] = {k: v[lead[-1] : lead[-1] + 1].copy() for k, v in c.items()}
+                found = links(c, lead)
+                if found.num_rows:
+                    yield found
+                if kind == SEED:
+                    several = np.bincount(lead, minlength=len(lead))[lead] > 1
+                    yield from contexts({k: v[several] for k, v in c.items()})
 
     return run
 
@@ -308,9 +347,9 @@ def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def chain_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document (its own row first) and other document: one row for each document row."""
+    """Rows sorted by key and body, so by document (its own row first): as many rows as the document has."""
     now: tuple[int, int] | None = None
-    sizes: list[int] = []
+    sizes: list[tuple[int, int]] = []
     held: list[np.ndarray] = []
 
     def done() -> list[tuple]:
@@ -322,39 +361,47 @@ def chain_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans += [(a, b, int(part[0, 0])) for a, b, _ in passages(*(part[:, k].tolist() for k in range(2, 6)))]
         runs = united(spans)
         doc = None if now[0] == LAST else now[0]
-        return [(doc, n, sum(b - a for a, b, _ in runs), len(runs), ",".join(f"{a}:{b}:{o}" for a, b, o in runs)) for n in sizes]
+        row = (doc, sizes[0][0], sum(b - a for a, b, _ in runs), len(runs), ",".join(f"{a}:{b}:{o}" for a, b, o in runs))
+        return [row] * sum(t for _, t in sizes)
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 10_000):
+            cols = list(zip(*rows[at : at + 10_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True)], ["doc_id", "n_words", "n_repeated", "n_passages", "passages"])
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True)], ["doc_id", "n_words", "n_repeated", "n_passages", "passages"])
+    def signed(x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.uint64) ^ _SIGN).view(np.int64)
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
-        doc, row, kind, pos = cols[0], cols[1], cols[2], cols[3]
+        n = batch.num_rows
+        own = batch.column(1).to_numpy(zero_copy_only=False) == DOC
+        doc, row, at = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.int64)
+        told, met = (bodies(batch.filter(pa.array(m)), t) for m, t in ((own, _DOC), (~own, _LINK)))
+        for m, x in ((own, told), (~own, met)):
+            doc[m], row[m], at[m] = signed(x["doc"]), x["row"].astype(np.uint64), np.arange(len(x))
+        links_ = np.stack([signed(met["other"]), met["other_row"].astype(np.uint64).view(np.int64), *(met[k].astype(np.int64) for k in ("pos", "other_pos", "before", "after"))], axis=1)
         edge = np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) + 1
         rows: list[tuple] = []
-        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(doc)], strict=True):
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), n], strict=True):
             if now != (int(doc[a]), int(row[a])):
                 rows += done() if now else []
                 now, sizes, held = (int(doc[a]), int(row[a])), [], []
-            own = kind[a:b] == DOC
-            sizes += pos[a:b][own].tolist()
-            if not own.all():
-                held.append(np.stack([cols[k][a:b][~own] for k in (4, 5, 3, 6, 7, 8)], axis=1))
-        if rows:
-            yield out(rows)
+            mine = own[a:b]
+            sizes += [(int(told["words"][k]), int(told["times"][k])) for k in at[a:b][mine].tolist()]
+            if not mine.all():
+                held.append(links_[at[a:b][~mine]])
+        yield from out(rows)
     if now:
-        yield out(done())
+        yield from out(done())
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, n_repeated, n_passages, passages (first word:end:smallest other doc_id)."""
+    """docs (doc_id, text) -> doc_id, n_words, n_repeated, n_passages, passages (first word:end:smallest other doc_id found)."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
     met = source.mapInArrow(read, DDL)
-    for kind in (SEED, NEAR):
-        met = met.repartition("key").sortWithinPartitions("key", "kind", "doc", "row", "pos").mapInArrow(meet(kind), DDL)
-    links_ = met.select("doc", "row", "kind", "pos", "other", "other_row", "other_pos", "before", "after")
-    dealt = links_.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("kind").desc())
+    for kinds in ((SEED,), tuple(range(NEAR, NEAR + len(CONTEXTS)))):
+        met = met.repartition("key").sortWithinPartitions("key", "kind", "body").mapInArrow(meet(kinds), DDL)
+    dealt = met.repartition("key").sortWithinPartitions("key", "body")
     return dealt.mapInArrow(chain_up, "doc_id long, n_words long, n_repeated long, n_passages long, passages string")
 
 
