@@ -7,18 +7,20 @@ is met as a whole. Words that no item has reset the automaton, so only runs of k
 are streamed, and only runs as long as the shortest window.
 
 The automata are bounded: items are cut into overlapping pieces of PIECE words (overlap n - 1, so that
-no window is lost) and dealt by hash into shards of about SHARD words; documents pass over each
-shard and the hits are united. A task holds one shard, in ``clean`` AT_ONCE of them; beyond those, ``clean`` passes
-over the documents again with the next ones.
+no window is lost) and dealt by hash into shards of about SHARD words, equal pieces of an item once; documents pass over
+each shard and the hits are united. A task holds AT_ONCE shards; beyond those the documents, with their hits so far,
+are written to the shared folder and pass over the next ones.
+
+``remove`` takes spans out: those of ``longest`` words or more, and all of a document whose hits cover 1 / coverage of it.
 
 Defined cases: null text and null items have no words; a null item_id counts as a hit but is not
 listed; equal items are listed each; an item shorter than n is one window; an empty benchmark hits
-nothing; rows that repeat are kept and judged alike; other columns are ignored.
+nothing; rows that repeat are kept and judged alike; ``clean`` keeps other columns, whatever their names, the others
+ignore them.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tessera.llm.base import WORDS, column_bytes, per_batch, table, written
 
@@ -38,8 +40,9 @@ SHARD = 100_000
 PIECE = 20_000
 AT_ONCE = 8
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SPANS = "array<struct<start:long,end:long>>"
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
+HITS = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN)), StructField("items", ArrayType(StringType()))])
+_HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -182,7 +185,7 @@ def pieces_of(items: DataFrame, n: int) -> DataFrame:
 
 def _automata(items: DataFrame, n: int) -> tuple[int, Iterator[Automaton]]:
     """How many automata there are, and one after the other, each of bounded size."""
-    pieces = pieces_of(items, n)
+    pieces = pieces_of(items, n).distinct()
     total = pieces.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD))
 
@@ -194,41 +197,43 @@ def _automata(items: DataFrame, n: int) -> tuple[int, Iterator[Automaton]]:
     return shards, map(built, range(shards))
 
 
-def find(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """docs (doc_id, text), items (item_id, text) -> doc_id, text, n_words, spans (of words, end exclusive), items (sorted ids)."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {dict(source.dtypes)['doc_id']}, text string, n_words long, spans {SPANS}, items array<string>"
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def make(held):
-        auto = held.value
+def matched(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFrame, str]:
+    """docs with the hits of all shards (HITS) in one more column, and its name, which is longer than any other."""
+    spark, names = docs.sparkSession, docs.columns
+    at, own = names.index("text"), "__hits" + "_" * max(map(len, names))
+    schema = StructType([*docs.schema.fields, StructField(own, HITS)])
+    shards, automata = _automata(items, n)
 
+    def make(held: list):
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, spans, found = [], [], []
-            for text in column_bytes(batch, "text"):
+            before = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else repeat(None)
+            out = []
+            for text, old in zip(batch.column(at).cast(pa.binary()).to_pylist(), before):
                 ws = words_of(text)
-                s, f = auto.match(ws)
-                sizes.append(len(ws))
-                spans.append([{"start": a, "end": b} for a, b in s])
-                found.append(sorted({auto.ids[x] for x in f} - {None}))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
+                spans, ids = ([(s["start"], s["end"]) for s in old["spans"]], set(old["items"])) if old else ([], set())
+                for h in held:
+                    found, which = h.value.match(ws)
+                    spans += found
+                    ids |= {h.value.ids[x] for x in which} - {None}
+                out.append({"n_words": len(ws), "spans": [{"start": a, "end": b} for a, b in united(spans)], "items": sorted(ids)})
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, _HITS)], [*names, own])
 
         return one
 
-    parts = [source.mapInArrow(per_batch(partial(make, docs.sparkSession.sparkContext.broadcast(a))), schema) for a in _automata(items, n)[1]]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    met = every.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("met"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.aggregate(
-        "spans",
-        F.array().cast(SPANS),
-        lambda out, s: F.when((F.size(out) > 0) & (s["start"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))),
-    )
-    copies = F.explode(F.sequence(F.lit(1), (F.col("met") / len(parts)).cast("int")))
-    return met.select("doc_id", "text", "n_words", joined.alias("spans"), "items", copies.alias("copy")).drop("copy")
+    for first in range(0, shards, AT_ONCE):
+        held = [spark.sparkContext.broadcast(a) for a in islice(automata, AT_ONCE)]
+        docs = docs.mapInArrow(per_batch(partial(make, held)), schema)
+        if first + AT_ONCE < shards:
+            docs, _ = written(docs, "hits")
+            for h in held:
+                h.destroy()
+    return docs, own
+
+
+def find(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
+    """docs (doc_id, text), items (item_id, text) -> doc_id, text, n_words, spans (of words, end exclusive), items (sorted ids)."""
+    found, own = matched(docs.select("doc_id", F.col("text").cast("string").alias("text")), items, n)
+    return found.select("doc_id", "text", f"{own}.*")
 
 
 def hits(spans) -> F.Column:
@@ -240,13 +245,15 @@ def contaminated(n_hit, n_words, coverage: int = 20) -> F.Column:
 
 
 def remove(docs: DataFrame, items: DataFrame, n: int = N, longest: int = N, coverage: int = 20) -> DataFrame:
-    """doc_id, text without the hit spans of ``longest`` words or more; of documents whose hits cover 1 / coverage of the words, without any."""
+    """find's columns without text, contaminated, n_removed (words) and left: the text without the hit spans of ``longest`` words or more, of documents whose hits cover 1 / coverage of the words without any."""
+    names = ["doc_id", "text", "n_words", "spans", "items", "contaminated"]
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for text, spans, all_ in zip(column_bytes(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if gone := [(s["start"], s["end"]) for s in spans if all_ or s["end"] - s["start"] >= longest]:
+            out, gone_words = [], []
+            for text, spans, all_ in zip(column_bytes(batch, "text"), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                gone = [(s["start"], s["end"]) for s in spans if all_ or s["end"] - s["start"] >= longest]
+                if gone:
                     at = [(m.start(), m.end()) for m in WORD.finditer(text.translate(WORDS))]
                     kept, last = [], 0
                     for a, b in gone:
@@ -254,61 +261,35 @@ def remove(docs: DataFrame, items: DataFrame, n: int = N, longest: int = N, cove
                         last = at[b - 1][1]
                     text = b"".join([*kept, text[last:]])
                 out.append(None if text is None else text.decode())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+                gone_words.append(sum(b - a for a, b in gone))
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(gone_words, pa.int64()), pa.array(out, pa.string())], [names[0], *names[2:], "n_removed", "left"])
 
         return one
 
-    n_hit = hits("spans")
-    found = find(docs, items, n).select("doc_id", "text", "spans", contaminated(n_hit, F.col("n_words"), coverage).alias("all"))
-    return found.mapInArrow(per_batch(make), f"doc_id {dict(found.dtypes)['doc_id']}, text string")
+    found = find(docs, items, n).withColumn("contaminated", contaminated(hits("spans"), F.col("n_words"), coverage)).select(names)
+    kept = [f for f in found.schema.fields if f.name != "text"]
+    return found.mapInArrow(per_batch(make), StructType([*kept, StructField("n_removed", LongType()), StructField("left", StringType())]))
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N, coverage: int = 20) -> DataFrame:
     """The rows of docs that aren't contaminated, with docs' own columns; a text is judged on the hits of all shards."""
-    spark, names, kind = docs.sparkSession, docs.columns, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    at, schema = names.index("text"), docs.schema
-    shards, automata = _automata(items, n)
-    own = "__spans" + "_" * max(map(len, names))  # longer than any other name
-
-    def make(held: list, judges: bool):
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            before = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else repeat(())
-            keep, spans = [], []
-            for text, old in zip(batch.column(at).cast(pa.binary()).to_pylist(), before):
-                ws = words_of(text)
-                spans.append(united([(s["start"], s["end"]) for s in old] + [s for h in held for s in h.value.match(ws)[0]]))
-                n_hit = sum(b - a for a, b in spans[-1])
-                keep.append(not (n_hit and coverage * n_hit >= len(ws)))
-            if judges:
-                return pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(keep, pa.bool_()))
-            found = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], [*names, own])
-
-        return one
-
-    for first in range(0, shards, AT_ONCE):
-        held = [spark.sparkContext.broadcast(a) for a in islice(automata, AT_ONCE)]
-        if first + AT_ONCE >= shards:
-            return docs.mapInArrow(per_batch(partial(make, held, True)), schema)
-        docs, _ = written(docs.mapInArrow(per_batch(partial(make, held, False)), StructType([*schema.fields, StructField(own, ArrayType(SPAN))])), "hits")
-        for h in held:
-            h.destroy()
-    raise AssertionError("there is at least one shard")
+    found, own = matched(docs, items, n)
+    bad = contaminated(hits(f"{own}.spans"), F.col(f"{own}.n_words"), coverage)
+    return found.where(~bad).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
-    found = find(docs, items).withColumn("n_hit", hits("spans"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+    """The contract's columns, how many words ``remove`` takes out, and the hash of the words it leaves."""
+    found = remove(docs, items)
+    lower = F.translate(F.coalesce("left", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    left = F.sha2(F.array_join(F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), " "), 256)
+    return found.select("doc_id", "n_words", hits("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "n_removed", left.alias("left_sha256"))
 
 
 def op2_suffix_automaton(spark, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 _SPLIT = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_SPLIT}, []) AS ws FROM documents),
@@ -322,9 +303,14 @@ grams AS (
   SELECT r, i, k, array_to_string(ws[i : i + k - 1], ' ') AS w
   FROM (SELECT r, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, ks WHERE len(ws) >= k)
 ), met AS (SELECT r, i, g.k, item_id FROM grams g JOIN windows USING (k, w)),
-hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS p FROM met) GROUP BY r),
-listed AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM met WHERE item_id IS NOT NULL GROUP BY r)
+pos AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS p FROM met)),
+hit AS (SELECT r, count(*) AS n_hit FROM pos GROUP BY r),
+listed AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM met WHERE item_id IS NOT NULL GROUP BY r),
+runs AS (SELECT r, p, count(*) OVER (PARTITION BY r, p - n) AS size FROM (SELECT r, p, row_number() OVER (PARTITION BY r ORDER BY p) AS n FROM pos)),
+gone AS (SELECT r, list(p) AS ps FROM runs JOIN hit USING (r) JOIN d USING (r) WHERE size >= 13 OR 20 * n_hit >= len(ws) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
-  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+  CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN ps IS NULL THEN coalesce(array_to_string(ws, ' '), '') ELSE coalesce(array_to_string(list_transform(list_filter(generate_series(1, len(ws)), lambda i: NOT list_contains(ps, i)), lambda i: ws[i]), ' '), '') END) AS left_sha256
+FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r) LEFT JOIN gone USING (r)
 """

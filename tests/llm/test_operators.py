@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, fingerprints, licenses, mixing, passages, pii, quality, simhash_dedup
 from tessera.llm.graph import components
@@ -80,11 +81,11 @@ def test_decontaminate_brute_force(spark):
 def test_decontaminate_shards_and_removal(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(decontaminate.digest(docs, items).collect())
-    cleaned = decontaminate.remove(docs, items)
+    cleaned = decontaminate.remove(docs, items).select("doc_id", F.col("left").alias("text"))
     assert decontaminate.digest(cleaned, items).agg({"n_hit": "max"}).first()[0] < 13
     kept = sorted(r.doc_id for r in decontaminate.clean(docs, items).collect())
     assert kept == sorted(r.doc_id for r in whole if not r.contaminated)
-    monkeypatch.setattr(decontaminate, "SHARD", 150)
+    monkeypatch.setattr(decontaminate, "SHARD", 600)
     assert sorted(decontaminate.digest(docs, items).collect()) == whole
     monkeypatch.setattr(decontaminate, "SHARD", 1200)
     monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
