@@ -4,12 +4,12 @@ Sizes are words. Sources in code point order (null last) weigh 1, 2, 3, 1, ... a
 a source's target stops at ``most`` times its words, the excess going to the others by weight.
 Of a source whose target is m times its words each document is taken floor(m) times for certain.
 For the rest documents are ranked by random odds over inclusion odds and the first are taken, as
-many as fit in the words that are missing; one closing document, the one that comes nearest to what is
-then still missing, ends the sample. Inclusion odds fall with the root of a document's length,
+many as fit in the words that are missing; one closing document (all rows of it that share id and size), the one
+that comes nearest to what is then still missing, ends the sample. Inclusion odds fall with the root of a document's length,
 so one giant rarely decides a source.
 
-Nothing is sorted by source: ranks are dealt into SLICES slices of their range, whose sums (SLICES
-rows a source at most) tell the slice that the cut lies in, and only that slice is ordered.
+Nothing is sorted by source: ranks are dealt into slices of their range, SLICES of them or one for each ROWS rows, whose
+sums tell the slice that the cut lies in, and only that slice is ordered.
 
 Defined cases: null text has no words; null source is a source of its own; a document without words
 is taken zero times; rows that repeat a doc_id with the same size share their rank, and are taken
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.base import table, written
 
-SLICES = 4096
+SLICES, ROWS = 4096, 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,6 +61,7 @@ def mix(docs: DataFrame, most: int = 3, seed: int = 9) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sized, _ = written(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    slices = max(SLICES, sized.count() // ROWS)
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("with_words"))
     want = targets(totals.select("source", "source_size"), most)
     of = totals.select(F.col("source").alias("s"), "with_words")
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, most: int = 3, seed: int = 9) -> DataFrame:
     share = F.col("short") / F.col("source_size")
     odds = share / (F.lit(1.0) - share) * F.sqrt(F.col("source_size").cast("double") / F.col("with_words") / F.col("size"))
     df = df.withColumn("rank", F.when((F.col("size") > 0) & (F.col("short") > 0), u / (F.lit(1.0) - u) / odds))
-    df = df.withColumn("slice", F.floor(F.col("rank") / (F.col("rank") + 1) * SLICES))
+    df = df.withColumn("slice", F.floor(F.col("rank") / (F.col("rank") + 1) * slices))
     ranked, _ = written(df, "ranked")
 
     in_order = Window.partitionBy("source").orderBy("slice")
@@ -92,8 +93,9 @@ def mix(docs: DataFrame, most: int = 3, seed: int = 9) -> DataFrame:
 
     got = chosen.groupBy("source", "short").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("words")).select(F.col("source").alias("of"), (F.col("short") - F.col("words")).alias("missing"))
     open_ = chosen.where(~F.col("in") & F.col("rank").isNotNull()).join(got, chosen["source"].eqNullSafe(got["of"]))
-    off = F.abs(F.col("missing") - F.col("size"))
-    last = open_.where(off < F.col("missing")).groupBy("of").agg(F.min(F.struct(off.alias("off"), "rank", "doc_id")).alias("last"))
+    alike = open_.groupBy("of", "missing", "rank", "doc_id").agg(F.sum("size").alias("words"))
+    off = F.abs(F.col("missing") - F.col("words"))
+    last = alike.where(off < F.col("missing")).groupBy("of").agg(F.min(F.struct(off.alias("off"), "rank", "doc_id")).alias("last"))
     df = chosen.join(last, chosen["source"].eqNullSafe(last["of"]), "left")
     closing = (F.col("rank") == F.col("last.rank")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id"))
     taken = F.col("size") * (F.col("copies") + (F.col("in") | F.coalesce(closing & ~F.col("in"), F.lit(False))).cast("int"))
@@ -140,11 +142,13 @@ WITH sized AS (
   SELECT *, upto <= short AS taken_first FROM summed_up
 ), missing AS (
   SELECT *, short - sum(CASE WHEN taken_first THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM chosen
+), alike AS (
+  SELECT source, missing, rank, doc_id, sum(size) AS words FROM missing WHERE NOT taken_first GROUP BY ALL
 ), closing AS (
-  SELECT source, min(row(abs(missing - size), rank, doc_id)) AS last FROM missing WHERE NOT taken_first AND abs(missing - size) < missing GROUP BY source
+  SELECT source, min(row(abs(missing - words), rank, doc_id)) AS last FROM alike WHERE abs(missing - words) < missing GROUP BY source
 ), sampled AS (
   SELECT m.doc_id, m.size, m.source_size, m.target,
-    m.size * (m.copies + CASE WHEN m.taken_first OR (m.rank = c.last[2] AND m.doc_id = c.last[3]) THEN 1 ELSE 0 END) AS taken
+    m.size * (m.copies + CASE WHEN m.taken_first OR (m.rank = c.last[2] AND m.doc_id IS NOT DISTINCT FROM c.last[3]) THEN 1 ELSE 0 END) AS taken
   FROM missing m LEFT JOIN closing c ON m.source IS NOT DISTINCT FROM c.source
 )
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM sampled
