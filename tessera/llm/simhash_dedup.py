@@ -236,18 +236,21 @@ def rooted(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataF
 
 
 def firsts(docs: DataFrame) -> DataFrame:
-    """One row of each component: the smallest doc_id's (null last), then by hash of the text, then by the other columns."""
+    """One row of each component: the smallest doc_id's (null last), then by hash of the text, then by the other columns as JSON."""
     hashed = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in ("doc_id", "text")]
-    keyed = docs.withColumn("__key", F.concat(*hashed))
-    prints, _ = written(fingerprints(keyed, "__key"), "fingerprints")
-    rows = prints.groupBy("__key", "fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key", "n")).alias("least")
-    stay, _ = written(rows.join(rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(least).select("least.__key", "least.n"), "stay")
-    once = keyed.join(stay.where("n = 1"), "__key", "left_semi").select(*docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    key = "__key" + "_" * max(map(len, docs.columns))  # longer than any other name
+    keyed = docs.withColumn(key, F.concat(*hashed))
+    prints, _ = written(fingerprints(keyed, key), "fingerprints")
+    rows = prints.groupBy(key, "fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key, "n")).alias("least")
+    stay, _ = written(rows.join(rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(least).select(f"least.{key}", "least.n"), "stay")
+    once = keyed.join(stay.where("n = 1"), key, "left_semi").select(*own)
     if not stay.where("n > 1").head(1):
         return once
-    again = keyed.join(stay.where("n > 1"), "__key", "left_semi")
-    return once.unionByName(again.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
+    again = keyed.join(stay.where("n > 1"), key, "left_semi")
+    row = F.min_by(F.struct(*own), F.to_json(F.struct(*own))).alias("row")
+    return once.unionByName(again.groupBy(key).agg(row).select("row.*"))
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
