@@ -251,7 +251,47 @@ def test_edited_and_within(spark):
     prints = [f"{b ^ sum(1 << p for p in rng.sample(range(256), k)):064x}" for b in base for k in range(0, 20, 2)]
     frame = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
     want = {(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a in prints[:7] for b in prints if (int(a, 16) ^ int(b, 16)).bit_count() <= 12}
-    assert {tuple(r) for r in fingerprints.within(frame, frame.limit(7), 12).collect()} == want
+    assert sorted(tuple(r) for r in fingerprints.within(frame, frame.limit(7), 12).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("bucket", [200_000, 8])
+def test_near_counts_brute_force(spark, odd, empty, monkeypatch, bucket):
+    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
+    rng = random.Random(27)
+    base = [rng.getrandbits(256) for _ in range(4)] + [0]
+    prints = [f"{b ^ sum(1 << p for p in rng.sample(range(256), rng.randint(0, 6))):064x}" for b in base for _ in range(60)] + [None, f"{0:064x}"]
+    frame = spark.createDataFrame([(p,) for p in prints], "fingerprint string").repartition(3)
+    some = sorted({p for p in prints if p})[::3]
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = {q: n for q in some if (n := sum(0 < apart(q, p) <= 7 for p in set(prints) - {None}))}
+    got = fingerprints.near_counts(frame, spark.createDataFrame([(q,) for q in some], "fingerprint string"))
+    assert {r.fingerprint: r.near for r in got.collect()} == want and len(want) > 40
+    assert fingerprints.near_counts(frame, frame.limit(0)).count() == 0
+    for t in (odd, empty):
+        assert fingerprints.searched(t).count() == t.count()
+    exact = {r.doc_id: fingerprints.fingerprint((r.text or "").encode()).tobytes().hex() for r in odd.where("doc_id is not null").collect()}
+    for r in fingerprints.searched(odd).where("doc_id is not null").collect():
+        assert r.fingerprint == exact[r.doc_id]
+        every = set(exact.values()) | {r.fingerprint}
+        assert r.n_near == (sum(0 < apart(r.fingerprint, e) <= 7 for e in every) if r.doc_id % 20 == 0 else None)
+
+
+def test_fingerprint_by_votes():
+    """The whole fingerprint against plain counting."""
+    rng = random.Random(28)
+    for n in (0, 1, 4, 5, 30, 400):
+        ws = [rng.choice("ab cd efg Hij klm".split()) for _ in range(n)]
+        terms: dict[bytes, int] = {}
+        for i in range(max(1, n - 4) if n else 0):
+            t = " ".join(ws[i : i + 5]).lower().encode()
+            terms[t] = terms.get(t, 0) + 1
+        votes = [0.0] * 256
+        for t, k in terms.items():
+            h = int.from_bytes(xxhash.xxh3_128_digest(t, 10) + xxhash.xxh3_128_digest(t, 11), "big")
+            for b in range(256):
+                votes[b] += (1 if h >> (255 - b) & 1 else -1) * (1 + np.log(k))
+        got = int.from_bytes(fingerprints.fingerprint(" ".join(ws).encode()).tobytes(), "big")
+        assert all((got >> (255 - b) & 1) == (votes[b] > 0) for b in range(256) if abs(votes[b]) > 1e-4)
 
 
 def test_licenses_brute_force():
