@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes A-Z to a-z, all else as it is: never touches a byte of a longer UTF-8 sequence.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -76,3 +77,16 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) ->
                 yield one(batch)
 
     return run
+
+
+def mapped(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], *added: StructField) -> DataFrame:
+    """per_batch over all columns of docs, whatever their names, by position; what comes back are docs' columns and the added ones."""
+    fields = [*docs.schema.fields, *added]
+    names = [f"c{k}" for k in range(len(fields))]
+
+    def named():
+        one = make()
+        return lambda batch: pa.RecordBatch.from_arrays(one(batch).columns, names)
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)])
+    return docs.toDF(*names[: len(docs.columns)]).mapInArrow(per_batch(named), schema).toDF(*(f.name for f in fields))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tessera.llm.base import WORDS, column_bytes, per_batch, table, written
+from tessera.llm.base import WORDS, column_bytes, mapped, per_batch, table, written
 
 N = 13
 SHARD = 100_000
@@ -201,7 +201,6 @@ def matched(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFrame, s
     """docs with the hits of all shards (HITS) in one more column, and its name, which is longer than any other."""
     spark, names = docs.sparkSession, docs.columns
     at, own = names.index("text"), "__hits" + "_" * max(map(len, names))
-    schema = StructType([*docs.schema.fields, StructField(own, HITS)])
     shards, automata = _automata(items, n)
 
     def make(held: list):
@@ -216,13 +215,14 @@ def matched(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFrame, s
                     spans += found
                     ids |= {h.value.ids[x] for x in which} - {None}
                 out.append({"n_words": len(ws), "spans": [{"start": a, "end": b} for a, b in united(spans)], "items": sorted(ids)})
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, _HITS)], [*names, own])
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, _HITS)], [*batch.schema.names[: len(names)], "hits"])
 
         return one
 
     for first in range(0, shards, AT_ONCE):
         held = [spark.sparkContext.broadcast(a) for a in islice(automata, AT_ONCE)]
-        docs = docs.mapInArrow(per_batch(partial(make, held)), schema)
+        old = docs.columns[len(names) :]
+        docs = mapped(docs, partial(make, held), *([] if old else [StructField(own, HITS)]))
         if first + AT_ONCE < shards:
             docs, _ = written(docs, "hits")
             for h in held:

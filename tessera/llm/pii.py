@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField
 
-from tessera.llm.base import per_batch, table
+from tessera.llm.base import mapped, per_batch, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -462,11 +462,11 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             texts = batch.column(at).cast(pa.string()).to_pylist()
             _, spans = all_spans(held.value, texts)
             new = [masked(t, s) if s else None for t, s in zip(texts, spans, strict=True)]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*names, new_name])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, "new"])
 
         return one
 
-    out = docs.mapInArrow(per_batch(make), StructType([*docs.schema.fields, StructField(new_name, StringType())]))
+    out = mapped(docs, make, StructField(new_name, StringType()))
     changed = F.col(new_name).isNotNull()
     own = {"text": F.coalesce(new_name, "text"), "n_chars": F.when(changed, F.char_length(new_name).cast("long")).otherwise(F.col("n_chars") if "n_chars" in names else F.lit(None))}
     return out.select(*(own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col(f"`{c}`") for c in names))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import column_bytes, per_batch, table
+from tessera.llm.base import column_bytes, mapped, per_batch, table
 
 SAMPLE = 6000
 WORDS, SHAPES, DIM, NONZERO = 1 << 14, 1 << 10, 64, 4
@@ -164,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     index = index_vectors()
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("other"))
     chosen = known.where("y = other").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # an id with several rows counts by its least text, so that the bound is one of rows
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(one).select("doc_id", "least.text", "y")
 
     def contexts(batches):
         own = index_vectors()
@@ -250,4 +252,4 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return one
 
-    return docs.mapInArrow(per_batch(make), docs.schema)
+    return mapped(docs, make)
