@@ -6,6 +6,10 @@
 3. benchmark decontamination: contaminated documents go, by the rule of the operator;
 4. PII: the spans are replaced by their kinds;
 5. mixing: sizes, targets and the words that the mix takes, one row a document.
+
+Defined cases, of all stages: null ids and different texts under one id are rows of their own; null texts are empty (and
+stay null); rows alike are judged alike, of which near-dedup keeps one; other columns pass whatever their names, up to the
+last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ STAGES = [
     ("PII", without_personal_data),
     ("mixing sources to target weights", mixed),
 ]
-#: The classifier and the fingerprints are beyond SQL; tests hold each stage against a brute-force version.
+#: The classifier and the fingerprints are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
