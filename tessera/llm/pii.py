@@ -4,8 +4,10 @@ Patterns find the base spans, which always stay. The network adds spans that no
 phone without its plus, an address spelt with (at), a card grouped with dots). It is
 trained at the start from labelled spans: the base spans of a bounded sample of documents, and spans that
 are written in other forms into the texts of that sample, with dates, versions, prices, plain
-numbers and running text as counterexamples. Every character of every text is decoded: in overlapping windows whose
+numbers and running text as counterexamples. Texts are decoded in overlapping windows whose
 emissions are averaged with weights that fall towards the rim, after which the best path over the whole text is found.
+Windows that are NEAR characters or more away from any digit, @ or spelt (at) are outside without being run: the marks that a kind
+must have leave no span there, and a test holds the result against that of all windows.
 That path is cut where it must be outside of any span (see ``cuts``), and its parts are solved on their own: their paths
 joined are the path over the whole. The log odds of an added span against no span must reach ``sure``; it must have the
 digits and marks of its kind, and be clear of the base spans.
@@ -77,8 +79,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and inner of each kind
 CHARS, EMBED, HIDDEN, WINDOW = 130, 12, 20, 64
 #: Characters a window when decoding, and from one window to the next.
-LONG, STEP = 256, 192
+LONG, STEP, NEAR = 256, 192, 64
 CHUNK = 400_000
+#: Emissions of a character that was not run.
+SURELY = np.array([100.0] + [0.0] * (TAGS - 1), np.float32)
 _ALLOWED = np.array([[t == 0 or t % 2 == 1 or s in (t, t - 1) for t in range(TAGS)] for s in range(TAGS)])
 
 
@@ -196,15 +200,20 @@ class Tagger:
         self.p = {k: q.astype(np.float32) for k, q in self.p.items()}
         return self
 
-    def stretches(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """Emissions of texts of any length: windows overlap and are averaged."""
-        where = [(k, at) for k, c in enumerate(parts) for at in range(0, max(1, len(c) - (LONG - STEP)), STEP)]
+    def stretches(self, parts: list[np.ndarray], marks: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Emissions of texts of any length: windows overlap and are averaged; with marks (their places in each text, ascending) only windows near one are run."""
+        where = []
+        for k, c in enumerate(parts):
+            at = np.arange(0, max(1, len(c) - (LONG - STEP)), STEP)
+            if marks is not None:
+                at = at[np.searchsorted(marks[k], at + LONG + NEAR) > np.searchsorted(marks[k], at - NEAR)]
+            where += [(k, a) for a in at.tolist()]
         where.sort(key=lambda w: min(LONG, len(parts[w[0]]) - w[1]))
         rim = (np.minimum(np.arange(LONG), np.arange(LONG)[::-1]) + 1).astype(np.float32)[:, None]
         sums = [np.zeros((len(c), TAGS), np.float32) for c in parts]
         weights = [np.zeros((len(c), 1), np.float32) for c in parts]
-        for first in range(0, len(where), 256):
-            some = where[first : first + 256]
+        for first in range(0, len(where), 512):
+            some = where[first : first + 512]
             longest = min(LONG, len(parts[some[-1][0]]) - some[-1][1])
             x = np.full((longest, len(some)), CHARS - 1, np.int16)
             for j, (k, at) in enumerate(some):
@@ -215,7 +224,7 @@ class Tagger:
                 n = min(LONG, len(parts[k]) - at)
                 sums[k][at : at + n] += got[:n, j] * rim[:n]
                 weights[k][at : at + n] += rim[:n]
-        return [s / w for s, w in zip(sums, weights, strict=True)]
+        return [np.where(w > 0, s / np.maximum(w, 1), SURELY).astype(np.float32) for s, w in zip(sums, weights, strict=True)]
 
     def cuts(self, s: np.ndarray) -> np.ndarray:
         """Positions of a text where the best path is outside for certain. In a run of positions whose emissions favour outside (by
@@ -339,7 +348,7 @@ def examples(texts: list[str], seed: int = 8, forms: int = 1200) -> tuple[np.nda
         for at in marks[:4]:
             a = max(0, at - int(rng.integers(0, WINDOW - 16)))
             rows.append((text[a : a + WINDOW], [(k, s - a, e - a) for k, s, e in spans]))
-        for a in rng.integers(0, max(1, len(text) - WINDOW), 4).tolist():
+        for a in rng.integers(0, max(1, len(text) - WINDOW), 2).tolist():
             rows.append((text[a : a + WINDOW], [(k, s - a, e - a) for k, s, e in spans]))
     for _ in range(forms):
         form, kind = written_forms(rng)
@@ -364,7 +373,7 @@ def examples(texts: list[str], seed: int = 8, forms: int = 1200) -> tuple[np.nda
     return x, y
 
 
-def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]], sure: float = 3.0) -> list[list[tuple[str, int, int]]]:
+def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]], sure: float = 3.0, everywhere: bool = False) -> list[list[tuple[str, int, int]]]:
     out: list[list[tuple[str, int, int]]] = []
     first = 0
     while first < len(texts):  # as many texts at once as CHUNK characters hold
@@ -372,14 +381,23 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int
         while last < len(texts) and waiting + len(texts[last]) <= CHUNK:
             waiting += len(texts[last])
             last += 1
-        out += _added(tagger, texts[first:last], base[first:last], sure)
+        out += _added(tagger, texts[first:last], base[first:last], sure, everywhere)
         first = last
     return out
 
 
-def _added(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]], sure: float) -> list[list[tuple[str, int, int]]]:
-    scores = tagger.stretches([codes(t) for t in texts])
+def _added(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]], sure: float, everywhere: bool) -> list[list[tuple[str, int, int]]]:
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    marks = None if everywhere else [np.array([m.start() for m in TRIGGER.finditer(t)], np.int64) for t in texts]
+    if marks is not None and not any(map(len, marks)):
+        return out
+    if marks is not None:  # texts without a mark hold no span
+        some = [k for k, m in enumerate(marks) if len(m)]
+        if len(some) < len(texts):
+            for k, spans in zip(some, _added(tagger, [texts[k] for k in some], [base[k] for k in some], sure, everywhere), strict=True):
+                out[k] = spans
+            return out
+    scores = tagger.stretches([codes(t) for t in texts], marks)
     move = tagger.p["step"]
     for k, parts in enumerate(tagger.whole_paths(scores)):
         for at, path in parts:

@@ -175,6 +175,11 @@ def test_tagger_adds_spans_and_redacts(spark):
     assert got[2].base_sha256 == sha("")
     tagger = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert pii.added_spans(tagger, [text], [[]]) == [[("phone", 19, 33)]]
+    rng, real = np.random.default_rng(15), [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 120").collect()]
+    texts = [t[: len(t) // 2] + f" {pii.written_forms(rng)[0]} " + t[len(t) // 2 :] for t in real if t]
+    base = [pii.base_spans(t) for t in texts]
+    near = pii.added_spans(tagger, texts, base)
+    assert near == pii.added_spans(tagger, texts, base, everywhere=True) and sum(map(len, near)) > 5
     redacted = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert redacted[1].text == "mail <EMAIL> now, <IP> too" and redacted[1].n_chars == 26 and redacted[4].n_chars == 16 and redacted[3].text is None
 
