@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational, scalar, vectors
+from tessera.plans import money, relational, scalar, signals, texts, vectors
 from tessera.plans.dialect import DUCK, plan
 from tessera.sources import published
 
-BOTH = relational.QUERIES | scalar.QUERIES | vectors.QUERIES
+BOTH = relational.QUERIES | scalar.QUERIES | signals.QUERIES | money.QUERIES | texts.QUERIES | vectors.QUERIES
 
 
 def _duck(sql: str) -> str:
@@ -14,11 +14,11 @@ def _duck(sql: str) -> str:
 
 
 def queries():
-    from tessera.functions import ledger, training
+    from tessera.functions import training
     from tessera.streaming import folds
 
-    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | folds.PLANS | ledger.PLANS | training.PLANS | published.PLANS
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | folds.PLANS | training.PLANS | published.PLANS
 
 
 def oracle_sql():
-    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES).items()}
+    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | texts.ORACLES).items()}

@@ -134,6 +134,26 @@ class Spark:
     def translate(self, s, a, b):
         return f"translate({s}, '{a}', '{b}')"
 
+    def resplit(self, s, pattern):
+        return f"split({s}, {self.text(pattern)})"
+
+    def exploded(self, source, keep, array, name, at):
+        """Rows of an array's elements and their places, from 1."""
+        return f"(SELECT {keep}, at_ + 1 AS {at}, {name} FROM {source} LATERAL VIEW posexplode({array}) e_ AS at_, {name})"
+
+    def lengths(self, array, n):
+        """Characters of the first n elements."""
+        return f"aggregate(transform(slice({array}, 1, {n}), x -> length(x)), 0, (a, x) -> a + x)"
+
+    def last(self, array):
+        return f"try_element_at({array}, -1)"
+
+    def find(self, s, t):
+        return f"instr({s}, {t})"
+
+    def ordered(self, x, by, sep):
+        return f"array_join(transform(array_sort(collect_list(struct({by} AS b, {x} AS x))), e -> e.x), {sep})"
+
     def boolint(self, c):
         return f"CAST(CASE WHEN {c} THEN 1 ELSE 0 END AS BIGINT)"
 
@@ -258,6 +278,21 @@ class Duck(Spark):
     def split(self, s, by):
         return f"string_split({s}, '{by}')"
 
+    def resplit(self, s, pattern):
+        return f"regexp_split_to_array({s}, {self.text(pattern)})"
+
+    def exploded(self, source, keep, array, name, at):
+        return f"(SELECT {keep}, unnest({array}) AS {name}, generate_subscripts({array}, 1) AS {at} FROM {source})"
+
+    def lengths(self, array, n):
+        return f"CAST(coalesce(list_sum(list_transform(({array})[1:{n}], lambda x: length(x))), 0) AS BIGINT)"
+
+    def last(self, array):
+        return f"({array})[-1]"
+
+    def ordered(self, x, by, sep):
+        return f"string_agg({x}, {sep} ORDER BY {by})"
+
     def has(self, s, t):
         return f"contains({s}, {t})"
 

@@ -559,13 +559,6 @@ def m7_snooze_expiry(d):
     return f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderdate <= {now(d)} - INTERVAL 1000 DAY THEN 'O' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'P' AND o_orderdate <= {now(d)} - INTERVAL 1000 DAY THEN 2 ELSE 1 END AS revision FROM orders"
 
 
-@query
-def m14_failure_taxonomy(d):
-    """M14"""
-    return """SELECT code, CASE WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'denied' WHEN code IN (404, 410) THEN 'gone' WHEN code >= 500 THEN 'unavailable' ELSE 'invalid' END AS failure,
-      code = 429 OR code >= 500 AS retryable FROM (VALUES (400), (401), (403), (404), (410), (429), (500), (503)) AS t(code)"""
-
-
 @query
 def m16_heartbeat(d):
     """M16"""

@@ -1,4 +1,4 @@
-"""Text, time, JSON, money and risk expressions, over the tables and over literal cases."""
+"""Time and token expressions, and plans that read text in Python."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import mail
 
 QUERIES = {}
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-URL = r"https?://[^ \t\n<>()]+"
 
 
 def query(f):
@@ -17,300 +15,28 @@ def query(f):
     return f
 
 
-def values(cols: str, *rows: str) -> str:
-    return f"(VALUES {', '.join(f'({r})' for r in rows)}) AS t({cols})"
-
-
-SENDERS = values("id, sender", "1, 'Ada Team <Ada.Team@Mail.Example.co.uk>'", "2, 'plain@example.com'", "3, 'no address'", "4, '\"Shop, Inc\" <billing@shop.example.com.>'", "5, ''")
-
-
-def address(d, col):
-    inside = d.first(col, r"<([^<>]*@[^<>]*)>", 1)
-    return f"lower(trim(CASE WHEN {inside} <> '' THEN {inside} ELSE {d.first(col, EMAIL)} END))"
-
-
-def domain(d, a):
-    return f"CASE WHEN {d.has(a, chr(39) + '@' + chr(39))} THEN {d.sub(d.first(a, '@([^@]*)$', 1), '[.]$')} ELSE '' END"
-
-
-def registrable(d, host):
-    parts = d.split(host, ".")
-    n = f"CASE WHEN {d.like(host, r'(^|[.])(co|com|org|net|ac|gov)[.](uk|in|jp|au|nz|br)$')} THEN 3 ELSE 2 END"
-    take = f"slice({parts}, greatest(1, size({parts}) - ({n}) + 1), {n})" if d.name == "spark" else f"({parts})[greatest(1, len({parts}) - ({n}) + 1):]"
-    return d.joined(take, ".")
-
-
-def host(d, url):
-    return f"lower({d.first(url, '^https?://([^/:?#]+)', 1)})"
-
-
-@query
-def h1_canonical_text(d):
-    """H1 on text without combining marks: line ends, blanks, empty lines."""
-    s = d.sub("text", r"\r\n?", "\n") if d.name == "spark" else "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    nl = "'\\n'" if d.name == "spark" else "chr(10)"
-    many = f"regexp_replace({d.sub(s, '[ \t]+', ' ')}, r'\\n{{3,}}', {nl} || {nl})" if d.name == "spark" else f"regexp_replace({d.sub(s, '[ \t]+', ' ')}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    return f"SELECT doc_id, {d.sha(f'trim({many})')} AS canonical FROM documents"
-
-
-@query
-def h2_subject(d):
-    """H2"""
-    return f"SELECT doc_id, substr(trim({d.sub('text', chr(92) + 's+', ' ')}), 1, 2000) AS subject FROM documents"
-
-
-def key(d, s):
-    return f"lower(trim({d.sub(d.translate(s, '“”‘’–—', chr(34) * 2 + '``--'), chr(92) + 's+', ' ')}))"
-
-
 @query
 def i18_strict_object(d):
     """The text is at most 200 characters, a JSON object, and repeats no key (flat objects)."""
     keys = d.each(d.every("s", r'"[^"]*" *:'), d.sub("x", " *:$"))
     valid = "try_parse_json(s) IS NOT NULL" if d.name == "spark" else "json_valid(s)"
-    cases = values("id, s", """1, '{"a": 1, "b": 2}'""", """2, '{"a": 1, "a": 2}'""", "3, '[1]'", "4, 'x'", "5, ''", """6, '{"a":'""")
+    cases = """(VALUES (1, '{"a": 1, "b": 2}'), (2, '{"a": 1, "a": 2}'), (3, '[1]'), (4, 'x'), (5, ''), (6, '{"a":')) AS t(id, s)"""
     return f"""SELECT src, id, coalesce(length(s) BETWEEN 1 AND 200 AND {valid} AND {d.like('s', '^[ ]*[{]')} AND {d.size(d.unique(keys))} = {d.size(keys)}, false) AS accepted FROM
       (SELECT 'case' AS src, CAST(id AS BIGINT) AS id, s FROM {cases} UNION ALL SELECT 'event', event_id, props FROM events) x"""
 
 
-@query
-def a19_delivery_result(d):
-    """Sent with a message number; retry when throttled or the server failed; unknown without a readable answer; blocked otherwise."""
-    cases = values("id, status, answer", """1, 200, '{"ok": true, "id": 5}'""", """2, 200, '{"ok": true}'""", """3, 429, '{"ok": false, "wait": 30}'""", """4, 503, '{"ok": false}'""", """5, 403, '{"ok": false}'""", "6, 200, NULL")
-    ok, number, wait = d.json("answer", "$.ok"), d.json("answer", "$.id"), d.json("answer", "$.wait")
-    return f"""SELECT id, CASE WHEN answer IS NULL THEN 'unknown' WHEN status = 200 AND {ok} = 'true' THEN CASE WHEN {number} IS NULL THEN 'unknown' ELSE 'sent' END
-      WHEN status = 429 OR status >= 500 THEN 'retry' ELSE 'blocked' END AS result, CASE WHEN status = 429 THEN {d.try_cast(wait, 'DOUBLE')} END AS retry_after FROM {cases}"""
-
-
-@query
-def h3_grounding_key(d):
-    """H3"""
-    return f"SELECT id, {key(d, 's')} AS k FROM {values('id, s', "1, 'A  “quote” – and ‘more’ '", "2, ''", "3, 'ÉCOLE   du  Nord'")}"
-
-
-@query
-def grounded_quotes(d):
-    """Benchmark passages found in documents, by normalised containment."""
-    return f"""SELECT b.item_id, count(d.doc_id) AS documents FROM (SELECT item_id, {key(d, 'substr(text, 1, 80)')} AS q FROM benchmark) b
-      LEFT JOIN (SELECT doc_id, {key(d, 'text')} AS s FROM documents) d ON {d.has('d.s', 'b.q')} AND b.q <> '' GROUP BY b.item_id"""
-
-
-@query
-def h5_composite_format(d):
-    """H5"""
-    return "SELECT doc_id, rtrim(substr(concat('Subject: ', substr(text, 1, 40), ' | Body: ', text), 1, 6000)) AS formatted FROM documents"
-
-
-@query
-def link_hosts(d):
-    """Host and registrable domain of page addresses."""
-    h = host(d, "url")
-    return f"SELECT page_id, {h} AS host, {registrable(d, h)} AS registrable FROM pages"
-
-
-@query
-def h8_plain_links(d):
-    """H8: links in texts, trailing marks stripped, fifty at most."""
-    links = d.cut(d.each(d.every("s", URL), d.sub("x", r"[.,;:!?)]+$")), 50)
-    return f"SELECT id, {d.joined(links, ' ')} AS links, {d.size(links)} AS n FROM {values('id, s', "1, 'see https://a.example.com/x?y=1, and http://b.example.org.'", "2, 'none'", "3, 'ftp://c.example.com http://d'")}"
-
-
-@query
-def h9_sender_address(d):
-    """H9, H10, H12"""
-    a = address(d, "sender")
-    return f"SELECT id, {a} AS address, {domain(d, a)} AS domain, {registrable(d, domain(d, a))} AS registrable FROM {SENDERS}"
-
-
-@query
-def h13_auth_results(d):
-    """Any pass wins; unknown otherwise."""
-    verdict = lambda m: f"CASE WHEN {d.like('h', m + '=pass')} THEN 'pass' WHEN {d.like('h', m + '=(fail|softfail)')} THEN 'fail' ELSE 'unknown' END"
-    return f"SELECT id, {verdict('spf')} AS spf, {verdict('dkim')} AS dkim, {verdict('dmarc')} AS dmarc FROM {values('id, h', "1, 'mx; spf=pass x; dkim=fail; dkim=pass'", "2, 'mx; spf=softfail'", "3, ''")}"
-
-
-@query
-def h14_signal_record(d):
-    """H14"""
-    a, r = address(d, "sender"), address(d, "reply")
-    return f"""SELECT id, {domain(d, a)} AS from_domain, {domain(d, r)} AS reply_domain, {domain(d, r)} <> '' AND {domain(d, a)} <> {domain(d, r)} AS mismatch FROM
-      {values('id, sender, reply', "1, 'A <a@x.example.com>', 'b@y.example.org'", "2, 'A <a@x.example.com>', ''", "3, 'a@x.example.com', 'A <c@x.example.com>'")}"""
-
-
-def folded(d, s):
-    return f"replace(replace({d.sub(d.translate(f'lower({s})', '0134579', 'oieastg'), '[^a-z]')}, 'rn', 'm'), 'vv', 'w')"
-
-
-@query
-def h15_skeleton(d):
-    """H15 on ASCII"""
-    return f"SELECT id, {folded(d, 's')} AS skeleton FROM {values('id, s', "1, 'Arnaz0n'", "2, 'paypa1-vvest'", "3, ''")}"
-
-
-@query
-def h17_ip_host(d):
-    """H17"""
-    return f"SELECT id, {d.like('s', r'^([0-9]{1,3}[.]){3}[0-9]{1,3}$')} OR {d.like('s', r'^\[?[0-9a-f:]*:[0-9a-f:]+\]?$')} AS is_ip FROM {values('id, s', "1, '10.0.0.1'", "2, 'a.example.com'", "3, '2001:db8::1'", "4, '1.2.3'")}"
-
-
-@query
-def h18_sentence_around(d):
-    """H18"""
-    return f"SELECT id, substr(trim({d.sub(d.first('s', r'[^.\n|]*renews[^.\n|]*'), chr(92) + 's+', ' ')}), 1, 200) AS sentence FROM {values('id, s', "1, 'Hello. Your plan  renews on 4 May. Bye.'", "2, 'nothing here'", "3, 'x | it renews | y'")}"
-
-
-def redacted(d, s):
-    for pattern, tag in ((URL, "<url>"), (r"(?:USD|EUR|INR|GBP|Rs[.]?|[$€£₹]) ?[0-9][0-9,]*(?:[.][0-9]{2})?", "<amount>"), (EMAIL, "<email>"), (r"[0-9]{3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "<ip>"), (r"[0-9]{6,}", "<number>")):
-        s = d.sub(s, pattern, tag)
-    return s
-
-
-@query
-def redacted_documents(d):
-    """Masks in order, for labelled documents only."""
-    return f"SELECT d.doc_id, {d.sha(redacted(d, 'd.text'))} AS safe, {d.count(redacted(d, 'd.text'), '<(url|amount|email|ip|number)>')} AS masks FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
-
-
-@query
-def h20_safe_text(d):
-    """Redacted, then formatted, without the sender."""
-    return f"SELECT doc_id, substr(concat('Body: ', {redacted(d, 'text')}), 1, 300) AS safe FROM documents"
-
-
-@query
-def a17_formula_escape(d):
-    """What a spreadsheet would run begins with a quote mark."""
-    return f"SELECT id, CASE WHEN {d.like('s', '^[=+@-]')} THEN concat(chr(39), s) ELSE s END AS cell FROM {values('id, s', "1, '=1+1'", "2, 'plain'", "3, '-x'", "4, ''")}"
-
-
-@query
-def h22_quoted_strip(d):
-    """H22"""
-    return f"SELECT id, trim({d.sub('s', r'(?s)(On [^\n]* wrote:|-----Original Message-----).*$')}) AS own FROM {values('id, s', "1, 'Thanks! On Monday Ada wrote: hello'", "2, 'just mine'", "3, 'x -----Original Message----- y'")}"
-
-
-@query
-def style_profile(d):
-    """turns' word counts by role, median and longest."""
-    n = d.count("text", r"[^ \t\n\r]+")
-    return f"SELECT role, count(*) AS turns, round({d.median('n')}, 6) AS median_words, max(n) AS longest FROM (SELECT role, {n} AS n FROM conversations) x GROUP BY role"
-
-
-@query
-def d16_greeting_mode(d):
-    """The commonest first word of a role's turns, ties by name."""
-    return f"SELECT role, word, n FROM (SELECT role, word, n, row_number() OVER (PARTITION BY role ORDER BY n DESC, word) AS rn FROM (SELECT role, {d.first('text', '^[^ ]+')} AS word, count(*) AS n FROM conversations GROUP BY 1, 2) c) r WHERE rn = 1"
-
-
-@query
-def h24_first_name(d):
-    """H24"""
-    bare = d.sub(d.sub("s", r"[(<\[].*$"), r"(?i)^(dr|mr|mrs|ms|prof)[.]? +")
-    return f"SELECT id, {d.first(f'trim({bare})', '^[^ ]*')} AS first_name FROM {values('id, s', "1, 'Dr. Ada Lovelace (Team)'", "2, 'Grace <g@x.example.com>'", "3, ''")}"
-
-
-@query
-def h25_merchant_from_sender(d):
-    """H25"""
-    name = f"trim({d.sub(d.sub(d.sub('sender', '<.*$'), chr(34)), r'(?i)(billing|team|support|no-?reply|,? ?inc[.]?)')})"
-    base = d.split(domain(d, address(d, "sender")), ".")
-    return f"SELECT id, CASE WHEN {name} <> '' AND NOT {d.has(name, chr(39) + '@' + chr(39))} THEN {name} WHEN {domain(d, address(d, 'sender'))} <> '' THEN {d.title(d.part(base, 1))} ELSE 'Unknown' END AS merchant FROM {SENDERS}"
-
-
-@query
-def h26_merchant_category(d):
-    """The first category whose word the key holds."""
-    k = d.sub("lower(p_name)", "[^a-z0-9]")
-    return f"SELECT p_partkey, {k} AS k, {d.argmin('c.category', 'c.priority')} AS category FROM part JOIN (VALUES (1, 'rings', 'ring'), (2, 'bolts', 'bolt'), (3, 'small', 'small')) AS c(priority, category, word) ON {d.has(k, 'c.word')} GROUP BY p_partkey, p_name"
-
-
-@query
-def template_groups(d):
-    """Subjects with numbers and addresses masked, hashed."""
-    s = d.sub(d.sub(d.sub("lower(substr(text, 1, 60))", r"^(re|fwd?): *"), EMAIL, "<a>"), "[0-9]+", "#")
-    return f"SELECT {d.sha(f'concat(source, chr(31), {s})')} AS grp, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"
-
-
-@query
-def h28_style_checks(d):
-    """H28"""
-    rules = {"stock": d.like("s", "(?i)hope this finds you well"), "dash": d.has("s", "'—'"), "list": d.like("s", r"(?m)^[*-] "), "long": "length(s) > 60"}
-    return f"SELECT id, concat({', '.join(f'CASE WHEN {c} THEN {chr(39)}{n};{chr(39)} ELSE {chr(39)}{chr(39)} END' for n, c in rules.items())}) AS broken FROM {values('id, s', "1, 'I hope this finds you well — bye'", "2, 'ok'", "3, '- one point that is made at length here, in words and more words'")}"
-
-
-@query
-def h29_money_display(d):
-    """Indian 3-2-2 grouping of minor units, for up to nine digits."""
-    w = "CAST(CAST(floor(m / 100) AS BIGINT) AS STRING)"
-    head = f"substr({w}, 1, length({w}) - 3)"
-    grouped = f"CASE WHEN length({w}) <= 3 THEN {w} ELSE concat({d.sub(head, '([0-9])(([0-9][0-9])*)$', '$1$2') if False else head}, ',', substr({w}, length({w}) - 2)) END"
-    lakh = f"CASE WHEN length({w}) <= 5 THEN {grouped} ELSE concat(substr({w}, 1, length({w}) - 5), ',', substr({w}, length({w}) - 4, 2), ',', substr({w}, length({w}) - 2)) END"
-    return f"SELECT o_orderkey, concat({lakh}, '.', lpad(CAST(m % 100 AS STRING), 2, '0')) AS shown FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS m FROM orders) x"
-
-
-@query
-def amounts_parsed(d):
-    """Amounts to minor units, bounded."""
-    found = d.first("s", r"(?:USD|EUR|INR|GBP|Rs[.]?|[$€£₹]) ?([0-9][0-9,]*(?:[.][0-9]{2})?)", 1)
-    return f"""SELECT id, CASE WHEN m > 0 AND m <= 10000000000 THEN m END AS minor FROM (SELECT id, CAST(round({d.try_cast(f"replace({found}, ',', '')", 'DECIMAL(18,2)')} * 100) AS BIGINT) AS m FROM
-      {values('id, s', "1, 'paid $1,234.50 today'", "2, 'INR 99 only'", "3, 'no money'", "4, '€0.00'", "5, '₹12,34,567.89 due'")}) x"""
-
-
-CUES = values("id, s", "1, 'Receipt: you paid $5 for your order'", "2, 'Sale! offer offer discount $9'", "3, 'Refund of $3 was issued, receipt enclosed'", "4, 'Your subscription renews monthly, receipt $8'", "5, 'Your bill is due, invoice $7'")
-
-
-@query
-def transaction_gate(d):
-    """K2, K4: record cues outweigh advert cues; kinds in order."""
-    record, advert = d.count("lower(s)", "receipt|paid|invoice|refund|issued|due"), d.count("lower(s)", "sale|offer|discount")
-    kind = f"CASE WHEN {d.like('lower(s)', 'refund')} THEN 'refund' WHEN {d.like('lower(s)', 'subscription|renews')} THEN 'subscription' WHEN {d.like('lower(s)', 'bill|invoice')} AND NOT {d.like('lower(s)', 'paid')} THEN 'bill' ELSE 'purchase' END"
-    return f"SELECT id, {d.like('s', '[$][0-9]')} AND {record} > 0 AND {record} > {advert} AS gate, {kind} AS kind FROM {CUES}"
-
-
-@query
-def k6_renewal_period(d):
-    """The period word and the written date, rolled past the day of receipt."""
-    when = d.date(d.first("s", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "%Y-%m-%d")
-    return f"SELECT id, CASE WHEN {d.like('s', 'month')} THEN 'monthly' WHEN {d.like('s', 'year|annual')} THEN 'yearly' WHEN {d.like('s', 'week')} THEN 'weekly' END AS period, {when} AS renews FROM {values('id, s', "1, 'renews monthly on 2024-05-04'", "2, 'annual plan'", "3, 'on 2024-13-99 weekly'")}"
-
-
-@query
-def k8_answer_resolution(d):
-    """K8: an answer counts if its amount is one of those found and its merchant is grounded."""
-    return f"SELECT id, a = ref AND {d.has('lower(s)', 'lower(merchant)')} AND merchant <> '' AS accepted FROM {values('id, s, a, ref, merchant', "1, 'Paid to Blue Shop', 5, 5, 'blue shop'", "2, 'Paid to Blue Shop', 5, 6, 'blue shop'", "3, 'Paid', 5, 5, 'red'")}"
-
-
 @query
 def token_estimate(d):
     """H31"""
     return f"SELECT source, CAST(sum(greatest(1, CAST(ceil({d.bytes('text')} / 4.0) AS BIGINT))) AS BIGINT) AS tokens FROM documents GROUP BY source"
 
 
-@query
-def h32_duration(d):
-    """H32"""
-    part = lambda unit, k: f"coalesce({d.try_cast(d.first('s', f'([0-9.]+){unit}', 1), 'DOUBLE')}, 0) * {k}"
-    return f"SELECT id, round(CASE WHEN {d.like('s', '^[0-9.]+$')} THEN {d.try_cast('s', 'DOUBLE')} ELSE {part('h', 3600)} + {part('m([^s]|$)', 60)} + {part('ms', 0.001)} + {d.try_cast(d.first('s', '([0-9.]+)s', 1), 'DOUBLE') and 'coalesce(' + d.try_cast(d.first('s', '([0-9.]+)s', 1), 'DOUBLE') + ', 0)'} END, 6) AS seconds FROM {values('id, s', "1, '2h9m36s'", "2, '585ms'", "3, '12.5'", "4, '7s'")}"
-
-
-@query
-def h33_safe_screen(d):
-    """H33"""
-    return f"SELECT id, NOT {d.like('s', '<[a-z/]')} AND NOT {d.like('s', 'https?://')} AND {d.has('lower(src)', 'lower(s)')} AS safe FROM {values('id, s, src', "1, 'fine words', 'These are fine words.'", "2, '<b>x</b>', '<b>x</b>'", "3, 'http://x', 'http://x'", "4, 'made up', 'other'")}"
-
-
 @query
 def i1_utc_stamp(d):
     """Fixed-width stamps sort like instants; the local day of each."""
     return f"SELECT event_id, {d.stamp('ts')} AS stamp, CAST({d.local('ts')} AS DATE) AS local_day FROM events"
 
 
-@query
-def i2_legacy_stamp(d):
-    """ISO, else day-month-year, else the epoch's day."""
-    return f"SELECT id, coalesce({d.date('s', '%Y-%m-%d')}, {d.date('s', '%d-%m-%Y')}, DATE '1970-01-01') AS day FROM {values('id, s', "1, '2024-02-29'", "2, '05-03-2023'", "3, 'soon'")}"
-
-
 @query
 def i4_month_bounds(d):
     """I4"""
@@ -319,15 +45,6 @@ def i4_month_bounds(d):
     return f"SELECT {d.month(d.local('ts'))} AS month, {d.utc(start)} AS from_utc, {d.utc(f'CAST({start} + INTERVAL 1 MONTH AS {stamp})')} AS to_utc, count(*) AS n FROM events GROUP BY 1, 2, 3"
 
 
-@query
-def i7_weekday_deadline(d):
-    """The coming occurrence of the weekday that is named."""
-    day = "extract(DAYOFWEEK FROM CAST(ts AS DATE)) - 1" if d.name == "spark" else "extract(DOW FROM ts)"
-    ahead = f"CAST((5 - ({day}) + 6) % 7 + 1 AS INT)"
-    due = f"date_add(CAST(ts AS DATE), {ahead})" if d.name == "spark" else f"CAST(CAST(ts AS DATE) + {ahead} AS DATE)"
-    return f"SELECT event_id, {due} AS friday FROM events WHERE event_id < 3000"
-
-
 @query
 def i8_deadline_canonical(d):
     """A date is nine o'clock local; beyond a year it is unknown; a reminder half an hour ahead."""
@@ -343,140 +60,12 @@ def i11_backoff(d):
     return "SELECT n, CAST(least(300, 5 * power(2, least(greatest(n - 1, 0), 6))) AS BIGINT) AS delay, CAST(least(60, 5 * power(2, least(greatest(n - 1, 0), 6))) AS BIGINT) AS offline FROM (VALUES (0), (1), (2), (3), (6), (7), (8), (40)) AS t(n)"
 
 
-@query
-def risk_score_bands(d):
-    """The weights of a user's findings through a logistic; no finding scores 5 at most."""
-    z = "-3.1 + sum(w)"
-    score = f"CASE WHEN count(w) = 0 THEN 5 ELSE CAST({d.bround(f'100 / (1 + exp(-({z})))', 0)} AS BIGINT) END"
-    return f"""SELECT user_id, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS band FROM (SELECT user_id, {score} AS score FROM
-      (SELECT DISTINCT e.user_id, e.event_type, w.w FROM events e LEFT JOIN (VALUES ('error', 2.25), ('purchase', 0.75), ('click', 0.5)) AS w(signal, w) ON w.signal = e.event_type WHERE e.event_id % 29 < 3) f GROUP BY user_id) s"""
-
-
-@query
-def i15_json_guard(d):
-    """I15, I16, I17"""
-    return f"SELECT id, {d.try_cast(d.json('s', '$.k'), 'DOUBLE')} AS k, {d.json('s', '$.name')} AS name FROM {values('id, s', chr(49) + ", '{" + '"k": 5, "name": "a"' + "}'", "2, '{" + '"k": "x"' + "}'", "3, '{}'")}"
-
-
-@query
-def i16_json_sizes(d):
-    """I16"""
-    return f"SELECT id, {d.json_size('s')} AS n, {d.json_size('s')} > 0 AS filled FROM {values('id, s', "1, '[1,2,3]'", "2, '[]'")}"
-
-
 @query
 def i19_bounded_slice(d):
     """Distinct words of a turn, sorted, the first five."""
     return f"SELECT conv_id, turn, {d.joined(d.cut(d.unique(d.every('text', '[a-z]+')), 5))} AS words FROM conversations"
 
 
-@query
-def i21_ms_tenths(d):
-    """I21, I22, I23"""
-    hour = f"hour({d.local('ts')})"
-    return f"SELECT event_id, CAST(ceil(value * 1000 / 100 - 0.000000001) AS BIGINT) AS tenths, {d.days('ts', now_ntz(d))} AS days_until, {hour} * 60 + minute({d.local('ts')}) >= 570 AS is_due FROM events WHERE event_id < 3000"
-
-
-def now_ntz(d):
-    return f"{'TIMESTAMP_NTZ' if d.name == 'spark' else 'TIMESTAMP'} '2024-02-01 00:00:00'"
-
-
-@query
-def near_copy_names(d):
-    """Words within one edit of a target, or with its skeleton; targets are a dictionary of fixed size."""
-    return f"""SELECT w.word, t.target, CAST(levenshtein(w.word, t.target) AS BIGINT) AS distance FROM (SELECT DISTINCT p_name AS word FROM part) w JOIN (VALUES ('smal ring'), ('small rinq'), ('larqe bolt'), ('red bolt')) AS t(target)
-      ON abs(length(w.word) - length(t.target)) <= 1 AND levenshtein(w.word, t.target) <= 1"""
-
-
-@query
-def l1_header_findings(d):
-    """L1"""
-    return f"""SELECT id, concat(CASE WHEN spf = 'fail' OR dkim = 'fail' THEN 'auth_failed;' ELSE '' END, CASE WHEN spf = '' AND dkim = '' THEN 'no_auth;' ELSE '' END, CASE WHEN reply <> '' AND reply <> dom THEN 'reply_mismatch;' ELSE '' END,
-      CASE WHEN {d.like('dom', '(^|[.])xn--')} THEN 'punycode;' ELSE '' END) AS findings FROM {values('id, spf, dkim, dom, reply', "1, 'fail', 'pass', 'a.example.com', ''", "2, '', '', 'xn--x.example.com', 'b.example.com'", "3, 'pass', 'pass', 'a.example.com', 'a.example.com'")}"""
-
-
-@query
-def l2_link_findings(d):
-    """The first finding of each signal in rule order."""
-    return f"""SELECT id, signal, min(pos) AS first_pos FROM (SELECT id, pos, CASE WHEN {d.like('href', '^https?://[0-9.]+(/|$)')} THEN 'ip_link' WHEN {d.like('href', '//(bit[.]example|t[.]example)/')} THEN 'shortener'
-      WHEN {d.like('label', '[a-z]+[.][a-z]+')} AND NOT {d.has('href', 'label')} THEN 'mismatch' END AS signal FROM {values('id, pos, label, href', "1, 0, 'shop.com', 'http://evil.example.org/'", "1, 1, 'x', 'http://10.0.0.1/'", "1, 2, 'y', 'http://10.0.0.2/'", "2, 0, 'ok', 'https://a.example.com/'", "2, 1, 'z', 'https://bit.example/q'")}) x WHERE signal IS NOT NULL GROUP BY id, signal"""
-
-
-@query
-def l3_content_findings(d):
-    """L3, L4: lures, unless the text warns of them."""
-    warn = d.like("lower(s)", "never (share|ask)|do not share")
-    return f"SELECT id, {d.like('lower(s)', 'send (us )?your (password|pin|code)')} AND NOT {warn} AS secret, {d.like('lower(s)', 'won a prize|gift card|wire transfer')} AS lure, {d.like('lower(s)', 'urgent|immediately|within 24 hours')} AS urgency FROM {values('id, s', "1, 'Urgent: send us your PIN'", "2, 'We never ask: do not send your password'", "3, 'You won a prize, act immediately'")}"
-
-
-@query
-def l6_score_upsert(d):
-    """The review flag survives."""
-    return "SELECT coalesce(n.id, o.id) AS id, coalesce(n.score, o.score) AS score, o.reviewed FROM (VALUES (1, 80, true), (2, 30, false)) AS o(id, score, reviewed) FULL OUTER JOIN (VALUES (1, 60), (3, 10)) AS n(id, score) ON o.id = n.id"
-
-
-@query
-def f9_total_argmin(d):
-    """The amount nearest to a cue, the later one on ties."""
-    return f"SELECT id, {d.argmin('minor', 'off * 1000 - pos')} AS total FROM (SELECT id, minor, pos, abs(pos - cue) AS off FROM {values('id, minor, pos, cue', '1, 500, 10, 30', '1, 900, 34, 30', '1, 700, 26, 30', '2, 100, 5, 0')}) x GROUP BY id"
-
-
-@query
-def f8_ranked_findings(d):
-    """F8: by weight, stable on rule order, twelve at most."""
-    return "SELECT event_id, CAST(rn AS BIGINT) AS rn FROM (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS rn FROM events) x WHERE rn <= 12"
-
-
-@query
-def g6_link_dedupe(d):
-    """The first of each (text, target)."""
-    return "SELECT label, href, min(pos) AS first_pos FROM (VALUES (0, 'a', 'x'), (1, 'b', 'x'), (2, 'a', 'x'), (3, 'a', 'y')) AS t(pos, label, href) GROUP BY label, href"
-
-
-@query
-def o7_verified_answers(d):
-    """Sentences stand with one verified citation at least."""
-    return f"""SELECT a.sentence, CAST(count_if({d.has('lower(d.text)', 'lower(a.quote)')}) AS BIGINT) AS verified, count(*) AS cited FROM (VALUES ('s1', 0, 'eau'), ('s1', 1, 'never said so'), ('s2', 2, 'zzzz qqqq')) AS a(sentence, ref, quote)
-      LEFT JOIN documents d ON d.doc_id = a.ref GROUP BY a.sentence"""
-
-
-@query
-def o4_tool_search(d):
-    """Word, language and range filters, eight rows."""
-    return f"SELECT doc_id, n_chars FROM documents WHERE {d.has('lower(text)', chr(39) + 'the' + chr(39))} AND lang = 'en' AND doc_id BETWEEN 100 AND 900 ORDER BY doc_id DESC LIMIT 8"
-
-
-@query
-def o8_step_shape(d):
-    """O8"""
-    return f"SELECT id, {d.json('s', '$.tool')} IN ('search', 'read') AND {d.json('s', '$.args')} IS NOT NULL AS valid FROM {values('id, s', "1, '{" + '"tool": "search", "args": {"q": 1}' + "}'", "2, '{" + '"tool": "drop", "args": {}' + "}'", "3, '{" + '"tool": "read"' + "}'")}"
-
-
-@query
-def o10_question_score(d):
-    """Every fact by any of its wordings, no forbidden phrase."""
-    return f"""SELECT q.id, bool_and(q.ok) AND NOT max(q.bad) AS correct FROM (SELECT f.id, f.fact, max({d.has('lower(f.answer)', 'f.option')}) AS ok, max({d.has('lower(f.answer)', 'f.forbidden')}) AS bad FROM
-      {values('id, answer, fact, option, forbidden', "1, 'Due on Friday at noon', 1, 'friday', 'monday'", "1, 'Due on Friday at noon', 1, 'fri.', 'monday'", "1, 'Due on Friday at noon', 2, 'noon', 'monday'", "2, 'Monday', 1, 'friday', 'monday'").replace(' AS t(', ' AS f(')} GROUP BY f.id, f.fact) q GROUP BY q.id"""
-
-
-@query
-def o12_decision_context(d):
-    """O12"""
-    return f"SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'confirmed' ELSE 'model' END AS origin, {d.try_cast(d.json('props', '$.k'), 'BIGINT')} AS k FROM events WHERE event_id % 11 = 0"
-
-
-@query
-def a13_last_line_wins(d):
-    """Of recorded lines with one key the last stands."""
-    return f"SELECT id, {d.argmax('answer', 'line')} AS answer FROM {values('line, id, answer', "1, 'a', 'x'", "2, 'b', 'y'", "3, 'a', 'z'")} GROUP BY id"
-
-
-@query
-def a16_align_labels(d):
-    """Foreign labels mapped, unknown ones refused."""
-    return "SELECT id, CASE label WHEN 'ham' THEN 'ROUTINE' WHEN 'spam' THEN 'SPAM' END AS label, label NOT IN ('ham', 'spam') AS refused FROM (VALUES (1, 'ham'), (2, 'spam'), (3, 'eggs')) AS t(id, label)"
-
-
 def page_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6, H7: visible text, links and hidden text of pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
