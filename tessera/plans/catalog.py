@@ -17,8 +17,8 @@ def queries():
     from tessera.functions import training
     from tessera.streaming import folds
 
-    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | folds.PLANS | training.PLANS | published.PLANS
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | vectors.PLANS | folds.PLANS | training.PLANS | published.PLANS
 
 
 def oracle_sql():
-    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | texts.ORACLES).items()}
+    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | texts.ORACLES | vectors.ORACLES).items()}

@@ -32,14 +32,15 @@ def latest_event_per_user(d):
     return f"SELECT user_id, event_id, event_type, ts FROM {latest(d, 'events', 'user_id', 'ts DESC, event_id DESC')} x"
 
 
-TYPES = "(VALUES ('click'), ('view'), ('error'), ('purchase'), ('signup'), ('refund')) AS kinds(event_type)"
+TYPES = ("click", "view", "error", "purchase", "signup", "refund")
 
 
 @query
 def status_counts_zero_filled(d):
-    """Every status of the dictionary appears, the absent ones with 0."""
-    return f"""SELECT k.event_type, u.user_id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM {TYPES} CROSS JOIN (SELECT DISTINCT user_id FROM events WHERE user_id < 20) u
-      LEFT JOIN (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) c ON c.user_id = u.user_id AND c.event_type = kinds.event_type""".replace("k.event_type", "kinds.event_type", 1)
+    """Of every user every status of the dictionary, the absent ones with 0, in one pass."""
+    counts = d.array(*(f"concat('{t}:', CAST(count_if(event_type = '{t}') AS STRING))" for t in TYPES))
+    rows = d.exploded(f"(SELECT user_id, {counts} AS cs FROM events GROUP BY user_id)", "user_id", "cs", "c", "at_type")
+    return f"SELECT user_id, {d.part(d.split('c', ':'), 1)} AS event_type, CAST({d.part(d.split('c', ':'), 2)} AS BIGINT) AS n FROM {rows} r"
 
 
 @query
@@ -91,8 +92,8 @@ def bounded_mean_latest50(d):
 
 @query
 def provider_limited_flag(d):
-    """Limited when the newest three are all errors or signups within a day."""
-    return f"""SELECT user_id, count(*) = 3 AND bool_and(event_type IN ('error', 'signup')) AND {d.days('min(ts)', 'max(ts)')} <= 1 AS limited, max(ts) AS newest
+    """Limited when the newest three attempts all failed with a code of the list (errors stand for them) within fifteen minutes, and when the first may be tried again."""
+    return f"""SELECT user_id, count(*) = 3 AND bool_and(event_type IN ('error', 'signup')) AND max(ts) <= min(ts) + INTERVAL 15 MINUTE AS limited, max(ts) AS newest, min(ts) + INTERVAL 15 MINUTE AS next_retry
       FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn <= 3 GROUP BY user_id"""
 
 
@@ -168,7 +169,7 @@ def renewal_roll_forward(d):
 def overlap_insights(d):
     """E7"""
     return f"""SELECT p_type, p_brand, count(*) AS parts, {d.listed('p_name')} AS names, CAST(sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS BIGINT) AS total
-      FROM part WHERE p_size <= 3 GROUP BY p_type, p_brand HAVING count(*) >= 2"""
+      FROM part GROUP BY p_type, p_brand HAVING count(*) >= 2"""
 
 
 @query
@@ -243,10 +244,10 @@ def first_source_provenance(d):
 
 @query
 def action_page(d):
-    """Half-open due range, open ends last, counts by correlated subqueries."""
-    return f"""SELECT o_orderkey, due, (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = x.o_orderkey) AS reminders, (SELECT min(l_shipdate) FROM lineitem l WHERE l.l_orderkey = x.o_orderkey) AS next_at
-      FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END AS due FROM orders) x WHERE due IS NULL OR (due >= {now(d)} - INTERVAL 20 DAY AND due < {now(d)})
-      ORDER BY due ASC NULLS LAST, o_orderkey LIMIT 60"""
+    """Half-open due range, open ends last, then of the page's actions the counts and the next dates."""
+    page = f"""(SELECT o_orderkey, due FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END AS due FROM orders) x WHERE due IS NULL OR (due >= {now(d)} - INTERVAL 20 DAY AND due < {now(d)})
+      ORDER BY due ASC NULLS LAST, o_orderkey LIMIT 60)"""
+    return f"SELECT p.o_orderkey, p.due, count(l.l_orderkey) AS reminders, min(l.l_shipdate) AS next_at FROM {page} p LEFT JOIN lineitem l ON l.l_orderkey = p.o_orderkey GROUP BY p.o_orderkey, p.due"
 
 
 @query
@@ -272,8 +273,8 @@ def page_with_total(d):
 
 @query
 def literal_search(d):
-    """B2, B1: wildcards are text; one tenant."""
-    return f"""SELECT doc_id, '%' AS q FROM documents WHERE source = 'src1' AND {d.has('lower(text)', "lower('The ')")} UNION ALL SELECT doc_id, '_' FROM documents WHERE {d.has('text', "'_'")}"""
+    """B2, B1: wildcards are text; every account's own documents, in one scan."""
+    return f"SELECT account, doc_id, word, under FROM (SELECT source AS account, doc_id, {d.has('lower(text)', "lower('The ')")} AS word, {d.has('text', "'_'")} AS under FROM documents) x WHERE word OR under"
 
 
 @query
@@ -323,9 +324,12 @@ def regressions(d):
 
 @query
 def latency_percentiles(d):
-    """Nearest rank beside the floor index."""
-    return f"""SELECT event_type, {d.disc(0.5, 'value')} AS p50, {d.disc(0.95, 'value')} AS p95_nearest, max(CASE WHEN rn = greatest(1, CAST(floor(0.95 * n) AS BIGINT)) THEN value END) AS p95_floor,
-      round({d.median('value')}, 6) AS median FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) x GROUP BY event_type"""
+    """Nearest rank beside the floor index; values are counted before they are ranked."""
+    seen = "(SELECT event_type, value, count(*) AS c FROM events GROUP BY event_type, value)"
+    ranked = f"(SELECT event_type, value, sum(c) OVER (PARTITION BY event_type ORDER BY value) AS upto, sum(c) OVER (PARTITION BY event_type) AS n FROM {seen} s)"
+    at = lambda rank: f"min(CASE WHEN upto >= {rank} THEN value END)"
+    return f"""SELECT event_type, {at('ceil(0.5 * n)')} AS p50, {at('ceil(0.95 * n)')} AS p95_nearest, {at('greatest(1, floor(0.95 * n))')} AS p95_floor,
+      round(({at('floor((n + 1) / 2.0)')} + {at('ceil((n + 1) / 2.0)')}) / 2, 6) AS median FROM {ranked} r GROUP BY event_type"""
 
 
 @query
@@ -356,9 +360,11 @@ def state_machine_fold(d):
 
 @query
 def constraint_violations(d):
-    """N8"""
+    """All rules in one pass."""
     rules = {"amount": "o_totalprice > 0 AND o_totalprice < 100000000", "status": "o_orderstatus IN ('F', 'O')", "priority": "length(o_orderpriority) <= 10", "window": "o_orderdate < " + now(d)}
-    return " UNION ALL ".join(f"SELECT '{k}' AS rule, CAST(count_if(NOT ({v})) AS BIGINT) AS violations FROM orders" for k, v in rules.items())
+    counts = d.array(*(f"concat('{k}:', CAST(count_if(NOT ({v})) AS STRING))" for k, v in rules.items()))
+    rows = d.exploded(f"(SELECT {counts} AS cs FROM orders)", "1 AS one", "cs", "c", "at_rule")
+    return f"SELECT {d.part(d.split('c', ':'), 1)} AS rule, CAST({d.part(d.split('c', ':'), 2)} AS BIGINT) AS violations FROM {rows} r"
 
 
 @query
@@ -369,9 +375,8 @@ def a3_point_fetch(d):
 
 @query
 def a4_recent_window(d):
-    """A4: the last two days, without what was saved."""
-    stamp = "TIMESTAMP_NTZ" if d.name == "spark" else "TIMESTAMP"
-    return f"SELECT e.event_id FROM events e LEFT JOIN labels l ON l.doc_id = e.event_id WHERE e.ts >= {stamp} '2024-01-30 00:00:00' - INTERVAL 2 DAY AND l.doc_id IS NULL"
+    """A4: the last two days of the table, without what was saved."""
+    return "SELECT e.event_id FROM events e LEFT JOIN labels l ON l.doc_id = e.event_id WHERE e.ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY AND l.doc_id IS NULL"
 
 
 @query
@@ -397,13 +402,13 @@ def b7_status_in(d):
 def b10_type_repair(d):
     """What is no number becomes 0."""
     raw = "CASE WHEN event_id % 7 = 0 THEN 'soon' ELSE CAST(event_id AS STRING) END"
-    return f"SELECT event_id, coalesce({d.try_cast(raw, 'DOUBLE')}, 0) AS next_retry FROM events WHERE event_id < 500"
+    return f"SELECT event_id, coalesce({d.try_cast(raw, 'DOUBLE')}, 0) AS next_retry FROM events"
 
 
 @query
 def b11_public_projection(d):
     """An allow-list, integers to booleans, JSON to columns."""
-    return f"SELECT event_id, event_type, value > 5 AS large, {d.try_cast(d.json('props', '$.k'), 'BIGINT')} AS k FROM events WHERE event_id < 2000"
+    return f"SELECT event_id, event_type, value > 5 AS large, {d.try_cast(d.json('props', '$.k'), 'BIGINT')} AS k FROM events"
 
 
 @query
@@ -474,9 +479,11 @@ def d21_extraction_score(d):
 
 @query
 def d22_set_scores(d):
-    """Detected against gold names with fuzzy match."""
-    return f"""SELECT round(CAST(count(DISTINCT CASE WHEN hit THEN f END) AS DOUBLE) / count(DISTINCT f), 6) AS prec, round(CAST(count(DISTINCT CASE WHEN hit THEN g END) AS DOUBLE) / count(DISTINCT g), 6) AS recall FROM
-      (SELECT f, g, {d.has('f', 'g')} OR {d.has('g', 'f')} AS hit FROM (SELECT DISTINCT p_name AS f FROM part WHERE p_size = 1) a CROSS JOIN (VALUES ('ring'), ('bolt'), ('nothing')) AS b(g)) x"""
+    """Detected names of each brand against gold names, which match if one holds the other."""
+    gold = "(VALUES ('ring'), ('bolt'), ('small'), ('nothing')) AS b(g)"
+    rows = f"SELECT p_brand, f, g, {d.has('f', 'g')} OR {d.has('g', 'f')} AS hit FROM (SELECT DISTINCT p_brand, p_name AS f FROM part) a CROSS JOIN {gold}"
+    share = lambda x: f"round(CAST(count(DISTINCT CASE WHEN hit THEN {x} END) AS DOUBLE) / count(DISTINCT {x}), 6)"
+    return f"SELECT p_brand, {share('f')} AS prec, {share('g')} AS recall FROM ({rows}) x GROUP BY p_brand"
 
 
 @query
@@ -487,8 +494,8 @@ def d26_firing_counts(d):
 
 @query
 def d27_first_route(d):
-    """D27"""
-    return "SELECT route, count(*) AS n FROM (SELECT coalesce(CASE WHEN doc_id % 3 = 0 THEN 'first' END, CASE WHEN doc_id % 5 = 0 THEN 'second' END, 'local') AS route FROM documents) x GROUP BY route"
+    """How many messages each route answers."""
+    return f"SELECT route, count(*) AS n, CAST(sum(passed) AS BIGINT) AS passed FROM ({m13_route_failover(d)}) x GROUP BY route"
 
 
 @query
@@ -531,8 +538,8 @@ def f11_threshold_grid(d):
 
 @query
 def f14_excess_trim(d):
-    """The oldest beyond the cap go."""
-    return "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS n FROM orders WHERE o_orderstatus = 'O') x WHERE rn <= n - 4500"
+    """of each queue (priority and shard) the oldest beyond the newest two go."""
+    return "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey % 64 ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'O') x WHERE rn > 2"
 
 
 @query
@@ -549,8 +556,8 @@ def m3_idempotent_ingest(d):
 
 @query
 def m6_capacity_admission(d):
-    """M6"""
-    return "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rn FROM documents WHERE lang = 'fr') x WHERE rn <= greatest(0, 100 - (SELECT count(*) FROM labels WHERE toxic = 1 AND quality = 0)) AND rn <= 40"
+    """M6: the newest that the free room takes: a hundred less what is at work, forty at most."""
+    return "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rn FROM (SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT 40) newest) x WHERE rn <= greatest(0, 100 - (SELECT count(*) FROM labels WHERE toxic = 1 AND quality = 0))"
 
 
 @query
@@ -573,8 +580,10 @@ def n4_revisions(d):
 
 @query
 def n7_purge(d):
-    """N7"""
-    return "SELECT doc_id FROM documents WHERE source <> 'src3' OR source IS NULL"
+    """An account's messages go, and with them what other tables hold of them; what stays, by table."""
+    gone = "SELECT doc_id FROM documents WHERE source = 'src3'"
+    kept = lambda t, k: f"SELECT '{t}' AS tbl, CAST({k} AS BIGINT) AS id FROM {t} WHERE {k} NOT IN ({gone} AND doc_id IS NOT NULL)"
+    return " UNION ALL ".join([kept("documents", "doc_id"), kept("labels", "doc_id"), kept("embeddings", "vec_id"), kept("events", "event_id")])
 
 
 @query
@@ -605,7 +614,7 @@ def n12_personal_subset(d):
 def k9_ledger_upsert(d):
     """K9: user corrections survive an update."""
     return f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS id, CASE WHEN a.o_orderkey % 5 = 0 THEN a.amount ELSE coalesce(b.amount, a.amount) END AS amount, CASE WHEN b.o_orderkey IS NULL OR a.o_orderkey % 5 = 0 THEN 1 ELSE 2 END AS revision
-      FROM (SELECT o_orderkey, {AMOUNT} AS amount FROM orders WHERE o_orderkey < 5000) a FULL OUTER JOIN (SELECT o_orderkey, {AMOUNT} + 1 AS amount FROM orders WHERE o_orderkey BETWEEN 3000 AND 7000) b ON a.o_orderkey = b.o_orderkey"""
+      FROM (SELECT o_orderkey, {AMOUNT} AS amount FROM orders WHERE o_orderkey % 3 <> 0) a FULL OUTER JOIN (SELECT o_orderkey, {AMOUNT} + 1 AS amount FROM orders WHERE o_orderkey % 4 <> 1) b ON a.o_orderkey = b.o_orderkey"""
 
 
 @query
@@ -622,8 +631,10 @@ def k11_subscription_window(d):
 
 @query
 def a2_listing_page(d):
-    """A2: the newest hundred messages that are not on the skip list."""
-    return "SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY doc_id DESC LIMIT 100"
+    """A2: pages of twenty of the newest messages that aren't on the skip list, each with the token of the next; five pages at most; a token that comes again ends the listing."""
+    newest = "(SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY doc_id DESC LIMIT 101)"
+    paged = f"(SELECT doc_id, n_chars, CAST(floor((row_number() OVER (ORDER BY doc_id DESC) - 1) / 20) AS BIGINT) AS page FROM {newest} n)"
+    return f"SELECT doc_id, n_chars, page, CASE WHEN page < 4 AND EXISTS (SELECT 1 FROM {paged} q WHERE q.page = p.page + 1) THEN CAST(min(doc_id) OVER (PARTITION BY page) AS STRING) END AS next_token FROM {paged} p WHERE page < 5"
 
 
 @query
@@ -632,23 +643,35 @@ def a18_report_lines(d):
     return "SELECT concat('| ', event_type, ' | ', CAST(count(*) AS STRING), ' | ', CAST(count(DISTINCT user_id) AS STRING), ' |') AS line FROM events GROUP BY event_type"
 
 
+def chosen(d) -> str:
+    """event_id, route, passed: the first of two routes that is up and answers. Recorded answers follow from message and route."""
+    code = "CASE (event_id * 7 + route * 13) % 10 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 ELSE 200 END"
+    tried = f"(SELECT event_id, user_id, ts, route, {code} AS code FROM events CROSS JOIN (VALUES (0), (1)) AS r(route))"
+    rested = f"(SELECT *, max(CASE WHEN code = 429 THEN ts END) OVER (PARTITION BY user_id, route ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS throttled FROM {tried} t)"
+    up = f"SELECT event_id, min(route) AS r FROM {rested} x WHERE code = 200 AND (throttled IS NULL OR ts >= throttled + INTERVAL 10 MINUTE) GROUP BY event_id"
+    return f"(SELECT event_id, CASE r WHEN 0 THEN 'fallback' ELSE 'second' END AS route, CAST(r AS BIGINT) AS passed FROM ({up}) u)"
+
+
 @query
 def m13_route_failover(d):
-    """Per message the first route whose cooldown is over, and how many routes were passed over."""
-    return """SELECT event_id, CASE WHEN value < 25 THEN 'fallback' WHEN value < 60 THEN 'second' ELSE 'local' END AS route,
-      CAST(CASE WHEN value < 25 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS BIGINT) AS passed FROM events"""
+    """Per message the first route that isn't cooling down and answers; a route that throttled a user rests ten minutes for them; the local route always answers."""
+    return f"SELECT event_id, CASE WHEN c.event_id IS NULL THEN 'local' ELSE c.route END AS route, coalesce(c.passed, 2) AS passed FROM (SELECT event_id FROM events) e LEFT JOIN {chosen(d)} c USING (event_id)".replace("c.event_id IS NULL", "c.route IS NULL")
 
 
 @query
 def o11_redteam_layers(d):
-    """Per family the harm with the layer off and on."""
-    return """SELECT event_type AS family, count(*) AS attacks, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS harm_off, CAST(sum(CASE WHEN value > 50 AND NOT blocked THEN 1 ELSE 0 END) AS BIGINT) AS harm_on FROM
-      (SELECT event_type, value, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = events.user_id AND l.toxic = 1) AS blocked FROM events) x GROUP BY event_type"""
+    """Of each family of attacks (the messages' turns) how many do harm without and with the layers: a message that the rules find high or that is masked does none."""
+    from tessera.plans import signals
+    from tessera.plans.messages import CASES, messages
+
+    risky = f"SELECT id FROM {signals.weighted(d)} w GROUP BY id HAVING sum(weight) > 1.2"
+    attack = f"(SELECT id, id % {len(CASES)} AS family, {d.like('body', r'(?i)\b(otp|password|kyc|gift card|fee|prize|blocked|suspended)\b')} AS harm FROM {messages(d)} m)"
+    return f"SELECT family, count(*) AS attacks, CAST(count_if(harm) AS BIGINT) AS harm_off, CAST(count_if(harm AND r.id IS NULL) AS BIGINT) AS harm_on FROM {attack} a LEFT JOIN ({risky}) r ON r.id = a.id GROUP BY family"
 
 
 @query
 def m4_dead_letters(d):
-    """M4, M8: failures in a row raise the attempt, anything else clears it; four in a row at any time are final."""
+    """M4: failures in a row raise the attempt, anything else clears it; four in a row at any time are final."""
     return """SELECT user_id, attempt, CASE WHEN dead THEN 'dead' WHEN attempt > 0 THEN 'retry' ELSE 'queued' END AS status,
       CASE WHEN attempt > 0 THEN least(300, 5 * CAST(power(2, least(attempt - 1, 6)) AS BIGINT)) ELSE 0 END AS backoff FROM
       (SELECT user_id, bool_or(in_row = 4) AS dead, CAST(sum(CASE WHEN failed = 1 AND event_id > coalesce(cleared, -1) THEN 1 ELSE 0 END) AS BIGINT) AS attempt FROM
@@ -661,3 +684,44 @@ def m2_lease_claim(d):
     """M2: a lease ends five minutes after its holder's last event; who asks at the end of the table gets it if it has ended, and what the holder left running is due again."""
     return """SELECT user_id, until <= now AS granted, CASE WHEN until <= now THEN running ELSE 0 END AS requeued FROM (
       SELECT user_id, max(ts) + INTERVAL 5 MINUTE AS until, (SELECT max(ts) FROM events) AS now, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS running FROM events GROUP BY user_id) x"""
+
+
+@query
+def m8_due_reminders(d):
+    """M8: of each channel the fifty oldest reminders that are due and unclaimed are claimed; a claim that ended is due again."""
+    due = f"(SELECT o_orderkey, o_orderpriority AS channel, o_orderdate AS remind_at, CASE o_orderkey % 6 WHEN 0 THEN 'sent' WHEN 1 THEN 'claimed' ELSE 'scheduled' END AS status, o_orderdate + INTERVAL 5 MINUTE AS until FROM orders)"
+    open_ = f"(SELECT *, row_number() OVER (PARTITION BY channel ORDER BY remind_at, o_orderkey) AS place FROM {due} q WHERE remind_at <= {now(d)} AND (status = 'scheduled' OR (status = 'claimed' AND until < {now(d)})))"
+    return f"SELECT o_orderkey, channel, remind_at, status = 'claimed' AS again FROM {open_} o WHERE place <= 50"
+
+
+@query
+def m10_index_reconciliation(d):
+    """What the derived index lacks, holds too much of, or holds of an older text."""
+    index = f"(SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN 'old' ELSE {d.sha('coalesce(text, chr(39))')} END AS seen FROM embeddings LEFT JOIN documents ON doc_id = vec_id)"
+    own = f"(SELECT doc_id AS id, {d.sha('coalesce(text, chr(39))')} AS wanted FROM documents)"
+    return f"SELECT coalesce(o.id, i.id) AS id, CASE WHEN i.id IS NULL THEN 'add' WHEN o.id IS NULL THEN 'remove' ELSE 'refresh' END AS step FROM {own} o FULL OUTER JOIN {index} i ON i.id = o.id WHERE i.id IS NULL OR o.id IS NULL OR i.seen <> o.wanted"
+
+
+@query
+def j1_embedded_documents(d):
+    """A vector of 64 signed counts for each document: every word goes to a place and a sign by its hash; its length beside it."""
+    words = d.exploded(f"(SELECT doc_id, {d.every('lower(text)', r'[' + chr(92) + 'pL' + chr(92) + 'pN]+')} AS ws FROM documents)", "doc_id", "ws", "w", "at_word")
+    hashed = f"(SELECT doc_id, {d.bucket('w', 128)} AS h, count(*) AS c FROM {words} x GROUP BY 1, 2)"
+    placed = f"(SELECT doc_id, h % 64 AS slot, sum(CASE WHEN h < 64 THEN c ELSE -c END) AS v FROM {hashed} y GROUP BY doc_id, h % 64)"
+    listed = d.ordered("concat(CAST(slot AS STRING), ':', CAST(CAST(v AS BIGINT) AS STRING))", "slot", "','")
+    return f"SELECT doc_id, {listed} AS vector, round(sqrt(CAST(sum(v * v) AS DOUBLE)), 6) AS norm FROM {placed} z WHERE v <> 0 GROUP BY doc_id"
+
+
+@query
+def d25_bootstrap(d):
+    """Whole groups (sources) drawn again and again, by independent Poisson counts; accuracy of each of 200 replicates, its 2.5 and 97.5 percentiles."""
+    groups = "(SELECT source, count(*) AS n, count_if((CASE WHEN n_chars > 900 THEN 1 ELSE 0 END) = quality) AS hits FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY source)"
+    cdf, term, sums = 0.0, 2.718281828459045**-1, []
+    for k in range(1, 12):
+        cdf += term
+        term /= k
+        sums.append(f"CASE WHEN u > {cdf:.12f} THEN 1 ELSE 0 END")
+    draw = f"(SELECT source, n, hits, r, CAST({d.bucket("concat(coalesce(source, chr(45)), '|', CAST(r AS STRING))", 1 << 30)} AS DOUBLE) / {float(1 << 30)} AS u FROM {groups} g CROSS JOIN (SELECT {d.numbers(0, 199)} AS r) q)"
+    by = f"(SELECT r, CAST(sum(hits * t) AS DOUBLE) / sum(n * t) AS accuracy FROM (SELECT *, {' + '.join(sums)} AS t FROM {draw} a) b GROUP BY r HAVING sum(n * t) > 0)"
+    at = lambda f: f"round({'percentile(accuracy, ' + str(f) + ')' if d.name == 'spark' else f'quantile_cont(accuracy, {f})'}, 6)"
+    return f"SELECT {at(0.025)} AS low, {at(0.975)} AS high, count(*) AS replicates FROM {by} c"
