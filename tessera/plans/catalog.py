@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tessera.plans import money, relational, scalar, signals, texts, vectors
 from tessera.plans.dialect import DUCK, plan
-from tessera.sources import published
+from tessera.sources import files, published
 
 BOTH = relational.QUERIES | scalar.QUERIES | signals.QUERIES | money.QUERIES | texts.QUERIES | vectors.QUERIES
 
@@ -17,8 +17,10 @@ def queries():
     from tessera.functions import training
     from tessera.streaming import folds
 
-    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | vectors.PLANS | folds.PLANS | training.PLANS | published.PLANS
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | vectors.PLANS | folds.PLANS | training.PLANS | published.PLANS | files.PLANS
 
 
 def oracle_sql():
-    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | texts.ORACLES | vectors.ORACLES).items()}
+    from tessera.streaming import folds
+
+    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | files.ORACLES | folds.ORACLES | texts.ORACLES | scalar.ORACLES | vectors.ORACLES).items()}

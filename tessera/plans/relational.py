@@ -351,13 +351,6 @@ def coalescing_upsert(d):
     return f"""SELECT user_id, {d.argmax('value', 'CASE WHEN value > 3 THEN event_id END')} AS last_value, min(ts) AS created_at, max(ts) AS updated_at FROM (SELECT user_id, event_id, ts, value FROM events WHERE value > 3) x GROUP BY user_id"""
 
 
-@query
-def state_machine_fold(d):
-    """Transitions that the table allows."""
-    return f"""SELECT user_id, event_id, before, event_type, t.a IS NOT NULL AS valid FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) x
-      LEFT JOIN (VALUES ('signup', 'view'), ('view', 'click'), ('click', 'purchase'), ('click', 'view'), ('error', 'view')) AS t(a, b) ON t.a = x.before AND t.b = x.event_type WHERE before IS NOT NULL"""
-
-
 @query
 def constraint_violations(d):
     """All rules in one pass."""
@@ -637,12 +630,6 @@ def a2_listing_page(d):
     return f"SELECT doc_id, n_chars, page, CASE WHEN page < 4 AND EXISTS (SELECT 1 FROM {paged} q WHERE q.page = p.page + 1) THEN CAST(min(doc_id) OVER (PARTITION BY page) AS STRING) END AS next_token FROM {paged} p WHERE page < 5"
 
 
-@query
-def a18_report_lines(d):
-    """The lines of a report table, one a group; the same at every run."""
-    return "SELECT concat('| ', event_type, ' | ', CAST(count(*) AS STRING), ' | ', CAST(count(DISTINCT user_id) AS STRING), ' |') AS line FROM events GROUP BY event_type"
-
-
 def chosen(d) -> str:
     """event_id, route, passed: the first of two routes that is up and answers. Recorded answers follow from message and route."""
     code = "CASE (event_id * 7 + route * 13) % 10 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 ELSE 200 END"

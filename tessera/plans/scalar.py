@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import mail
+from tessera.plans.dialect import SPARK, plan
+from tessera.plans.messages import messages
+from tessera.plans.signals import display, skeleton
+from tessera.plans.texts import canonical
 
 QUERIES = {}
 
@@ -68,32 +72,40 @@ def i19_bounded_slice(d):
 
 def page_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6, H7: visible text, links and hidden text of pages."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    e = mail.html_evidence("html")
-    return pages.select("page_id", F.length(mail.html_to_text("html")).alias("visible"), e.alias("e")).select("page_id", "visible", F.size("e.links").alias("links"), F.length("e.hidden").alias("hidden"))
+    e = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mail.page_evidence("html").alias("e"))
+    return e.select("page_id", F.length("e.visible").alias("visible"), F.size("e.links").alias("links"), F.length("e.hidden").alias("hidden"))
 
 
 def a9_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns written as raw messages and parsed back."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    raw = F.concat(F.lit("From: "), F.col("role"), F.lit(" <a@mail.example.com>\nSubject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode("text", "utf-8")))
-    m = mail.parse_message(raw)
-    return turns.select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", "m.sender", "m.subject", "m.kind", F.length("m.body").alias("chars"), "m.warning")
+    """Messages of six shapes (plain, HTML, alternatives, an attachment, encoded headers, broken) written raw and parsed back."""
+    rows = plan(lambda d: f"SELECT id, sender, subject, body, id % 6 AS shape FROM {messages(d)} m")(spark, sf_dir)
+    raw = mail.raw_message("id", "sender", "subject", "body", "shape")
+    parsed = rows.select("id", "shape", mail.parse_message(raw).alias("m"))
+    return parsed.select("id", "shape", "m.subject", "m.kind", F.sha2(F.coalesce("m.body", F.lit("")), 256).alias("body"), "m.warning")
 
 
 def h1_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 in full: NFC and control characters."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(mail.normal_text("text"), 256).alias("canonical"))
+    """H1 in full: NFC by batch, the rest as expressions."""
+    composed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", mail.nfc("text").alias("text"))
+    return composed.select("doc_id", F.sha2(F.expr(canonical(SPARK, "text")), 256).alias("canonical"))
 
 
 def h21_numbered_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered masks with the way back."""
+    """Numbered masks with the way back."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", mail.numbered_mask("text").alias("m")).select("doc_id", F.sha2("m.masked", 256).alias("masked"), "m.restored", "m.n")
 
 
 def h15_full_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H15 in full: look-alikes of other scripts, marks."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", mail.skeleton("p_name").alias("skeleton"))
+    """H15 in full, with all marks: of the senders' names."""
+    rows = plan(lambda d: f"SELECT id, {display(d, 'sender')} AS name FROM {messages(d)} m")(spark, sf_dir)
+    return rows.select("id", mail.skeleton("name").alias("skeleton"))
 
 
 PLANS = {f.__name__: f for f in (page_text_stats, a9_raw_messages, h1_normal_form, h21_numbered_masks, h15_full_skeleton)}
+
+ORACLES = {
+    "h15_full_skeleton": lambda d: f"SELECT id, {skeleton(d, display(d, 'sender'))} AS skeleton FROM {messages(d)} m",
+    # HTML and broken shapes hold fixed text; the others give the normal form of the body
+    "a9_raw_messages": lambda d: f"""SELECT id, shape, trim({d.sub('subject', chr(92) + 's+', ' ')}) AS subject, CASE shape WHEN 1 THEN 'html' WHEN 5 THEN 'none' ELSE 'plain' END AS kind,
+      {d.sha(f"CASE shape WHEN 1 THEN concat('Seen ', CAST(id AS VARCHAR)) WHEN 5 THEN '' ELSE {canonical(d, 'nfc_normalize(body)')} END")} AS body, CASE shape WHEN 5 THEN 'empty_body' ELSE '' END AS warning FROM (SELECT id, subject, body, id % 6 AS shape FROM {messages(d)} m) x""",
+}

@@ -1,122 +1,165 @@
-"""Stateful operators: the same per-key folds run on a table and in a stream.
+"""Stateful operators: folds over sorted rows that hold one state, and streams in micro-batches.
 
-A fold is a plain function of one key's rows in order. ``batch`` runs it with applyInPandas, ``stream`` in
-foreachBatch micro-batches over the rows that are new, so both give the same result.
+A fold reads rows sorted by key and order and holds one key's state, however many rows the key has; it runs on Arrow
+batches. Streams go by ``foreachBatch``: a batch's rows are written once by its number, after those that earlier batches
+have are left out, so that late, repeated and replayed rows change nothing.
+
+Defined cases: null keys are one key; an empty table gives an empty result; rows that repeat an order follow each other by
+the further order columns; a batch that is run again overwrites its own part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.published import workspace
 
-COOLDOWN_S = 6 * 3600
-MOST_ATTEMPTS = 4
+COOLDOWN_US = 6 * 3600 * 10**6
+#: The transitions that the table allows: from, to.
+ALLOWED = frozenset({("signup", "view"), ("view", "click"), ("click", "purchase"), ("click", "view"), ("error", "view"), ("purchase", "view"), ("view", "error"), ("click", "error")})
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def per_key(df: DataFrame, key: str, order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(key).applyInPandas(lambda rows: fold(rows.sort_values(order)), schema)
+def folded(df: DataFrame, key: str, order: list[str], step: Callable, ddl: str) -> DataFrame:
+    """step(state or None, row as a tuple of df's columns) -> new state, output row or None; the state begins anew with each key."""
+    at, names = df.columns.index(key), [c.split()[0] for c in ddl.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    types = [kinds[c.split()[1]] for c in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = run  # no key is this
+        state = None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[at] != now:
+                    now, state = row[at], None
+                state, given = step(state, row)
+                if given is not None:
+                    out.append(given)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
 
 
-def accepted(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy acceptance: a row passes if the last that passed is a cooldown away."""
-    at = rows.ts.astype("int64").to_numpy() // 10**9 if rows.ts.dtype == "datetime64[ns]" else rows.ts.astype("datetime64[us]").astype("int64").to_numpy() // 10**6
-    ok, last = np.zeros(len(at), bool), -(10**18)
-    for k, t in enumerate(at.tolist()):
-        if t - last >= COOLDOWN_S:
-            ok[k], last = True, t
-    return pd.DataFrame({"user_id": rows.user_id, "event_id": rows.event_id, "accepted": ok})
+def accepted(last: int | None, row: tuple) -> tuple[int, tuple]:
+    """Greedy acceptance: a row (key, id, microseconds) passes if the last that passed is a cooldown away."""
+    ok = last is None or row[2] - last >= COOLDOWN_US
+    return (row[2] if ok else last), (row[0], row[1], ok)
 
 
 def cooldown_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9"""
-    return per_key(_events(spark, sf_dir).select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], accepted, "user_id long, event_id long, accepted boolean")
+    """M9: a user's event is taken if six hours have passed since the last that was."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    return folded(_events(spark, sf_dir).select("user_id", "event_id", micros), "user_id", ["us", "event_id"], accepted, "user_id long, event_id long, accepted boolean")
+
+
+def moved(state: str | None, row: tuple) -> tuple[str, tuple]:
+    """A row (key, id, next state) is a transition from the last accepted state; the first of a key is its state."""
+    valid = state is None or (state, row[2]) in ALLOWED
+    return (row[2] if valid else state), (row[0], row[1], state, row[2], valid)
 
 
-def dead_letters(rows: pd.DataFrame) -> pd.DataFrame:
-    """Failures raise the attempt, anything else clears it; a key is dead after MOST_ATTEMPTS failures in a row."""
-    attempt, dead, retry = 0, False, 0
-    for kind in rows.event_type:
-        attempt = attempt + 1 if kind == "error" else 0
-        dead = dead or attempt >= MOST_ATTEMPTS
-        retry = 0 if not attempt else min(300, 5 * 2 ** min(attempt - 1, 6))
-    return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "attempt": [attempt], "status": ["dead" if dead else "retry" if attempt else "queued"], "backoff": [retry]})
+def state_machine_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions that the table allows, judged against the last state that was accepted."""
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "event_type")
+    return folded(rows, "user_id", ["event_id"], moved, "user_id long, event_id long, before string, event_type string, valid boolean")
 
 
-def streamed(spark: SparkSession, source: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Run a stream to its end, each micro-batch written once by its number; the table that results."""
+def streamed(spark: SparkSession, source: DataFrame, step: Callable[[DataFrame, DataFrame | None], DataFrame], name: str) -> DataFrame:
+    """Run a stream to its end; step(batch, what earlier batches wrote) is written once by the batch's number; the table that results."""
     root = workspace(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        earlier = batch.sparkSession.read.parquet(f"{root}/out").where(F.col("batch") < number).drop("batch") if number else None
+        step(batch, earlier).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     run = source.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{root}/out").drop("batch")
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    kind = spark.read.parquet(path).schema
-    return spark.readStream.schema(kind).parquet(f"{sf_dir}/events*.parquet")  # a pattern takes a file as well as a folder of files
+def parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of several batches: five parts by hash of the id, so that rows come late and out of order, and a sixth that replays a third of all."""
+    root = workspace(spark, "parts")
+    events = _events(spark, sf_dir)
+    for k in range(5):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == k).write.parquet(f"{root}/part={k}")
+    events.where("event_id % 3 = 0").write.parquet(f"{root}/part=5")
+    kind = events.schema
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{root}/part=*")
+
+
+def unseen(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """The rows of a batch whose event no earlier batch wrote, each once."""
+    new = batch.dropDuplicates(["event_id"])
+    return new if earlier is None else new.join(earlier.select("event_id"), "event_id", "left_anti").select(batch.columns)
 
 
 def a1_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events after the cursor (the checkpoint), deduplicated by id within the watermark."""
-    events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
-    return streamed(spark, events.select("event_id", "user_id", "event_type"), lambda b: b, "feed")
+    """Events after the cursor (the checkpoint), whenever they come, each once: what is told is judged against the written table, not against a watermark."""
+    return streamed(spark, parted(spark, sf_dir).select("event_id", "user_id", "event_type"), unseen, "feed")
 
 
 def m1_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each micro-batch scores its new rows with the functions that the batch side uses."""
-    step = lambda b: b.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("value").cast("long")).alias("tokens"))
-    return streamed(spark, _stream(spark, sf_dir), step, "cycle").groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    """M1: each cycle takes its new events, scores them with the batch side's functions, classes them and marks what is to be reminded; per user the sums of all cycles."""
 
+    def cycle(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        new = unseen(batch, earlier)
+        tokens = F.round("value").cast("long")
+        return new.select("event_id", "user_id", tokens.alias("tokens"), (F.col("event_type") == "error").alias("failed"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("remind"))
 
-def d25_bootstrap(spark: SparkSession, sf_dir: str, replicates: int = 200) -> DataFrame:
-    """Whole groups (sources) drawn with replacement; from each replicate the accuracy, from all the 2.5 and 97.5 percentiles."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    groups = docs.join(labels, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("n_chars") > 900).cast("int") == F.col("quality")).alias("hits"))
-    draws = groups.crossJoin(spark.range(replicates).withColumnRenamed("id", "replicate"))
-    # the multinomial counts of a bootstrap, as independent Poisson(1) draws by hash
-    u = (F.pmod(F.xxhash64("source", "replicate"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times = sum((u > p).cast("int") for p in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634))
-    by = draws.withColumn("times", times).groupBy("replicate").agg((F.sum(F.col("hits") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("accuracy"))
-    return by.agg(F.round(F.percentile("accuracy", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("accuracy", F.lit(0.975)), 6).alias("high"), F.count("accuracy").alias("replicates"))
-
-
-def fit_nonnegative(x: np.ndarray, y: np.ndarray, steps: int = 4000, rate: float = 0.5, penalty: float = 0.05) -> tuple[np.ndarray, float]:
-    """Logistic regression with weights of zero or more, by projected gradient steps."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    done = streamed(spark, parted(spark, sf_dir), cycle, "cycle")
+    return done.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.count_if("failed").alias("failed"), F.count_if("remind").alias("reminders"))
+
+
+def fit_nonnegative(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 4000, rate: float = 0.5, penalty: float = 0.05) -> tuple[np.ndarray, float]:
+    """Logistic regression with weights of zero or more, by projected gradient steps over distinct rows and how often each occurs."""
+    w, b, share = np.zeros(x.shape[1]), 0.0, times / max(1, times.sum())
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w, b = np.maximum(0, w - rate * (x.T @ g / len(y) + penalty * w)), b - rate * g.mean()
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+        w, b = np.maximum(0, w - rate * (x.T @ g + penalty * w)), b - rate * g.sum()
     return w, b
 
 
 def l7_fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of four text signals, and again without each. The table is aggregated to its distinct signal rows (16 at most) first."""
+    """Weights of four text signals, and again without each. The table is aggregated to its distinct signal rows (32 at most), which is all that the driver gets."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     signals = {"shouting": F.col("text").rlike("!!"), "long": F.col("n_chars") > 900, "digits": F.col("text").rlike("[0-9]{6}"), "bars": F.col("text").contains(" | ")}
-    rows = docs.join(labels, "doc_id").select(*(c.cast("int").alias(k) for k, c in signals.items()), "quality").groupBy(*signals, "quality").count().collect()
+    flags = [F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in signals.items()]
+    rows = docs.join(labels.where("quality in (0, 1)"), "doc_id").select(*flags, "quality").groupBy(*signals, "quality").count().orderBy(*signals, "quality").collect()
     names = list(signals)
-    x = np.repeat([[r[k] for k in names] for r in rows], [r["count"] for r in rows], axis=0).astype(float)
-    y = np.repeat([1 - r["quality"] for r in rows], [r["count"] for r in rows]).astype(float)
+    x = np.array([[r[k] for k in names] for r in rows], float).reshape(len(rows), len(names))
+    y, times = np.array([1 - r["quality"] for r in rows], float), np.array([r["count"] for r in rows], float)
     out = []
     for without in (None, *names):
         use = [k for k in names if k != without]
-        w, b = fit_nonnegative(x[:, [names.index(k) for k in use]], y, 1500)
+        w, b = fit_nonnegative(x[:, [names.index(k) for k in use]], y, times, 1500)
         out += [(without or "none", k, round(float(v), 6)) for k, v in zip((*use, "bias"), (*w, b), strict=True)]
     return spark.createDataFrame(out, "without string, signal string, weight double")
 
 
-PLANS = {f.__name__: f for f in (cooldown_accept, a1_change_feed, m1_micro_batches, d25_bootstrap, l7_fit_weights)}
+PLANS = {f.__name__: f for f in (cooldown_accept, state_machine_fold, a1_change_feed, m1_micro_batches, l7_fit_weights)}
+
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in sorted(ALLOWED))
+ORACLES = {
+    # one row of each user after the other
+    "cooldown_accept": lambda d: """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT user_id, event_id, n, us AS last, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN o.us - f.last >= 21600000000 THEN o.us ELSE f.last END, o.us - f.last >= 21600000000
+      FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) SELECT user_id, event_id, accepted FROM f""",
+    "state_machine_fold": lambda d: f"""WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+      f AS (SELECT user_id, event_id, n, CAST(NULL AS VARCHAR) AS before, event_type, event_type AS state, true AS valid FROM o WHERE n = 1 UNION ALL
+      SELECT o.user_id, o.event_id, o.n, f.state, o.event_type, CASE WHEN (f.state, o.event_type) IN ({_PAIRS}) THEN o.event_type ELSE f.state END, (f.state, o.event_type) IN ({_PAIRS})
+      FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) SELECT user_id, event_id, before, event_type, valid FROM f""",
+    "a1_change_feed": lambda d: "SELECT event_id, user_id, event_type FROM events",
+    "m1_micro_batches": lambda d: "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS tokens, count_if(event_type = 'error') AS failed, count_if(value > 50) AS reminders FROM events GROUP BY user_id",
+}
