@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     spark.conf.set("spark.checkpoint.dir", own)
-    _forget_at_exit(spark, own)
+    forget_at_exit(spark, own)
     return own
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
+def forget_at_exit(spark: SparkSession, path: str) -> None:
     if not _written:
         atexit.register(_forget_all)
     _written.append((spark, path))
@@ -59,7 +59,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _forget_at_exit(spark, path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

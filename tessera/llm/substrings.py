@@ -1,4 +1,4 @@
-"""Operator 6: exact substring dedup by induced suffix sorting of shards, with queues that go to disk.
+"""Operator 6: exact substring dedup by induced suffix sorting of shards, with priority queues that go to disk.
 
 A byte is removed if a LENGTH-byte string over it also starts in a document with a smaller doc_id.
 
@@ -6,15 +6,17 @@ A byte is removed if a LENGTH-byte string over it also starts in a document with
    anchors. Anchors meet by hash: one that a single document has belongs to strings that nothing repeats.
 2. Cutting. Stretches of strings with one shared anchor are cut out, equal stretches of a batch of documents told
    from the smallest document at once, and dealt to shards by anchor, so that equal strings share a shard.
-3. Sorting. A shard's distinct stretches are suffix-sorted by induction: leftmost S positions are sorted by their first
-   56 bytes, the others follow by passes over the buckets of first bytes, up for L and down for S, each bucket a first-in
-   first-out queue whose chunks go to a temporary file beyond HELD positions. Common prefixes of
-   neighbours of LENGTH or more join equal strings, whose smallest document decides. As matches end at LENGTH bytes, the
-   order beyond 56 is never needed, and the recursion of full induced sorting ends at its first level.
-4. Removal. Spans return to their documents, which are shuffled once for steps 2 and 4.
-
+3. Sorting. A shard's distinct stretches are suffix-sorted by induction. Leftmost S substrings are sorted and named; where
+   names repeat, the string of names is sorted by the same induction, down to BASE names, which are sorted by doubling.
+   From the sorted leftmost S suffixes the others follow, up for L and down for S, through a monotone priority queue: its
+   key is the first symbol, then the rank of the suffix that a tuple was induced from. Tuples carry position and common
+   prefix with the one before, which is one more than the least common prefix between their sources. Beyond HELD tuples in
+   memory the queue goes to files of the shared folder, and comes back bucket by bucket. Neighbours that share LENGTH
+   bytes join equal strings, whose smallest document decides.
+   A shard of more than MOST bytes (many contexts of one anchor) isn't sorted: its strings are dealt on one by one.
 Groups and shards follow the size of the table (about GROUP bytes each); what is common to many documents reaches a shard
-once for each group at most.
+once for each group at most. Common prefixes beyond LENGTH are not told apart, so they stay in one byte. In memory are a shard's text, its
+types and leftmost positions, about 20 bytes a byte of text; the rest is the queue's.
 
 Defined cases: null text is empty; rows that share a doc_id never remove from each other; null doc_ids come last; documents
 under LENGTH bytes stay whole; an empty table gives an empty result; other columns are ignored.
@@ -23,27 +25,29 @@ under LENGTH bytes stay whole; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import table
+from tessera.llm.base import forget_at_exit, shared_dir, table
 from tessera.llm.licenses import sliding_min
 
 LENGTH, GRAM = 50, 25
 WINDOW = LENGTH - GRAM + 1
 GROUP = 8 << 20
 CHUNK = 1 << 20
-HELD = 16 << 20
+HELD, BASE = 4 << 20, 4 << 20
+MOST = 3 * GROUP
 LAST = (1 << 63) - 1
-BASE = np.uint64(0x9E3779B97F4A7C15)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 ANCHOR = np.uint64((1 << 48) - 1)
 _POS = np.uint64((1 << 24) - 1)
 
@@ -69,15 +73,15 @@ def opened(blob: bytes, *kinds) -> list[np.ndarray]:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of all runs of GRAM = 16 + 8 + 1 bytes, by doubling."""
     one = data.astype(np.uint64) + np.uint64(1)
-    h, power, size = one, BASE, 1
+    h, power, size = one, FACTOR, 1
     kept = {1: one}
     while size < 16:
         h = h[:-size] * power + h[size:]
         power, size = power * power, 2 * size
         kept[size] = h
     n = len(data) - GRAM + 1
-    b8 = pow(int(BASE), 8, 1 << 64)
-    out = (kept[16][:n] * np.uint64(b8) + kept[8][16 : 16 + n]) * BASE + one[24 : 24 + n]
+    b8 = pow(int(FACTOR), 8, 1 << 64)
+    out = (kept[16][:n] * np.uint64(b8) + kept[8][16 : 16 + n]) * FACTOR + one[24 : 24 + n]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
@@ -209,161 +213,406 @@ def cut(groups: int, docs: pa.Table, told: pa.Table) -> pa.Table:
     return as_table(iter(out))
 
 
-class Queues:
-    """A first-in first-out queue of positions for each byte; beyond HELD positions in memory the chunks go to a temporary file."""
+class Room:
+    """Files for chunks beyond memory, in a folder that all executors share."""
+
+    def __init__(self, folder: str):
+        self.fs, self.folder = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        self.name, self.files = uuid.uuid4().hex, 0
+
+    def put(self, chunks: list[np.ndarray]) -> list[tuple[str, int, int, str]]:
+        """One file; of each chunk its file, place, bytes and kind."""
+        self.files += 1
+        path, out, at = f"{self.folder}/{self.name}-{self.files}", [], 0
+        self.fs.create_dir(self.folder, recursive=True)
+        with self.fs.open_output_stream(path) as f:
+            for c in chunks:
+                f.write(c.tobytes())
+                out.append((path, at, c.nbytes, c.dtype.str))
+                at += c.nbytes
+        return out
+
+    def get(self, place: tuple[str, int, int, str]) -> np.ndarray:
+        path, at, size, kind = place
+        with self.fs.open_input_file(path) as f:
+            return np.frombuffer(f.read_at(size, at), kind)
+
+    def close(self) -> None:
+        for k in range(1, self.files + 1):
+            self.fs.delete_file(f"{self.folder}/{self.name}-{k}")
+        self.files = 0
 
-    def __init__(self, held: int = HELD):
-        self.chunks: list[list] = [[] for _ in range(256)]
-        self.most, self.now, self.file = held, 0, None
 
-    def put(self, chars: np.ndarray, positions: np.ndarray) -> None:
-        order = np.argsort(chars, kind="stable")
-        chars, positions = chars[order], positions[order]
-        edges = np.concatenate(([0], np.flatnonzero(chars[1:] != chars[:-1]) + 1, [len(chars)])) if len(chars) else [0]
+class Queue:
+    """A monotone priority queue of tuples (position, common prefix), by symbol, then in the order in which they come; beyond HELD tuples in memory to a room."""
+
+    def __init__(self, symbols: int, room: Room | None, held: int):
+        self.buckets: list[list] = [[] for _ in range(symbols)]
+        self.room, self.held, self.now = room, held, 0
+
+    def put(self, symbols: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> None:
+        """Sorted by symbol."""
+        edges = np.concatenate(([0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1, [len(symbols)])).tolist() if len(symbols) else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            self.chunks[chars[a]].append(positions[a:b].copy())
-        self.now += len(positions)
-        if self.now > self.most:
-            self._spill()
-
-    def _spill(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for queue in self.chunks:
-            for k, chunk in enumerate(queue):
-                if isinstance(chunk, np.ndarray):
-                    queue[k] = (self.file.tell(), len(chunk), chunk.dtype)
-                    self.file.write(chunk.tobytes())
-        self.now = 0
-
-    def take(self, char: int) -> np.ndarray:
-        out = []
-        for chunk in self.chunks[char]:
-            if isinstance(chunk, tuple):
-                at, n, kind = chunk
-                self.file.seek(at)
-                chunk = np.frombuffer(self.file.read(n * np.dtype(kind).itemsize), kind)
+            self.buckets[symbols[a]].append((at[a:b], prefix[a:b]))
+        self.now += len(at)
+        if self.now > self.held and self.room is not None:
+            places = [(bucket, k) for bucket in self.buckets for k, c in enumerate(bucket) if isinstance(c[0], np.ndarray)]
+            written = self.room.put([x for bucket, k in places for x in bucket[k]])
+            for i, (bucket, k) in enumerate(places):
+                bucket[k] = (written[2 * i], written[2 * i + 1])
+            self.now = 0
+
+    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+        """All tuples of the least symbol left."""
+        at, prefix = [np.empty(0, np.int32)], [np.empty(0, np.uint8)]
+        for a, p in self.buckets[symbol]:
+            if isinstance(a, np.ndarray):
+                self.now -= len(a)
             else:
-                self.now -= len(chunk)
-            out.append(chunk)
-        self.chunks[char] = []
-        return np.concatenate([*out, np.empty(0, np.int32)])
-
-
-def eights(text: np.ndarray) -> np.ndarray:
-    """At each position the next eight bytes as a number; zeros beyond the end."""
-    padded = np.concatenate((text, np.zeros(LENGTH + 16, np.uint8)))
-    out = padded.astype(np.uint64)
-    for size in (1, 2, 4):
-        out = (out[:-size] << np.uint64(8 * size)) | out[size:]
+                a, p = self.room.get(a), self.room.get(p)
+            at.append(a)
+            prefix.append(p)
+        self.buckets[symbol] = []
+        return np.concatenate(at), np.concatenate(prefix)
+
+
+def lowest(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of x[first..last] for each pair, by minima of spans of powers of two."""
+    out, size, span, level = np.empty(len(first), x.dtype), last - first + 1, 1, x
+    power = np.frexp(size.astype(np.float64))[1] - 1
+    for k in range(int(power.max(initial=-1)) + 1):
+        some = np.flatnonzero(power == k)
+        if len(some):
+            out[some] = np.minimum(level[first[some]], level[last[some] - span + 1])
+        if len(level) > span:
+            level = np.minimum(level[:-span], level[span:])
+        span *= 2
     return out
 
 
-def suffix_order(text: np.ndarray, held: int = HELD) -> np.ndarray:
-    """Positions sorted by at least their first 56 bytes, by induction from the leftmost S positions."""
+class Induction:
+    """One pass over sorted sources in order: the suffixes before them go to the queue, with their common prefixes."""
+
+    def __init__(self, text: np.ndarray, symbols: int, wanted: np.ndarray, room: Room | None, held: int):
+        self.text, self.wanted, self.queue = text, wanted, Queue(symbols, room, held)
+        self.since = np.full(symbols, -1, np.int16)  # least common prefix of the sources since the last tuple of a symbol; none yet
+
+    def push(self, at: np.ndarray, prefix: np.ndarray, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Sources and their common prefixes with the source before; the tuples of symbol ``own`` come back."""
+        mine_at, mine_prefix = [np.empty(0, np.int32)], [np.empty(0, np.uint8)]
+        for k in range(0, len(at), 1 << 18):
+            a, p = self._chunk(at[k : k + (1 << 18)], prefix[k : k + (1 << 18)], own)
+            mine_at.append(a)
+            mine_prefix.append(p)
+        return np.concatenate(mine_at), np.concatenate(mine_prefix)
+
+    def _chunk(self, at: np.ndarray, prefix: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        i = np.flatnonzero(at > 0)
+        i = i[self.wanted[at[i] - 1]]
+        before = at[i] - np.int32(1)
+        symbols = self.text[before]
+        order = np.argsort(symbols, kind="stable")
+        i, before, symbols = i[order], before[order], symbols[order]
+        first = np.concatenate(([True], symbols[1:] != symbols[:-1]))[: len(symbols)]
+        least = np.empty(len(i), np.int16)
+        upto = np.minimum.accumulate(prefix)
+        least[first] = np.minimum(self.since[symbols[first]], upto[i[first]])
+        rest = np.flatnonzero(~first)
+        least[rest] = lowest(prefix, i[rest - 1] + 1, i[rest])
+        behind = np.concatenate((np.minimum.accumulate(prefix[::-1])[::-1][1:].astype(np.int16), [LENGTH]))
+        if len(prefix):
+            self.since = np.minimum(self.since, upto[-1])
+        ends = np.flatnonzero(np.concatenate((first[1:], [True]))[: len(symbols)])
+        self.since[symbols[ends]] = behind[i[ends]]
+        new = np.minimum(least + 1, LENGTH).astype(np.uint8)
+        mine = symbols == own
+        if mine.any():
+            self.queue.put(symbols[~mine], before[~mine], new[~mine])
+            return before[mine], new[mine]
+        self.queue.put(symbols, before, new)
+        return before[:0], new[:0]
+
+    def bucket(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol's suffixes and common prefixes; runs of the symbol induce each other."""
+        at, prefix = [], []
+        now = self.queue.take(symbol)
+        while len(now[0]):
+            at.append(now[0])
+            prefix.append(now[1])
+            now = self.push(*now, symbol)
+        return np.concatenate([*at, np.empty(0, np.int32)]), np.concatenate([*prefix, np.empty(0, np.uint8)])
+
+
+def kinds_of(text: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than the next (S); the empty one at the end is smallest of all."""
     n = len(text)
-    t = np.concatenate((text, np.zeros(1, np.uint8))).astype(np.int16)
-    t[n] = -1  # smaller than any byte
-    up = t[:-1] < t[1:]
-    equal = t[:-1] == t[1:]
-    decided = np.where(equal, n, np.arange(n))
-    decided = np.minimum.accumulate(decided[::-1])[::-1]
-    s = np.concatenate((up[np.minimum(decided, n - 1)], [True]))  # the type at the end of a run of equal bytes is the run's
-    lms = (np.flatnonzero(s[1:n] & ~s[: n - 1]) + 1).astype(np.int32)
-    words = eights(text)
-    lms, rank = lms[np.argsort(words[lms])], None
-    for k in range(7):  # whatever is told apart is not sorted again
-        w = words[lms.astype(np.int64) + 8 * k]
-        if k:
-            tie = rank[1:] == rank[:-1]
-            some = np.flatnonzero(np.concatenate((tie, [False])) | np.concatenate(([False], tie))) if len(rank) else np.empty(0, np.int64)
-            if not len(some):
-                break
-            turn = np.lexsort((w[some], rank[some]))
-            lms[some], w[some] = lms[some][turn], w[some][turn]
-        new = w[1:] != w[:-1]
-        rank = np.concatenate(([0], np.cumsum(new if rank is None else new | (rank[1:] != rank[:-1])))) if len(lms) else np.empty(0, np.int64)
-    text8 = text
-    lms_at = np.searchsorted(text8[lms], np.arange(257))
-    queues, larger = Queues(held), [np.empty(0, np.int32)] * 256
-    if n and not s[n - 1]:  # the last position follows the end
-        queues.put(text8[n - 1 : n], np.array([n - 1], np.int32))
-    for c in range(256):
-        out, now = [], queues.take(c)
-        while len(now):
-            out.append(now)
-            before = now[now > 0] - np.int32(1)
-            before = before[~s[before]]
-            chars = text8[before]
-            queues.put(chars[chars != c], before[chars != c])
-            now = before[chars == c]
-        larger[c] = np.concatenate([*out, np.empty(0, np.int32)])
-        before = lms[lms_at[c] : lms_at[c + 1]] - np.int32(1)
-        queues.put(text8[before], before)
-    queues, smaller = Queues(held), [np.empty(0, np.int32)] * 256
-    for c in range(255, -1, -1):
-        out, now = [], queues.take(c)
-        while len(now):
-            out.append(now)
-            before = now[now > 0] - np.int32(1)
-            before = before[s[before]]
-            chars = text8[before]
-            queues.put(chars[chars != c], before[chars != c])
-            now = before[chars == c]
-        smaller[c] = np.concatenate([*out, np.empty(0, np.int32)])[::-1]
-        before = larger[c][::-1]
-        before = before[before > 0] - np.int32(1)
-        before = before[s[before]]
-        queues.put(text8[before], before)
-    return np.concatenate([x for c in range(256) for x in (larger[c], smaller[c])])
-
-
-def neighbours_equal(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether each position in order shares LENGTH bytes with the one before."""
-    words, out = eights(text), np.ones(max(len(order) - 1, 0), bool)
-    for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
-        w = words[order.astype(np.int64) + k]
-        out &= w[1:] == w[:-1]
-    return np.concatenate(([False], out))
-
-
-def sorted_shard(groups: int, rows: pa.Table) -> pa.Table:
-    """The stretches of a shard to the spans that a smaller document has too; rows of kind 1 pass."""
-    told = pa.compute.equal(rows.column("kind"), 1)
-    passed, rows = rows.filter(told).select(["kind", "to", "blob"]), rows.filter(pa.compute.invert(told))
-    if not rows.num_rows:
-        return passed
-    parts = [opened(b, np.int64, np.int64, np.int64, np.int64, np.uint8) for b in rows.column("blob").to_pylist()]
+    if not n:
+        return np.empty(0, bool)
+    up = np.concatenate((text[:-1] < text[1:], [False]))
+    decided = np.where(np.concatenate((text[:-1] == text[1:], [False])), n, np.arange(n))
+    return up[np.minimum.accumulate(decided[::-1])[::-1]]
+
+
+def run_length(text: np.ndarray, at: int) -> int:
+    part = text[at : at + LENGTH]
+    other = part != part[0]
+    return int(other.argmax()) if other.any() else len(part)
+
+
+def named(text: np.ndarray, starts: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the leftmost S substrings and, in that order, their names (equal ones share one).
+
+    Of two of which one begins the other the shorter is larger, so missing symbols count as largest; but the last
+    one of the text ends it, and is smaller.
+    """
+    m, wide = len(starts), 8 if text.dtype == np.uint8 else 1
+    size = np.concatenate((starts[1:], [len(text) - 1])).astype(np.int64) - starts + 1
+    padded = np.concatenate((text, np.zeros(wide, text.dtype)))
+    last = np.arange(m) == m - 1
+
+    def word(which: np.ndarray, k: int) -> np.ndarray:
+        at = np.minimum(starts[which].astype(np.int64) + k * wide, len(text))
+        beyond = size[which][:, None] <= k * wide + np.arange(wide)[None, :]
+        if wide == 1:
+            return np.where(beyond[:, 0], np.where(last[which], -1, symbols), padded[at].astype(np.int64))
+        got = np.lib.stride_tricks.sliding_window_view(padded, 8)[at]
+        got = np.where(beyond, np.where(last[which], 0, 255)[:, None], got).astype(np.uint8)
+        return got.view(">u8")[:, 0].astype(np.uint64)
+
+    first = word(np.arange(m), 0)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    rank = np.concatenate(([0], np.cumsum(first[1:] != first[:-1])))
+    k = 1
+    while True:
+        tie = rank[1:] == rank[:-1]
+        open_ = np.concatenate((tie, [False])) | np.concatenate(([False], tie))
+        some = np.flatnonzero(open_)
+        some = some[size[order[some]] > k * wide] if len(some) else some
+        if not len(some):
+            break
+        group = np.flatnonzero(open_ & np.isin(rank, rank[some]))
+        w = word(order[group], k)
+        turn = np.lexsort((w, rank[group]))
+        order[group], w = order[group][turn], w[turn]
+        new = np.concatenate(([True], rank[1:] != rank[:-1]))
+        new[group[1:]] |= w[1:] != w[:-1]
+        rank = np.cumsum(new) - 1
+        k += 1
+    # the last one ends the text: alone, and before those it ties with
+    tied = np.flatnonzero(rank == rank[np.flatnonzero(order == m - 1)[0]])
+    if len(tied) > 1:
+        order[tied] = np.concatenate(([m - 1], order[tied][order[tied] != m - 1]))
+        new = np.concatenate(([True], rank[1:] != rank[:-1]))
+        new[tied[1]] = True
+        rank = np.cumsum(new) - 1
+    return order, rank
+
+
+def doubled(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names by its first LENGTH names, by doubling; what is told apart isn't sorted again."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    at = names[order]
+    group = np.concatenate(([0], np.cumsum(at[1:] != at[:-1])))
+    rank[order] = group
+    k = 1
+    while k < LENGTH:
+        tie = group[1:] == group[:-1]
+        some = np.flatnonzero(np.concatenate((tie, [False])) | np.concatenate(([False], tie)))
+        if not len(some):
+            break
+        nxt = rank[np.minimum(order[some] + k, n)]
+        turn = np.lexsort((nxt, group[some]))
+        order[some], nxt = order[some][turn], nxt[turn]
+        new = np.concatenate(([True], group[1:] != group[:-1]))
+        new[some[1:]] |= nxt[1:] != nxt[:-1]
+        group = np.cumsum(new) - 1
+        rank[order] = group
+        k *= 2
+    return order
+
+
+def leftmost(text: np.ndarray, symbols: int, s: np.ndarray, room: Room | None, held: int, base: int) -> np.ndarray:
+    """The leftmost S positions in the order of their suffixes."""
+    starts = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
+    if len(starts) < 2:
+        return starts
+    order, rank = named(text, starts, symbols)
+    if rank[-1] + 1 == len(starts):
+        return starts[order]
+    names = np.empty(len(starts), np.int32)
+    names[order] = rank
+    if len(names) <= base:
+        return starts[doubled(names)]
+    return starts[induced(names, int(rank[-1]) + 1, room, held, base)[0]]
+
+
+def induced(text: np.ndarray, symbols: int, room: Room | None = None, held: int = HELD, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order (by LENGTH symbols at least) and of each the common prefix with the one before, LENGTH at most."""
+    n, s = len(text), kinds_of(text)
+    if not n:
+        return np.empty(0, np.int32), np.empty(0, np.uint8)
+    lms = leftmost(text, symbols, s, room, held, base)
+    shares = neighbours(text, lms)
+    cut = np.searchsorted(text[lms], np.arange(symbols + 1))
+    up = Induction(text, symbols, ~s, room, held)
+    up.queue.put(text[n - 1 :], np.array([n - 1], np.int32), np.zeros(1, np.uint8))  # the last suffix is L
+    up.since[text[n - 1]] = 0
+    larger: list = []
+    for c in range(symbols):
+        at, prefix = up.bucket(c)
+        own, p = lms[cut[c] : cut[c + 1]], shares[cut[c] : cut[c + 1]].copy()
+        if len(own):
+            p[0] = min(run_length(text, int(at[-1])), run_length(text, int(own[0]))) if len(at) else 0
+            up.push(own, p)
+        larger.append(room.put([at, prefix]) if room is not None and len(at) > held else (at, prefix))
+    down = Induction(text, symbols, s, room, held)
+    parts: list = []
+    for c in range(symbols - 1, -1, -1):
+        at, prefix = down.bucket(c)
+        big, p = (x if isinstance(x, np.ndarray) else room.get(x) for x in larger[c])
+        larger[c] = None
+        seam = min(run_length(text, int(big[-1])), run_length(text, int(at[-1]))) if len(big) and len(at) else 0
+        if len(big):
+            down.push(big[::-1], np.concatenate(([seam], p[:0:-1])).astype(np.uint8))
+        # from the smallest on, each shares with the one before it what it shared with the one after it
+        small = np.concatenate(([seam], prefix[:0:-1])).astype(np.uint8) if len(at) else prefix
+        parts.append((np.concatenate((big, at[::-1])), np.concatenate((p, small))))
+    parts.reverse()
+    return np.concatenate([a for a, _ in parts]), np.concatenate([p for _, p in parts])
+
+
+def neighbours(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each position in order what its suffix shares with the one before, LENGTH at most."""
+    out = np.zeros(len(order), np.uint8)
+    if text.dtype != np.uint8:
+        return out  # names carry no common prefixes
+    n = len(text)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((text, np.zeros(64, np.uint8))), 8)
+    some = np.arange(1, len(order))
+    for k in range(0, LENGTH, 8):
+        a, b = order[some].astype(np.int64) + k, order[some - 1].astype(np.int64) + k
+        x = windows[np.minimum(a, n)].view(">u8")[:, 0] ^ windows[np.minimum(b, n)].view(">u8")[:, 0]
+        same = np.full(len(x), 8)
+        for j in range(8):  # the first byte that differs
+            same[(same == 8) & (x >> np.uint64(56 - 8 * j) != 0)] = j
+        same = np.minimum(same, np.maximum(n - np.maximum(a, b), 0))
+        out[some] += same.astype(np.uint8)
+        some = some[same == 8]
+        if not len(some):
+            break
+    return np.minimum(out, LENGTH)
+
+
+def spans_of(groups: int, parts: list[list[np.ndarray]], room: Room, held: int, base: int) -> Iterator[pa.RecordBatch]:
+    """The stretches of a shard to the spans that a smaller document has too."""
     doc, key, offset, size, data = together(parts, 5)
     starts = np.cumsum(size) - size
     raw = data.tobytes()
     distinct: dict[bytes, int] = {}
     number = np.array([distinct.setdefault(raw[a : a + n], len(distinct)) for a, n in zip(starts.tolist(), size.tolist(), strict=True)], np.int64)
     texts = list(distinct)
-    lowest = np.full(len(texts), LAST, np.int64)
-    np.minimum.at(lowest, number, doc)
+    least = np.full(len(texts), LAST, np.int64)
+    np.minimum.at(least, number, doc)
     text = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     at = np.cumsum(sizes + 1) - sizes - 1
-    own = np.repeat(np.arange(len(texts)), sizes + 1)
-    window = np.arange(len(text)) + LENGTH <= (at + sizes)[own]
-    order = suffix_order(text)
-    order = order[window[order]]
-    lead = np.flatnonzero(~neighbours_equal(text, order))
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    order, prefix = induced(text, 256, room, held, base)
+    whole = np.flatnonzero(order + LENGTH <= (at + sizes)[own[order]])
     best = np.empty(len(text), np.int64)
-    if len(order):
-        best[order] = np.repeat(np.minimum.reduceat(lowest[own[order]], lead), np.diff(np.concatenate((lead, [len(order)]))))
+    if len(whole):
+        # what lies between two whole strings counts in what they share
+        shared_ = np.minimum.reduceat(prefix[: whole[-1] + 1], np.concatenate(([0], whole[:-1] + 1)))
+        order = order[whole]
+        lead = np.flatnonzero(np.concatenate(([True], shared_[1:] < LENGTH)))
+        best[order] = np.repeat(np.minimum.reduceat(least[own[order]], lead), np.diff(np.concatenate((lead, [len(order)]))))
     n = size - LENGTH + 1
     begin = np.cumsum(n) - n
     of = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(of)) - begin[of]
     hit = best[at[number[of]] + step] < doc[of]
     edge = np.concatenate((of[1:] != of[:-1], [True]))
-    after = np.concatenate((hit[1:], [False]))
     firsts = np.flatnonzero(hit & np.concatenate(([True], edge[:-1] | ~hit[:-1])))
-    lasts = np.flatnonzero(hit & (edge | ~after))
+    lasts = np.flatnonzero(hit & (edge | ~np.concatenate((hit[1:], [False]))))
     spans = (key[of[firsts]], offset[of[firsts]] + step[firsts], lasts - firsts + LENGTH)
-    return pa.concat_tables([passed, as_table(addressed(1, spans[0] % groups, spans))])
+    yield from addressed(1, spans[0] % groups, spans)
+
+
+def dealt_on(groups: int, part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The strings of stretches of a shard that is too large, each to a shard by its own hash (kind 2); equal ones of a blob once, the others told at once."""
+    doc, key, offset, size, data = part
+    n = size - LENGTH + 1
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    start = (np.cumsum(size) - size)[of] + step
+    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start])
+    order = np.lexsort((doc[of], strings.view(f"S{LENGTH}")[:, 0]))
+    text = [r.tobytes() for r in strings[order]]
+    of, step = of[order], step[order]
+    lead = np.flatnonzero([k == 0 or t != text[k - 1] for k, t in enumerate(text)])
+    mine = np.repeat(lead, np.diff(np.concatenate((lead, [len(text)]))))
+    later = np.flatnonzero(doc[of] > doc[of[mine]])
+    yield from addressed(1, key[of[later]] % groups, (key[of[later]], offset[of[later]] + step[later], np.full(len(later), LENGTH, np.int64)))
+    rest = np.flatnonzero(doc[of] == doc[of[mine]])
+    to = np.array([int.from_bytes(hashlib.blake2b(text[k], digest_size=7).digest(), "big") % groups for k in rest.tolist()], np.int64)
+    turn = np.argsort(to, kind="stable")
+    for cut_ in np.split(turn, np.flatnonzero(np.diff(to[turn])) + 1):
+        if len(cut_):
+            r = rest[cut_]
+            blob = squeeze(doc[of[r]], key[of[r]], offset[of[r]] + step[r], np.frombuffer(b"".join(text[k] for k in r.tolist()), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([int(to[cut_[0]])], pa.int64()), pa.array([blob], pa.binary())], ["kind", "to", "blob"])
+
+
+def met_again(groups: int, parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Strings dealt on, to the spans that a smaller document has too."""
+    doc, key, offset, data = together(parts, 4)
+    rows = data.reshape(-1, LENGTH)
+    least: dict[bytes, int] = {}
+    text = [r.tobytes() for r in rows]
+    for t, d in zip(text, doc.tolist(), strict=True):
+        if d < least.get(t, LAST + 1):
+            least[t] = d
+    hit = np.flatnonzero(doc > np.array([least[t] for t in text], np.int64)) if text else np.empty(0, np.int64)
+    yield from addressed(1, key[hit] % groups, (key[hit], offset[hit], np.full(len(hit), LENGTH, np.int64)))
+
+
+def by_shard(groups: int, kind: int, folder: str, bounds: tuple[int, int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by shard: those of the kind, a shard after the other; the others pass."""
+    types = (np.int64, np.int64, np.int64, np.int64, np.uint8) if kind == 0 else (np.int64, np.int64, np.int64, np.uint8)
+    room, (most, most_held, base) = Room(folder), bounds
+    now, held, size, over = None, [], 0, False
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from spans_of(groups, held, room, most_held, base) if kind == 0 else met_again(groups, held)
+
+    try:
+        for batch in batches:
+            mine = pa.compute.equal(batch.column(0), kind)
+            rest = batch.filter(pa.compute.invert(mine))
+            if rest.num_rows:
+                yield rest
+            rows = batch.filter(mine)
+            for to, blob in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if to != now:
+                    yield from done()
+                    now, held, size, over = to, [], 0, False
+                part = opened(blob, *types)
+                held.append(part)
+                size += len(part[-1])
+                if kind == 0 and (over or size > most):
+                    over = True
+                    for p in held:
+                        yield from dealt_on(groups, p)
+                    held, size = [], 0
+        yield from done()
+    finally:
+        room.close()
 
 
 def removed(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -404,8 +653,11 @@ def on_both(f, *given):
     return run
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def dedup(docs: DataFrame, most: int = MOST, held: int = HELD, base: int = BASE) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    most: bytes of a shard that is sorted, beyond which its strings are dealt on; held: tuples of a queue in memory; base: names that are sorted without recursion.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
     groups = max(16, (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP)
@@ -415,7 +667,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     # one query: the shuffle of the documents serves both cogroups
     told = source.select("key", "text").mapInArrow(partial(census, groups), blobs).groupBy("to").applyInArrow(on_group(shared, groups), blobs)
     pieces = by_group.cogroup(told.groupBy("to")).applyInArrow(on_both(cut, groups), blobs)
-    spans = pieces.groupBy("to").applyInArrow(on_group(sorted_shard, groups), blobs)
+    folder = f"{shared_dir(docs.sparkSession)}/tessera-queues-{uuid.uuid4().hex}"
+    forget_at_exit(docs.sparkSession, folder)
+    spans = pieces
+    for kind in (0, 2):
+        spans = spans.repartition("to").sortWithinPartitions("to").mapInArrow(partial(by_shard, groups, kind, folder, (most, held, base)), blobs)
     return by_group.cogroup(spans.groupBy("to")).applyInArrow(on_both(removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

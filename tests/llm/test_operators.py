@@ -433,22 +433,32 @@ def test_near_copies_go_by_row(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
-def test_suffix_order_sorts(tmp_path):
+@pytest.mark.parametrize("base", [1 << 20, 3, 0])
+def test_induced_order_and_prefixes(tmp_path, base):
+    """Order and common prefixes against brute force, with the queue in files and with recursion down to a few names."""
     from tessera.llm import substrings
 
-    rng = random.Random(6)
-    for size, letters in ((1, "a"), (300, "ab"), (3000, "abcdef"), (500, "a")):
-        text = np.frombuffer("".join(rng.choice(letters) for _ in range(size)).encode(), np.uint8)
-        raw = text.tobytes()
-        for held in (1 << 20, 50):
-            order = substrings.suffix_order(text, held).tolist()
-            assert sorted(order) == list(range(size))
-            assert all(raw[a : a + 56] <= raw[b : b + 56] for a, b in zip(order, order[1:], strict=False))
-
-
-def test_substring_dedup_brute_force(spark, odd):
+    rng, room = random.Random(6), substrings.Room(f"file://{tmp_path}/queues")
+    for _ in range(60):
+        raw = "".join(rng.choice(rng.choice(["a", "ab", "abc", "abcdefgh"])) for _ in range(rng.choice([0, 1, 2, 3, 10, 60, 250]))).encode() * rng.choice([1, 1, 3])
+        raw = rng.choice([raw, raw.replace(b"a", b"\xff").replace(b"b", b"\x00")])
+        order, prefix = (x.tolist() for x in substrings.induced(np.frombuffer(raw, np.uint8), 256, room, rng.choice([7, 1 << 20]), base))
+        assert sorted(order) == list(range(len(raw)))
+        for k, (i, j) in enumerate(zip(order, order[1:], strict=False), 1):
+            a, b = raw[i : i + 50], raw[j : j + 50]
+            assert a <= b and prefix[k] == next((n for n in range(50) if n >= min(len(a), len(b)) or a[n] != b[n]), 50)
+    assert room.files > 0
+    room.close()
+    assert not list((tmp_path / "queues").iterdir())
+
+
+@pytest.mark.parametrize("bounds", [{}, {"held": 500, "base": 100}, {"most": 1500}])
+def test_substring_dedup_brute_force(spark, odd, empty, bounds):
+    """Also with shards far larger than what the queue holds in memory, and with shards whose strings are dealt on."""
     from tessera.llm import substrings
 
+    assert substrings.dedup(empty, **bounds).count() == 0
+
     tables = [
         [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()],
         [(r.doc_id, r.text) for r in odd.collect()],
@@ -456,6 +466,8 @@ def test_substring_dedup_brute_force(spark, odd):
     rng = random.Random(12)
     base = "".join(rng.choice("ab é") for _ in range(400))
     tables.append([(k, base[rng.randint(0, 300) :][: rng.randint(0, 120)] + rng.choice(["", "a" * 70, "x"]) + base[:60]) for k in range(40)])
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(32))  # one phrase in many contexts, some of them shared
+    tables.append([(k, "".join(rng.choice("klmnop") for _ in range(40)) + phrase + rng.choice(["".join(rng.choice("klmnop") for _ in range(40)), base[:40]])) for k in range(120)])
     for rows in tables:
         key = lambda d: substrings.LAST if d is None else d
         first: dict[bytes, int] = {}
@@ -473,5 +485,5 @@ def test_substring_dedup_brute_force(spark, odd):
                     gone[i : i + 50] = True
             kept = bytes(b for b, g in zip(raw, gone, strict=False) if not g)
             want.append((str(d), len(raw), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), **bounds).collect()]
         assert sorted(got) == sorted(want)
