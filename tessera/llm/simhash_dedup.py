@@ -34,6 +34,7 @@ RADIUS = 3
 BLOCKS = 6
 PIVOTS = 16
 LIMIT = 4096
+COMMON = 10_000
 _ROOT = np.random.default_rng(4)
 REFERENCE = _ROOT.integers(0, 1 << 64, PIVOTS, np.uint64)
 WEIGHT = _ROOT.integers(0, 1 << 63, (BLOCKS, PIVOTS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,10 +230,10 @@ def edges(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Data
 
 
 def rooted(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """prints (doc_id, fp) -> fp, least (smallest doc_id with it), root of its component."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """prints (doc_id, fp) -> fp, least (smallest doc_id with it), n (rows with it), root of its component."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(edges(distinct.select("fp"), radius, limit))
-    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def firsts(docs: DataFrame) -> DataFrame:
@@ -243,8 +244,9 @@ def firsts(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(key, F.concat(*hashed))
     prints, _ = written(fingerprints(keyed, key), "fingerprints")
     rows = prints.groupBy(key, "fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key, "n")).alias("least")
-    stay, _ = written(rows.join(rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(least).select(f"least.{key}", "least.n"), "stay")
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key, "n")).alias("least"))  # one row a fingerprint meets its root
+    of_root = first.join(rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("least").alias("least"))
+    stay, _ = written(of_root.select(f"least.{key}", "least.n"), "stay")
     once = keyed.join(stay.where("n = 1"), key, "left_semi").select(*own)
     if not stay.where("n > 1").head(1):
         return once
@@ -254,11 +256,18 @@ def firsts(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp, component_id (smallest doc_id reachable)."""
+    """docs (doc_id, text) -> doc_id, fp, component_id (smallest doc_id reachable).
+
+    Fingerprints of many rows, at most COMMON by their least number of rows, are broadcast, so that their rows aren't dealt by them.
+    """
     prints, _ = written(fingerprints(docs), "fingerprints")
     of = rooted(prints, radius, limit)
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    known, _ = written(of.join(named, "root").select("fp", "component_id", "n"), "classes")
+    often = F.col("n") > max(1000, prints.count() // COMMON)
+    common = F.broadcast(known.where(often).drop("n"))
+    rare = prints.join(common.select("fp"), "fp", "left_anti").join(known.where(~often).drop("n"), "fp")
+    return prints.join(common, "fp").unionByName(rare).select("doc_id", "fp", "component_id")
 
 
 def op4_pivot_simhash(spark, sf_dir: str) -> DataFrame:
