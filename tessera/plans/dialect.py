@@ -138,8 +138,8 @@ class Spark:
         return f"split({s}, {self.text(pattern)})"
 
     def exploded(self, source, keep, array, name, at):
-        """Rows of an array's elements and their places, from 1."""
-        return f"(SELECT {keep}, at_ + 1 AS {at}, {name} FROM {source} LATERAL VIEW posexplode({array}) e_ AS at_, {name})"
+        """Rows of an array's elements that aren't null and their places, from 1. Without OUTER the engine would compute the array again to see if it is empty."""
+        return f"(SELECT {keep}, at_ + 1 AS {at}, {name} FROM {source} LATERAL VIEW OUTER posexplode({array}) e_ AS at_, {name} WHERE {name} IS NOT NULL)"
 
     def lengths(self, array, n):
         """Characters of the first n elements."""

@@ -121,24 +121,38 @@ def shown(d, minor: str, currency: str) -> str:
     return f"concat(CASE {currency} WHEN 'INR' THEN '₹' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' ELSE concat({currency}, ' ') END, CASE WHEN {currency} = 'INR' THEN {by(2, '', '')} ELSE {by(3, '', '')} END, {cents})"
 
 
-WORD = r"[\pL\pN_]"
+#: What a text must have for a mask to look at it, the mask, its tag, and whether its end is looked at too.
+MASKS = (
+    (r"(?i)https?://|www\.", r"(?i)(^|[^\pL\pN_])(?:https?://|www\.)[^\s<>]+", "URL", False),
+    (r"\d", r"(?i)(^|[^\pL\pN_])(?:\$|₹|Rs\.?|INR|USD)\s*\d[\d,]*(?:\.\d+)?", "AMOUNT", False),
+    ("@", r"(?i)(^|[^\pL\pN_.+-])[\pL\pN_.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+([^\pL\pN_.-]|$)", "EMAIL", True),
+    ("@", r"(?i)(^|[^\pL\pN_.+-])[\pL\pN_.+-]+@[a-z0-9_-]+([^\pL\pN_.-]|$)", "UPI_ID", True),
+    (r"[A-Za-z]\d{4}[A-Za-z]", r"(?i)(^|[^\pL\pN_])[A-Z]{5}\d{4}[A-Z]([^\pL\pN_]|$)", "PAN_ID", True),
+    (r"\d[\d ()-]{6,}\d", r"(^|[^\pL\pN_])\+?\d[\d ()-]{6,}\d([^\pL\pN_]|$)", "ACCOUNT_NUM", True),
+)
+
+
+def masked(d, s: str, pattern: str, tag: str, ends: bool) -> str:
+    """A mask whose end is looked at is put twice, as a match takes the character after it."""
+    if not ends:
+        return d.sub(s, pattern, f"$1[{tag}]")
+    return d.sub(d.sub(s, pattern, f"$1[{tag}]$2"), pattern, f"$1[{tag}]$2")
 
 
 def redacted(d, s: str) -> str:
-    """Six masks in order. A mask whose ends are looked at is put twice, as a match takes the character after it."""
-    s = d.sub(s, rf"(?i)(^|[^\pL\pN_])(?:https?://|www\.)[^\s<>]+", "$1[URL]")
-    s = d.sub(s, rf"(?i)(^|[^\pL\pN_])(?:\$|₹|Rs\.?|INR|USD)\s*\d[\d,]*(?:\.\d+)?", "$1[AMOUNT]")
-    for pattern, tag in (
-        (r"(?i)(^|[^\pL\pN_.+-])[\pL\pN_.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+([^\pL\pN_.-]|$)", "EMAIL"),
-        (r"(?i)(^|[^\pL\pN_.+-])[\pL\pN_.+-]+@[a-z0-9_-]+([^\pL\pN_.-]|$)", "UPI_ID"),
-        (r"(?i)(^|[^\pL\pN_])[A-Z]{5}\d{4}[A-Z]([^\pL\pN_]|$)", "PAN_ID"),
-        (r"(^|[^\pL\pN_])\+?\d[\d ()-]{6,}\d([^\pL\pN_]|$)", "ACCOUNT_NUM"),
-    ):
-        for _ in range(2):
-            s = d.sub(s, pattern, f"$1[{tag}]$2")
+    """H19 of a short text: six masks in order."""
+    for _, pattern, tag, ends in MASKS:
+        s = masked(d, s, pattern, tag, ends)
     return s
 
 
+def redacted_rows(d, source: str, keep: str, column: str) -> str:
+    """H19 of a table's column, a step a mask, so that a text without a mask's marks is only looked through for them."""
+    for needs, pattern, tag, ends in MASKS:
+        source = f"(SELECT {keep}, CASE WHEN {d.like(column, needs)} THEN {masked(d, column, pattern, tag, ends)} ELSE {column} END AS {column} FROM {source} step_)"
+    return source
+
+
 def gated(d) -> str:
     """Messages with their text and how many amounts it has."""
     return f"(SELECT m.*, coalesce(c.amounts, 0) AS amounts FROM {text_of(d)} m LEFT JOIN (SELECT id, count(*) AS amounts FROM {amounts(d, text_of(d))} a GROUP BY id) c ON c.id = m.id)"
@@ -202,7 +216,7 @@ def k3_amount_tags(d):
     tagged = f"(SELECT id, ln, {d.ordered(piece, 'k', chr(39) * 2)} AS line, count(*) AS tags FROM {rows} r GROUP BY id, ln)"
     lines = d.exploded(f"(SELECT id, {d.resplit('text', r'[\n|]')} AS ls FROM {text} s)", "id", "ls", "line", "ln")
     whole = f"(SELECT l.id, {d.ordered('coalesce(t.line, l.line)', 'l.ln', 'chr(10)')} AS text, CAST(coalesce(sum(t.tags), 0) AS BIGINT) AS tags FROM {lines} l LEFT JOIN {tagged} t ON t.id = l.id AND t.ln = l.ln GROUP BY l.id)"
-    return f"SELECT id, {d.sha(redacted(d, 'text'))} AS masked, tags FROM {whole} w"
+    return f"SELECT id, {d.sha('text')} AS masked, tags FROM {redacted_rows(d, whole, 'id, tags', 'text')} w"
 
 
 @query
@@ -241,14 +255,15 @@ def k10_scan_step(d):
 @query
 def redacted_documents(d):
     """The six masks over every document and every message's first lines."""
-    s = f"(SELECT id, {redacted(d, 'concat(subject, chr(10), body)')} AS safe FROM {messages(d)} m)"
+    s = redacted_rows(d, f"(SELECT id, concat(subject, chr(10), body) AS safe FROM {messages(d)} m)", "id", "safe")
     return f"SELECT id, {d.sha('safe')} AS safe, {d.count('safe', chr(92) + '[(URL|AMOUNT|EMAIL|UPI_ID|PAN_ID|ACCOUNT_NUM)' + chr(92) + ']')} AS masks FROM {s} r"
 
 
 @query
 def h20_safe_text(d):
     """What a provider sees: subject and body, masked; the sender stays out."""
-    return f"SELECT id, {d.sha(f'concat({chr(39)}Subject: {chr(39)}, {redacted(d, "subject")}, {chr(39)} | Body: {chr(39)}, {redacted(d, "body")})')} AS safe FROM {messages(d)} m"
+    body = redacted_rows(d, f"(SELECT id, subject, body FROM {messages(d)} m)", "id, subject", "body")
+    return f"SELECT id, {d.sha(f'concat({chr(39)}Subject: {chr(39)}, {redacted(d, "subject")}, {chr(39)} | Body: {chr(39)}, body)')} AS safe FROM {body} b"
 
 
 @query
@@ -263,4 +278,4 @@ def h32_duration(d):
 @query
 def k6_mail_left(d):
     """Addresses that the masks leave, of which a stop right behind is the one reason."""
-    return f"SELECT id, {d.count(redacted(d, 'body'), EMAIL)} AS addresses FROM {messages(d)} m"
+    return f"SELECT id, {d.count('body', EMAIL)} AS addresses FROM {redacted_rows(d, f'(SELECT id, body FROM {messages(d)} m)', 'id', 'body')} b"
