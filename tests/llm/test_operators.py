@@ -244,6 +244,22 @@ def test_chat_round_trip(spark):
             assert sum(chat.tokens(t) for _, t in turns) <= budget or len(turns) <= 1 + (turns[0][0] == "system")
 
 
+def test_chat_of_odd_tables(spark):
+    ddl = "conv_id long, turn long, role string, text string, window string, loss string"
+    assert chat.read_back(chat.windows(spark.createDataFrame([], ddl))).count() == 0
+    rows = [(None, 0, None, None, "w", "l"), (None, 1, "assistant", "x", "w", "l"), (1, None, "user", "", None, None), (2, 0, "assistant", "a" * 50_000, "w", "l"), (2, 0, "assistant", "a" * 50_000, "w", "l")]
+    got = {r.conv_id: r for r in chat.read_back(chat.windows(spark.createDataFrame(rows, ddl))).collect()}
+    assert got[None].n_turns == 2 and got[None].turns_sha256 == sha("\n\nassistant\nx\n") and got[None].loss_sha256 == sha("x")
+    assert got[1].n_turns == 1 and got[1].loss_chars == 0
+    assert got[2].n_turns == 2 and got[2].loss_chars == 100_000
+
+
+def test_within_of_nothing(spark):
+    some = spark.createDataFrame([("0" * 64,), (None,), ("f" * 64,), ("0" * 64,)], "fingerprint string")
+    assert fingerprints.within(some, some.limit(0)).count() == 0 and fingerprints.within(some.limit(0), some).count() == 0
+    assert {tuple(r) for r in fingerprints.within(some, some).collect()} == {("0" * 64, "0" * 64, 0), ("f" * 64, "f" * 64, 0)}
+
+
 def test_edited_and_within(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
