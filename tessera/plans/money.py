@@ -116,9 +116,9 @@ def category(d, k: str) -> str:
 def shown(d, minor: str, currency: str) -> str:
     """Indian grouping for rupees, by thousands for others; no empty cents."""
     w = f"CAST(CAST(floor({minor} / 100) AS BIGINT) AS STRING)"
-    by = lambda n, head, rest: f"CASE WHEN length({w}) > 3 THEN concat(reverse({d.sub(d.sub(f'reverse(substr({w}, 1, length({w}) - 3))', f'([0-9]{{{n}}})', '$1,'), ',$')}), ',', substr({w}, length({w}) - 2)) ELSE {w} END"
+    by = lambda n: f"CASE WHEN length({w}) > 3 THEN concat(reverse({d.sub(d.sub(f'reverse(substr({w}, 1, length({w}) - 3))', f'([0-9]{{{n}}})', '$1,'), ',$')}), ',', substr({w}, length({w}) - 2)) ELSE {w} END"
     cents = f"CASE WHEN {minor} % 100 > 0 THEN concat('.', lpad(CAST({minor} % 100 AS STRING), 2, '0')) ELSE '' END"
-    return f"concat(CASE {currency} WHEN 'INR' THEN '₹' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' ELSE concat({currency}, ' ') END, CASE WHEN {currency} = 'INR' THEN {by(2, '', '')} ELSE {by(3, '', '')} END, {cents})"
+    return f"concat(CASE {currency} WHEN 'INR' THEN '₹' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' ELSE concat({currency}, ' ') END, CASE WHEN {currency} = 'INR' THEN {by(2)} ELSE {by(3)} END, {cents})"
 
 
 #: What a text must have for a mask to look at it, the mask, its tag, and whether its end is looked at too.
