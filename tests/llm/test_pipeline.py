@@ -39,6 +39,16 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, DDL).repartition(3).cache()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_tagger(spark):
+    """Trained once for all tests here."""
+    fitted = pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    patch = pytest.MonkeyPatch()
+    patch.setattr(pii, "fit", lambda *_: fitted)
+    yield
+    patch.undo()
+
+
 def plain(found):
     return sorted(((r[0], r[1], r[3]) for r in found), key=str)
 
