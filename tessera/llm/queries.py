@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, fingerprints, licenses, mixing, passages, pii, quality, simhash_dedup, substrings
+from tessera.llm import chat, decontaminate, fingerprints, layout, licenses, mixing, passages, pii, quality, simhash_dedup, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_char_bilstm_crf": pii.op8_char_bilstm_crf,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_simhash_fingerprints": fingerprints.op10_simhash_fingerprints,
+        "op11_counting_bisection": layout.op11_counting_bisection,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_automaton": decontaminate.ORACLE, "op9_pareto_mixing": mixing.ORACLE}
+    return {"op2_suffix_automaton": decontaminate.ORACLE, "op9_pareto_mixing": mixing.ORACLE, "op11_counting_bisection": layout.ORACLE}
