@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, fingerprints, layout, licenses, mixing, passages, pii, quality, simhash_dedup, substrings, url_filters
+from tessera.llm import chat, decontaminate, fingerprints, layout, licenses, mixing, passages, pii, quality, simhash_dedup, spelling, substrings, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,9 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_fingerprints": fingerprints.op10_simhash_fingerprints,
         "op11_counting_bisection": layout.op11_counting_bisection,
         "op12_rarest_token": url_filters.op12_rarest_token,
+        "op13_halves_automata": spelling.op13_halves_automata,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_automaton": decontaminate.ORACLE, "op9_pareto_mixing": mixing.ORACLE, "op11_counting_bisection": layout.ORACLE, "op12_rarest_token": url_filters.ORACLE}
+    return {"op2_suffix_automaton": decontaminate.ORACLE, "op9_pareto_mixing": mixing.ORACLE, "op11_counting_bisection": layout.ORACLE, "op12_rarest_token": url_filters.ORACLE, "op13_halves_automata": spelling.ORACLE}
