@@ -14,15 +14,16 @@ def _duck(sql: str) -> str:
 
 
 def queries():
-    from tessera.functions import training
+    from tessera.functions import fit, training
     from tessera.operators import agent
-    from tessera.streaming import folds
+    from tessera.streaming import folds, keyed
 
-    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | vectors.PLANS | folds.PLANS | training.PLANS | published.PLANS | files.PLANS | agent.PLANS
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | vectors.PLANS | folds.PLANS | keyed.PLANS | training.PLANS | fit.PLANS | published.PLANS | files.PLANS | agent.PLANS
 
 
 def oracle_sql():
+    from tessera.functions import fit
     from tessera.operators import agent
-    from tessera.streaming import folds
+    from tessera.streaming import folds, keyed
 
-    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | files.ORACLES | folds.ORACLES | agent.ORACLES | texts.ORACLES | scalar.ORACLES | vectors.ORACLES).items()}
+    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | files.ORACLES | folds.ORACLES | keyed.ORACLES | fit.ORACLES | agent.ORACLES | texts.ORACLES | scalar.ORACLES | vectors.ORACLES).items()}

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def folded(df: DataFrame, key: str, order: list[str], step: Callable, ddl: str) -> DataFrame:
-    """step(state or None, row as a tuple of df's columns) -> new state, output row or None; the state begins anew with each key."""
+def folded(df: DataFrame, key: str, order: list[str], step: Callable, ddl: str, many: bool = False) -> DataFrame:
+    """step(state or None, row as a tuple of df's columns) -> new state, output row or None (many: output rows); the state begins anew with each key."""
     at, names = df.columns.index(key), [c.split()[0] for c in ddl.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
     types = [kinds[c.split()[1]] for c in ddl.split(", ")]
@@ -43,7 +42,9 @@ def folded(df: DataFrame, key: str, order: list[str], step: Callable, ddl: str)
                 if row[at] != now:
                     now, state = row[at], None
                 state, given = step(state, row)
-                if given is not None:
+                if many:
+                    out.extend(given)
+                elif given is not None:
                     out.append(given)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -122,33 +123,7 @@ def m1_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.count_if("failed").alias("failed"), F.count_if("remind").alias("reminders"))
 
 
-def fit_nonnegative(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 4000, rate: float = 0.5, penalty: float = 0.05) -> tuple[np.ndarray, float]:
-    """Logistic regression with weights of zero or more, by projected gradient steps over distinct rows and how often each occurs."""
-    w, b, share = np.zeros(x.shape[1]), 0.0, times / max(1, times.sum())
-    for _ in range(steps):
-        g = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
-        w, b = np.maximum(0, w - rate * (x.T @ g + penalty * w)), b - rate * g.sum()
-    return w, b
-
-
-def l7_fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of four text signals, and again without each. The table is aggregated to its distinct signal rows (32 at most), which is all that the driver gets."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    signals = {"shouting": F.col("text").rlike("!!"), "long": F.col("n_chars") > 900, "digits": F.col("text").rlike("[0-9]{6}"), "bars": F.col("text").contains(" | ")}
-    flags = [F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in signals.items()]
-    rows = docs.join(labels.where("quality in (0, 1)"), "doc_id").select(*flags, "quality").groupBy(*signals, "quality").count().orderBy(*signals, "quality").collect()
-    names = list(signals)
-    x = np.array([[r[k] for k in names] for r in rows], float).reshape(len(rows), len(names))
-    y, times = np.array([1 - r["quality"] for r in rows], float), np.array([r["count"] for r in rows], float)
-    out = []
-    for without in (None, *names):
-        use = [k for k in names if k != without]
-        w, b = fit_nonnegative(x[:, [names.index(k) for k in use]], y, times, 1500)
-        out += [(without or "none", k, round(float(v), 6)) for k, v in zip((*use, "bias"), (*w, b), strict=True)]
-    return spark.createDataFrame(out, "without string, signal string, weight double")
-
-
-PLANS = {f.__name__: f for f in (cooldown_accept, state_machine_fold, a1_change_feed, m1_micro_batches, l7_fit_weights)}
+PLANS = {f.__name__: f for f in (cooldown_accept, state_machine_fold, a1_change_feed, m1_micro_batches)}
 
 _PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in sorted(ALLOWED))
 ORACLES = {
