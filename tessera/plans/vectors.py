@@ -160,9 +160,16 @@ def precedent_gate(d, near):
     return f"SELECT q, count(DISTINCT id) >= 3 AS gated, {d.listed('CAST(id AS STRING)')} AS ids FROM {near} r WHERE rn <= 3 GROUP BY q"
 
 
-@planned(lambda s, p: _table(s, p, 15, 2.0, None, "true"), pairs(which="true"))
+def _by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans import cells
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return cells.neighbours(rows, rows)
+
+
+@planned(_by_cells, pairs(which="true"))
 def j8_all_neighbours(d, near):
-    """Of every row the nearest fifteen."""
+    """Of every row the nearest fifteen, exactly, by cells."""
     return f"SELECT q, id, CAST(rn AS BIGINT) AS rn FROM {near} r WHERE rn <= 15"
 
 
