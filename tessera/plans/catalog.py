@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import money, relational, scalar, signals, texts, vectors
+from tessera.plans import money, near, phrases, relational, scalar, signals, texts, vectors
 from tessera.plans.dialect import DUCK, plan
 from tessera.sources import files, published
 
@@ -18,7 +18,7 @@ def queries():
     from tessera.operators import agent
     from tessera.streaming import folds, keyed
 
-    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | vectors.PLANS | folds.PLANS | keyed.PLANS | training.PLANS | fit.PLANS | published.PLANS | files.PLANS | agent.PLANS
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | phrases.PLANS | near.PLANS | vectors.PLANS | folds.PLANS | keyed.PLANS | training.PLANS | fit.PLANS | published.PLANS | files.PLANS | agent.PLANS
 
 
 def oracle_sql():
@@ -26,4 +26,4 @@ def oracle_sql():
     from tessera.operators import agent
     from tessera.streaming import folds, keyed
 
-    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | files.ORACLES | folds.ORACLES | keyed.ORACLES | fit.ORACLES | agent.ORACLES | texts.ORACLES | scalar.ORACLES | vectors.ORACLES).items()}
+    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | files.ORACLES | folds.ORACLES | keyed.ORACLES | fit.ORACLES | agent.ORACLES | texts.ORACLES | phrases.ORACLES | near.ORACLES | scalar.ORACLES | vectors.ORACLES).items()}

@@ -324,12 +324,17 @@ def regressions(d):
 
 @query
 def latency_percentiles(d):
-    """Nearest rank beside the floor index; values are counted before they are ranked."""
-    seen = "(SELECT event_type, value, count(*) AS c FROM events GROUP BY event_type, value)"
-    ranked = f"(SELECT event_type, value, sum(c) OVER (PARTITION BY event_type ORDER BY value) AS upto, sum(c) OVER (PARTITION BY event_type) AS n FROM {seen} s)"
-    at = lambda rank: f"min(CASE WHEN upto >= {rank} THEN value END)"
-    return f"""SELECT event_type, {at('ceil(0.5 * n)')} AS p50, {at('ceil(0.95 * n)')} AS p95_nearest, {at('greatest(1, floor(0.95 * n))')} AS p95_floor,
-      round(({at('floor((n + 1) / 2.0)')} + {at('ceil((n + 1) / 2.0)')}) / 2, 6) AS median FROM {ranked} r GROUP BY event_type"""
+    """Nearest rank beside the floor index. Values are counted within slices of their range, whose sums tell the slices that hold a rank; only rows of those are ranked."""
+    ends = "(SELECT event_type AS kind, min(value) AS lo, max(value) AS hi, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type)"
+    sliced = f"(SELECT event_type, value, n, CASE WHEN hi > lo THEN CAST(floor((value - lo) / (hi - lo) * 1023) AS BIGINT) ELSE 0 END AS slice FROM events JOIN {ends} e ON event_type = kind WHERE value IS NOT NULL)"
+    sums = f"(SELECT event_type, slice, n, count(*) AS c FROM {sliced} a GROUP BY event_type, slice, n)"
+    upto = f"(SELECT *, sum(c) OVER (PARTITION BY event_type ORDER BY slice) AS upto FROM {sums} b)"
+    ranks = ("ceil(0.5 * n)", "ceil(0.95 * n)", "greatest(1, floor(0.95 * n))", "floor((n + 1) / 2.0)", "ceil((n + 1) / 2.0)")
+    holds = " OR ".join(f"{r} BETWEEN upto - c + 1 AND upto" for r in ranks)
+    held = f"(SELECT event_type AS kind, slice AS at_slice, upto - c AS before FROM {upto} c WHERE {holds})"
+    ranked = f"(SELECT event_type, value, n, before + row_number() OVER (PARTITION BY event_type, slice ORDER BY value) AS place FROM {sliced} s JOIN {held} h ON event_type = kind AND slice = at_slice)"
+    at = lambda k: f"min(CASE WHEN place >= {ranks[k]} THEN value END)"
+    return f"SELECT event_type, {at(0)} AS p50, {at(1)} AS p95_nearest, {at(2)} AS p95_floor, round(({at(3)} + {at(4)}) / 2, 6) AS median FROM {ranked} r GROUP BY event_type"
 
 
 @query
@@ -574,9 +579,10 @@ def n4_revisions(d):
 @query
 def n7_purge(d):
     """An account's messages go, and with them what other tables hold of them; what stays, by table."""
-    gone = "SELECT doc_id FROM documents WHERE source = 'src3'"
-    kept = lambda t, k: f"SELECT '{t}' AS tbl, CAST({k} AS BIGINT) AS id FROM {t} WHERE {k} NOT IN ({gone} AND doc_id IS NOT NULL)"
-    return " UNION ALL ".join([kept("documents", "doc_id"), kept("labels", "doc_id"), kept("embeddings", "vec_id"), kept("events", "event_id")])
+    tables = (("documents", "doc_id"), ("labels", "doc_id"), ("embeddings", "vec_id"), ("events", "event_id"))
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS tbl, CAST({k} AS BIGINT) AS id FROM {t} WHERE {k} IS NOT NULL" for t, k in tables)
+    # one anti join of all tables' rows; the side that goes is as large as the account
+    return f"SELECT tbl, id FROM ({rows}) r WHERE NOT EXISTS (SELECT 1 FROM documents g WHERE g.source = 'src3' AND g.doc_id = r.id)"
 
 
 @query

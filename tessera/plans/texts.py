@@ -60,20 +60,6 @@ def h3_grounding_key(d):
     return f"SELECT id, {d.sha(key(d, 'concat(subject, chr(10), body)'))} AS k FROM {messages(d)} m"
 
 
-@query
-def grounded_quotes(d):
-    """H4: in how many documents each item stands word for word. Items of six words or more meet documents on words two to five, shorter ones are looked up one by one."""
-    item = f"(SELECT item_id, q, {d.split('q', ' ')} AS ws FROM (SELECT item_id, {quoted(d, 'text')} AS q FROM benchmark) b WHERE q <> '')"
-    doc = f"(SELECT doc_id, {key(d, 'text')} AS s FROM documents)"
-    grams = f"(SELECT doc_id, s, explode(array_distinct(transform(sequence(1, greatest(1, size(ws) - 3)), i -> array_join(slice(ws, i, 4), ' ')))) AS seed FROM (SELECT doc_id, s, split(s, ' ') AS ws FROM {doc} d) g)"
-    long = f"SELECT i.item_id, g.doc_id FROM (SELECT item_id, q, array_join(slice(ws, 2, 4), ' ') AS seed FROM {item} i WHERE size(ws) >= 6) i JOIN {grams} g ON g.seed = i.seed WHERE contains(g.s, i.q)"
-    short = f"SELECT i.item_id, x.doc_id FROM {item} i JOIN {doc} x ON size(i.ws) < 6 AND contains(x.s, i.q)"
-    return f"SELECT b.item_id, count(f.doc_id) AS documents FROM benchmark b LEFT JOIN (SELECT DISTINCT item_id, doc_id FROM ({long} UNION ALL {short}) u) f ON f.item_id = b.item_id GROUP BY b.item_id"
-
-
-ORACLES["grounded_quotes"] = lambda d: f"SELECT b.item_id, count(x.doc_id) AS documents FROM (SELECT item_id, {quoted(d, 'text')} AS q FROM benchmark) b LEFT JOIN (SELECT doc_id, {key(d, 'text')} AS s FROM documents) x ON b.q <> '' AND contains(x.s, b.q) GROUP BY b.item_id"
-
-
 @query
 def h22_quoted_strip(d):
     """A message's own words, up to the first quoted mark."""
@@ -212,19 +198,22 @@ def o7_verified_answers(d):
 
 @query
 def o6_tool_totals(d):
-    """What the tools say of each account: messages, spent by currency, high risks."""
+    """What the tools say of each account: messages, those that ask for something, spent by currency, high risks."""
     from tessera.plans import money, signals
 
     spent = f"(SELECT account, currency, CAST(sum(amount_minor) AS BIGINT) AS spent, count(*) AS records FROM {money.records(d)} r WHERE kind <> 'refund' GROUP BY account, currency)"
     risky = f"(SELECT m.account, count(*) AS risky FROM (SELECT id FROM {signals.weighted(d)} w GROUP BY id HAVING sum(weight) > 2) h JOIN {messages(d)} m ON m.id = h.id GROUP BY m.account)"
-    return f"SELECT s.account, s.currency, s.spent, s.records, coalesce(k.risky, 0) AS risky FROM {spent} s LEFT JOIN {risky} k ON k.account = s.account"
+    asked = f"count(CASE WHEN {d.like('body', r'(?i)\b(?:by|before|due|renews|update|pay|send|verify|reply)\b')} THEN 1 END)"
+    mails = f"(SELECT account, count(*) AS messages, {asked} AS actions FROM {messages(d)} m GROUP BY account)"
+    return f"SELECT m.account, m.messages, m.actions, s.currency, s.spent, coalesce(s.records, 0) AS records, coalesce(k.risky, 0) AS risky FROM {mails} m LEFT JOIN {spent} s ON s.account = m.account LEFT JOIN {risky} k ON k.account = m.account"
 
 
 @query
 def o4_tool_search(d):
-    """Word, account and date filters with their total, eight rows."""
+    """Word and date filters, eight rows; the total is counted apart, so that no task holds all hits."""
     where = f"{d.has(key(d, 'body'), chr(39) + 'account' + chr(39))} AND received >= DATE '2024-01-10' AND received < DATE '2024-02-20'"
-    return f"SELECT id, account, received, total FROM (SELECT id, account, received, count(*) OVER () AS total FROM {messages(d)} m WHERE {where}) x ORDER BY received DESC, id DESC LIMIT 8"
+    hits = f"(SELECT id, account, received FROM {messages(d)} m WHERE {where})"
+    return f"SELECT id, account, received, total FROM (SELECT * FROM {hits} h ORDER BY received DESC, id DESC LIMIT 8) p CROSS JOIN (SELECT count(*) AS total FROM {hits} c) t"
 
 
 @query
