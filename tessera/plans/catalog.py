@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import money, near, phrases, relational, scalar, signals, texts, vectors
+from tessera.plans import money, near, phrases, relational, scalar, signals, sketches, temporal, texts, vectors
 from tessera.plans.dialect import DUCK, plan
-from tessera.sources import files, published, stored
+from tessera.sources import files, paged, published, stored
 
 BOTH = relational.QUERIES | scalar.QUERIES | signals.QUERIES | money.QUERIES | texts.QUERIES | vectors.QUERIES
 
@@ -18,7 +18,7 @@ def queries():
     from tessera.operators import agent
     from tessera.streaming import delivery, folds, keyed
 
-    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | phrases.PLANS | near.PLANS | vectors.PLANS | folds.PLANS | keyed.PLANS | delivery.PLANS | training.PLANS | fit.PLANS | published.PLANS | files.PLANS | stored.PLANS | agent.PLANS
+    return {name: plan(q) for name, q in BOTH.items()} | scalar.PLANS | phrases.PLANS | near.PLANS | temporal.PLANS | sketches.PLANS | vectors.PLANS | folds.PLANS | keyed.PLANS | delivery.PLANS | training.PLANS | fit.PLANS | published.PLANS | files.PLANS | stored.PLANS | paged.PLANS | agent.PLANS
 
 
 def oracle_sql():
@@ -26,4 +26,4 @@ def oracle_sql():
     from tessera.operators import agent
     from tessera.streaming import delivery, folds, keyed
 
-    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | files.ORACLES | stored.ORACLES | folds.ORACLES | keyed.ORACLES | delivery.ORACLES | fit.ORACLES | agent.ORACLES | texts.ORACLES | phrases.ORACLES | near.ORACLES | scalar.ORACLES | vectors.ORACLES).items()}
+    return {name: _duck(q(DUCK)) for name, q in (BOTH | published.ORACLES | files.ORACLES | stored.ORACLES | paged.ORACLES | folds.ORACLES | keyed.ORACLES | delivery.ORACLES | fit.ORACLES | agent.ORACLES | texts.ORACLES | phrases.ORACLES | near.ORACLES | temporal.ORACLES | sketches.ORACLES | scalar.ORACLES | vectors.ORACLES).items()}
