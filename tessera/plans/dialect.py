@@ -131,6 +131,11 @@ class Spark:
     def split(self, s, by):
         return f"split({s}, {self.text(chr(92) + by if by in '.|+' else by)})"
 
+    def some(self, x, pattern, refused):
+        """Whether a match of the pattern in x isn't refused by what stands before and behind it (behind begins with the match)."""
+        at = f"split({self.sub(x, f'({pattern})', chr(1) + '$1')}, {self.text(chr(1))})"
+        return f"exists(slice(transform({at}, (p_, i_) -> struct(array_join(slice({at}, 1, i_), '') AS b_, p_ AS a_)), 2, 999), m_ -> NOT ({refused('m_.b_', 'm_.a_')}))"
+
     def translate(self, s, a, b):
         return f"translate({s}, '{a}', '{b}')"
 
@@ -278,6 +283,10 @@ class Duck(Spark):
     def split(self, s, by):
         return f"string_split({s}, '{by}')"
 
+    def some(self, x, pattern, refused):
+        at = f"string_split({self.sub(x, f'({pattern})', chr(1) + '$1')}, {self.text(chr(1))})"
+        return f"len(list_filter(range(2, len({at}) + 1), lambda i_: NOT ({refused(f'array_to_string({at}[1:i_ - 1], {chr(39) * 2})', f'{at}[i_]')}))) > 0"
+
     def resplit(self, s, pattern):
         return f"regexp_split_to_array({s}, {self.text(pattern)})"
 

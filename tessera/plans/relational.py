@@ -653,13 +653,19 @@ def m13_route_failover(d):
 
 @query
 def o11_redteam_layers(d):
-    """Of each family of attacks (the messages' turns) how many do harm without and with the layers: a message that the rules find high or that is masked does none."""
+    """Of each family of attacks (the messages' turns) how many do harm with no layer, with the rules alone, with the masks alone and with both. An attack lures and leaves the reader something to act on (a link, an address, a number); the rules stop those they find high, the masks those whose reader is left nothing."""
     from tessera.plans import signals
     from tessera.plans.messages import CASES, messages
+    from tessera.plans.money import redacted_rows
 
+    lure, act = r"(?i)\b(otp|password|kyc|gift card|fee|prize|blocked|suspended)\b", r"(?i)https?://|[a-z0-9._+-]+@[a-z0-9]|\+?\d[\d ()-]{8,}\d"
     risky = f"SELECT id FROM {signals.weighted(d)} w GROUP BY id HAVING sum(weight) > 1.2"
-    attack = f"(SELECT id, id % {len(CASES)} AS family, {d.like('body', r'(?i)\b(otp|password|kyc|gift card|fee|prize|blocked|suspended)\b')} AS harm FROM {messages(d)} m)"
-    return f"SELECT family, count(*) AS attacks, CAST(count_if(harm) AS BIGINT) AS harm_off, CAST(count_if(harm AND r.id IS NULL) AS BIGINT) AS harm_on FROM {attack} a LEFT JOIN ({risky}) r ON r.id = a.id GROUP BY family"
+    whole = f"(SELECT id, concat(body, ' ', href, ' ', reply) AS seen FROM {messages(d)} m)"
+    masks = redacted_rows(d, whole, "id", "seen")
+    attack = f"(SELECT w.id, w.id % {len(CASES)} AS family, {d.like('w.seen', lure)} AND {d.like('w.seen', act)} AS harm, {d.like('k.seen', lure)} AND {d.like('k.seen', act)} AS left_over FROM {whole} w JOIN {masks} k ON k.id = w.id)"
+    n = lambda c: f"CAST(count_if({c}) AS BIGINT)"
+    return f"""SELECT family, count(*) AS attacks, {n('harm')} AS harm_off, {n('harm AND r.id IS NULL')} AS harm_rules, {n('left_over')} AS harm_masks, {n('left_over AND r.id IS NULL')} AS harm_on
+      FROM {attack} a LEFT JOIN ({risky}) r ON r.id = a.id GROUP BY family"""
 
 
 @query

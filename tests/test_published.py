@@ -25,3 +25,12 @@ def test_training_learns(spark):
     rows = [("pay now please", 1, i % 3 == 0) for i in range(30)] + [("lunch at noon", 0, i % 3 == 0) for i in range(30)] + [(None, 0, False), ("x", None, True)]
     model, scores = training.train(spark.createDataFrame(rows, "text string, label int, validation boolean"), (1, 4))
     assert model is not None and max(s for _, s in scores) == 1.0
+
+
+def test_broken_lines_are_refused(spark):
+    from tessera.sources import files
+
+    path = published.workspace(spark, "lines")
+    lines = ['{"id": 1, "line": 1, "answer": "a"}', '{"id": 1, "line": 3, "answer": "c"} {', '{"id": 1, "line": 2, "answer": "b"}', '{"id": 2, "line": 1, "answer": "x"} {"id": 2}', '{"id": 3, "li', "", "[]", "null", '  {"id": 4, "line": 1, "answer": null}  ', '{"line": 5}', '{"id": "text", "line": 1}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    assert sorted(map(tuple, files.recorded(spark, path, "id long, line long, answer string", "id", "line").collect())) == [(1, 2, "b"), (4, 1, None)]
