@@ -75,11 +75,6 @@ def kind(d, s: str) -> str:
     return f"CASE WHEN {yes(fixed.KIND_REFUND)} THEN 'refund' WHEN {yes(fixed.KIND_SUBSCRIPTION)} THEN 'subscription' WHEN {yes(fixed.KIND_BILL)} AND NOT {yes(fixed.KIND_SETTLED)} THEN 'bill' WHEN {yes(fixed.KIND_DEBIT)} THEN 'debit' ELSE 'purchase' END"
 
 
-def gate(d, s: str, n: str) -> str:
-    """Whether money moved: amounts, and more record cues than advert cues."""
-    return f"({n} > 0 AND {d.count(s, fixed.TRANSACTION)} > {d.count(s, fixed.ADVERT)})"
-
-
 def written_day(d, s: str, received: str) -> str:
     """A day as written; without a year the next such day on or after the day of receipt."""
     v = f"replace({s}, ',', '')"
@@ -154,18 +149,19 @@ def redacted_rows(d, source: str, keep: str, column: str) -> str:
 
 
 def gated(d) -> str:
-    """Messages with their text and how many amounts it has."""
-    return f"(SELECT m.*, coalesce(c.amounts, 0) AS amounts FROM {text_of(d)} m LEFT JOIN (SELECT id, count(*) AS amounts FROM {amounts(d, text_of(d))} a GROUP BY id) c ON c.id = m.id)"
+    """id, account, kind, how many amounts a message has and whether money moved: cues are counted where the text is read, so that joins carry ids and numbers alone."""
+    cued = f"(SELECT id, account, {d.count('text', fixed.TRANSACTION)} > {d.count('text', fixed.ADVERT)} AS cued, {kind(d, 'text')} AS kind FROM {text_of(d)} t)"
+    return f"(SELECT m.id, m.account, m.kind, coalesce(c.amounts, 0) AS amounts, coalesce(c.amounts, 0) > 0 AND m.cued AS money FROM {cued} m LEFT JOIN (SELECT id, count(*) AS amounts FROM {amounts(d, text_of(d))} a GROUP BY id) c ON c.id = m.id)"
 
 
 def records(d) -> str:
     """K7: the record of each message with a total."""
     renewal = d.first("text", fixed.RENEWAL, 1)
-    kinds = f"(SELECT *, {kind(d, 'text')} AS kind, {merchant(d, 'sender')} AS merchant, {renewal} AS renewal FROM {text_of(d)} m)"
+    kinds = f"(SELECT id, account, received, {kind(d, 'text')} AS kind, {merchant(d, 'sender')} AS merchant, {renewal} AS renewal, {period(d, 'text')} AS every FROM {text_of(d)} m)"
     sentence = f"substr(trim({d.sub(f'concat({d.first("t.before", "[^.]*$")}, t.said, {d.first("t.after", "^[^.]*")})', chr(92) + 's+', ' ')}), 1, 200)"
     sub = "m.kind = 'subscription'"
     return f"""(SELECT m.id, m.account, m.received, m.kind, t.minor AS amount_minor, t.currency, m.merchant, CASE WHEN {sub} AND m.renewal <> '' THEN {written_day(d, 'm.renewal', 'm.received')} END AS renews_on,
-      CASE WHEN {sub} THEN {period(d, 'm.text')} END AS period, {sentence} AS evidence, m.text FROM {kinds} m JOIN {totals(d, text_of(d))} t ON t.id = m.id)"""
+      CASE WHEN {sub} THEN m.every END AS period, {sentence} AS evidence FROM {kinds} m JOIN {totals(d, text_of(d))} t ON t.id = m.id)"""
 
 
 @query
@@ -184,7 +180,7 @@ def h29_money_display(d):
 @query
 def transaction_gate(d):
     """K2, K4"""
-    return f"SELECT id, {gate(d, 'text', 'amounts')} AS gate, {kind(d, 'text')} AS kind FROM {gated(d)} g"
+    return f"SELECT id, money AS gate, kind FROM {gated(d)} g"
 
 
 @query
@@ -235,10 +231,11 @@ def h26_merchant_category(d):
 @query
 def k8_answer_resolution(d):
     """K8: a recorded answer stands if its tag is one of the amounts, its kind is known and its merchant is in the text; else the rules' record does, if there is one."""
-    answer = "(SELECT id, text, sender, CAST(1 + id % 3 AS BIGINT) AS ref, CASE id % 4 WHEN 0 THEN 'gift' ELSE 'purchase' END AS kind, CASE id % 5 WHEN 0 THEN 'Nobody Ltd' ELSE {m} END AS merchant FROM {t} t)".format(m=merchant(d, "sender"), t=text_of(d))
-    grounded = d.has("lower(concat(a.text, ' ', a.sender))", "lower(a.merchant)")
+    told = "(SELECT id, text, sender, CAST(1 + id % 3 AS BIGINT) AS ref, CASE id % 4 WHEN 0 THEN 'gift' ELSE 'purchase' END AS kind, CASE id % 5 WHEN 0 THEN 'Nobody Ltd' ELSE {m} END AS merchant FROM {t} t)".format(m=merchant(d, "sender"), t=text_of(d))
+    grounded = d.has("lower(concat(text, ' ', sender))", "lower(merchant)")
+    answer = f"(SELECT id, ref, kind, merchant, {grounded} AS grounded FROM {told} x)"
     ok = f"b.id IS NOT NULL AND a.kind IN ({names('purchase subscription refund bill debit'.split())})"
-    return f"""SELECT a.id, CASE WHEN {ok} THEN b.minor ELSE r.amount_minor END AS minor, CASE WHEN {ok} AND {grounded} THEN a.merchant ELSE r.merchant END AS merchant, CASE WHEN {ok} THEN 'answer' WHEN r.id IS NOT NULL THEN 'rules' ELSE 'none' END AS source
+    return f"""SELECT a.id, CASE WHEN {ok} THEN b.minor ELSE r.amount_minor END AS minor, CASE WHEN {ok} AND a.grounded THEN a.merchant ELSE r.merchant END AS merchant, CASE WHEN {ok} THEN 'answer' WHEN r.id IS NOT NULL THEN 'rules' ELSE 'none' END AS source
       FROM {answer} a LEFT JOIN {amounts(d, text_of(d))} b ON b.id = a.id AND b.n = a.ref LEFT JOIN {records(d)} r ON r.id = a.id"""
 
 
@@ -247,8 +244,7 @@ def k10_scan_step(d):
     """Of each account the newest twenty due messages get states: what is no transaction is done with, a recorded failure is tried again after a growing wait until the fourth, an account that is told to wait leaves the rest due."""
     due = f"(SELECT *, id % 4 AS attempts, CASE id % 9 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate_limited' END AS failure, row_number() OVER (PARTITION BY account ORDER BY id DESC) AS k FROM {gated(d)} g WHERE id % 7 <> 3)"
     step = f"(SELECT *, min(CASE WHEN failure = 'rate_limited' THEN k END) OVER (PARTITION BY account) AS stopped FROM {due} q WHERE k <= 20)"
-    is_money = gate(d, "s.text", "s.amounts")
-    state = f"CASE WHEN s.k > s.stopped THEN 'due' WHEN NOT {is_money} THEN 'not_transaction' WHEN s.failure IS NOT NULL AND s.attempts >= 3 THEN 'failed' WHEN s.failure IS NOT NULL THEN 'retry' WHEN r.id IS NULL THEN 'not_transaction' ELSE 'done' END"
+    state = f"CASE WHEN s.k > s.stopped THEN 'due' WHEN NOT s.money THEN 'not_transaction' WHEN s.failure IS NOT NULL AND s.attempts >= 3 THEN 'failed' WHEN s.failure IS NOT NULL THEN 'retry' WHEN r.id IS NULL THEN 'not_transaction' ELSE 'done' END"
     return f"SELECT s.account, s.id, {state} AS status, CASE WHEN {state} = 'retry' THEN CAST(least(300, 5 * power(2, s.attempts)) AS BIGINT) END AS wait, CASE WHEN {state} = 'done' THEN r.amount_minor END AS amount_minor FROM {step} s LEFT JOIN {records(d)} r ON r.id = s.id"
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.dialect import SPARK
 from tessera.sources.published import workspace
 
 COOLDOWN_US = 6 * 3600 * 10**6
@@ -111,16 +112,48 @@ def a1_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, parted(spark, sf_dir).select("event_id", "user_id", "event_type"), unseen, "feed")
 
 
+def arriving(spark: SparkSession, sf_dir: str, table: str, key: str, parts: int = 3) -> DataFrame:
+    """A table as a stream of several batches: parts by hash of the key, and a last one that replays a third of all."""
+    root = workspace(spark, "parts")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    h = F.xxhash64(key)
+    for k in range(parts):
+        rows.where(F.pmod(h, F.lit(parts)) == k).coalesce(1).write.parquet(f"{root}/part={k}")
+    rows.where(F.pmod(h, F.lit(3)) == 0).coalesce(1).write.parquet(f"{root}/part={parts}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/part=*")
+
+
+def stages(batch: DataFrame) -> DataFrame:
+    """A batch of documents through the stages of a cycle, by the same texts as the whole table: risk report, money record, what is to be told."""
+    from tessera.plans.money import records
+    from tessera.plans.signals import l5_risk_report
+
+    batch.createOrReplaceTempView("documents")
+    spark = batch.sparkSession
+    return spark.sql(cycle(SPARK, l5_risk_report(SPARK), records(SPARK)))
+
+
+def cycle(d, risk: str, records: str) -> str:
+    told = "CASE WHEN band = 'high' THEN 'warn' WHEN kind IS NOT NULL THEN 'ledger' ELSE 'none' END"
+    return f"SELECT r.id, r.score, r.band, r.findings, m.kind, m.amount_minor, m.currency, {told} AS told FROM ({risk}) r LEFT JOIN {records} m ON m.id = r.id"
+
+
 def m1_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: each cycle takes its new events, scores them with the batch side's functions, classes them and marks what is to be reminded; per user the sums of all cycles."""
+    """M1: each cycle takes the messages that are new, scores their risk, reads their money and decides what is told; the batches' results are those of the whole table."""
+
+    def step(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        new = batch.dropDuplicates(["doc_id"])
+        new = new if earlier is None else new.join(earlier.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(batch.columns)
+        return stages(new)
+
+    return streamed(spark, arriving(spark, sf_dir, "documents", "doc_id"), step, "cycle")
+
 
-    def cycle(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-        new = unseen(batch, earlier)
-        tokens = F.round("value").cast("long")
-        return new.select("event_id", "user_id", tokens.alias("tokens"), (F.col("event_type") == "error").alias("failed"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("remind"))
+def _whole(d) -> str:
+    from tessera.plans.money import records
+    from tessera.plans.signals import l5_risk_report
 
-    done = streamed(spark, parted(spark, sf_dir), cycle, "cycle")
-    return done.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.count_if("failed").alias("failed"), F.count_if("remind").alias("reminders"))
+    return cycle(d, l5_risk_report(d), records(d))
 
 
 PLANS = {f.__name__: f for f in (cooldown_accept, state_machine_fold, a1_change_feed, m1_micro_batches)}
@@ -136,5 +169,5 @@ ORACLES = {
       SELECT o.user_id, o.event_id, o.n, f.state, o.event_type, CASE WHEN (f.state, o.event_type) IN ({_PAIRS}) THEN o.event_type ELSE f.state END, (f.state, o.event_type) IN ({_PAIRS})
       FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) SELECT user_id, event_id, before, event_type, valid FROM f""",
     "a1_change_feed": lambda d: "SELECT event_id, user_id, event_type FROM events",
-    "m1_micro_batches": lambda d: "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS tokens, count_if(event_type = 'error') AS failed, count_if(value > 50) AS reminders FROM events GROUP BY user_id",
+    "m1_micro_batches": _whole,
 }
