@@ -71,9 +71,22 @@ def i19_bounded_slice(d):
 
 
 def page_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H6, H7: visible text, links and hidden text of pages."""
+    """H6, H7: visible text, links (of each text and target the first, in order) and hidden text of pages: lengths and hashes."""
     e = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mail.page_evidence("html").alias("e"))
-    return e.select("page_id", F.length("e.visible").alias("visible"), F.size("e.links").alias("links"), F.length("e.hidden").alias("hidden"))
+    listed = F.array_join(F.transform("e.links", lambda x: F.concat(x["text"], F.lit(" -> "), x["href"])), "\n")
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    return e.select("page_id", F.length("e.visible").cast("long").alias("visible"), F.size("e.links").cast("long").alias("links"), F.length("e.hidden").cast("long").alias("hidden"), sha(F.col("e.visible")).alias("visible_sha"), sha(listed).alias("links_sha"), sha(F.col("e.hidden")).alias("hidden_sha"))
+
+
+def _pages(d) -> str:
+    """The same of pages whose links hold no tags and that hide nothing but their heads and comments, by patterns."""
+    put = lambda s, pattern, to="''": f"regexp_replace({s}, '{pattern}', {to}, 'g')"
+    plain = lambda s: put(f"replace(replace(replace({s}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))", "&amp;?", "'&'")
+    s = put(put("html", "(?is)<!--.*?-->|<!doctype[^>]*>"), r"(?is)<head\b[^>]*>.*?</head>")
+    s = put(put(s, r"(?i)</?(p|div|br|li|tr|h[1-6]|table|ul|ol|section|article|header|footer|blockquote|pre|hr)\b[^>]*>", "chr(10)"), "(?i)</?[a-z][^>]*>")
+    links = f"list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>'), lambda x: {plain(put('x', '<a href=.([^>]*).>([^<]*)</a>', chr(39) + chr(92) + '2 -> ' + chr(92) + '1' + chr(39)))})"
+    return f"""SELECT page_id, CAST(length(v) AS BIGINT) AS visible, CAST(len(ls) AS BIGINT) AS links, 0::BIGINT AS hidden, sha256(coalesce(v, '')) AS visible_sha, sha256(coalesce(array_to_string(ls, chr(10)), '')) AS links_sha, sha256('') AS hidden_sha FROM (
+      SELECT page_id, {canonical(d, f"nfc_normalize({plain(s)})")} AS v, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:{mail.MOST_LINKS}] AS ls FROM (SELECT page_id, html, {links} AS l FROM pages) a) b"""
 
 
 def a9_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +104,9 @@ def h1_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h21_numbered_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered masks with the way back."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", mail.numbered_mask("text").alias("m")).select("doc_id", F.sha2("m.masked", 256).alias("masked"), "m.restored", "m.n")
+    """Numbered masks of the messages, with their senders' names and the way back."""
+    rows = plan(lambda d: f"SELECT id, body, {display(d, 'sender')} AS name FROM {messages(d)} m")(spark, sf_dir)
+    return rows.select("id", mail.numbered_mask("body", "name").alias("m")).select("id", F.sha2("m.masked", 256).alias("masked"), "m.restored", "m.n")
 
 
 def h15_full_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +118,7 @@ def h15_full_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLANS = {f.__name__: f for f in (page_text_stats, a9_raw_messages, h1_normal_form, h21_numbered_masks, h15_full_skeleton)}
 
 ORACLES = {
+    "page_text_stats": _pages,
     "h15_full_skeleton": lambda d: f"SELECT id, {skeleton(d, display(d, 'sender'))} AS skeleton FROM {messages(d)} m",
     # HTML and broken shapes hold fixed text; the others give the normal form of the body
     "a9_raw_messages": lambda d: f"""SELECT id, shape, trim({d.sub('subject', chr(92) + 's+', ' ')}) AS subject, CASE shape WHEN 1 THEN 'html' WHEN 5 THEN 'none' ELSE 'plain' END AS kind,

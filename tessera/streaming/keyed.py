@@ -18,6 +18,7 @@ task, which holds its state and the rows between the watermark and its last row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import ClassVar
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from tessera.sources.published import workspace
-from tessera.streaming.folds import ALLOWED, COOLDOWN_US, folded
+from tessera.streaming.folds import ALLOWED, COOLDOWN_US, arriving, folded
 
 HOUR, SECOND = 3600 * 10**6, 10**6
 ROWS = "us long, id long, kind string"
@@ -157,13 +158,23 @@ def replay_of_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> Callab
     return fill
 
 
-def ran(spark: SparkSession, sf_dir: str, machine: Machine, parts: int = 4) -> DataFrame:
-    """The events through a machine: half of the parts, a stop, the rest from the checkpoint, then the end of time."""
-    fill, root = replay_of_events(spark, sf_dir, parts), workspace(spark, "keyed")
-    held = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.session.timeZone": "UTC"}
+@contextmanager
+def rocks(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """State on RocksDB, for the streams that are started meanwhile. idle: batches without rows, which event time needs to wake; by the clock they would never end."""
+    held = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.session.timeZone": "UTC", "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
     before = {k: spark.conf.get(k, None) for k in held}
     for k, v in held.items():
         spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def ran(spark: SparkSession, sf_dir: str, machine: Machine, parts: int = 4) -> DataFrame:
+    """The events through a machine: half of the parts, a stop, the rest from the checkpoint, then the end of time."""
+    fill, root = replay_of_events(spark, sf_dir, parts), workspace(spark, "keyed")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
@@ -174,20 +185,39 @@ def ran(spark: SparkSession, sf_dir: str, machine: Machine, parts: int = 4) -> D
         told = kept(stream, machine, "user_id", "event_id", "ts", "event_type", f"{2 * 31 // (parts - 1) + 1} days")
         told.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
 
-    try:
+    with rocks(spark):
         fill(0, parts // 2)
         start(fill(parts // 2, parts // 2))
         fill(parts // 2, parts)
-        end = spark.range(1).select(F.lit(0).cast("long").alias("event_id"), F.lit(0).cast("long").alias("user_id"), F.lit(LAST).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("event_type"))
         start(fill(parts, parts))
+        end = spark.range(1).select(F.lit(0).cast("long").alias("event_id"), F.lit(0).cast("long").alias("user_id"), F.lit(LAST).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("event_type"))
         end.write.parquet(fill(parts, parts).replace("*", "end"))
         start(fill(parts, parts))
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(f"{out_ddl(machine, 'user_id')}, batch int").parquet(f"{root}/out").drop("batch")
 
 
+class Once(StatefulProcessor):
+    """The first row of each key; a key is forgotten after a time (TTL), so that the state doesn't grow without end."""
+
+    def __init__(self, kind: StructType, hours: int) -> None:
+        self.kind, self.hours = kind, hours
+        self.seen_kind = StructType.fromDDL("at long")
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", self.seen_kind, self.hours * 3600 * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min(tuple(r) for r in rows)
+        if not self.seen.exists():
+            self.seen.update((timerValues.getCurrentProcessingTimeInMs(),))
+            yield Row(*self.kind.names)(*first)
+
+
+def once(stream: DataFrame, key: str, hours: int) -> DataFrame:
+    """A stream's rows, each key's first within ``hours`` of being seen; of several rows of a batch the smallest. Columns can't be null but by type."""
+    return stream.groupBy(key).transformWithState(Once(stream.schema, hours), stream.schema, "append", "ProcessingTime")
+
+
 class Cooldown(Machine):
     """M9: a row is taken if COOLDOWN_US have passed since the last that was; else how long it has to wait."""
 
@@ -323,7 +353,20 @@ def m16_heartbeat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ran(spark, sf_dir, Heartbeats())
 
 
-PLANS = {f.__name__: f for f in (m4_dead_letter_stream, m5_stage_stream, m7_snooze_stream, m8_reminder_stream, m9_cooldown_stream, m16_heartbeat_stream)}
+def m3_seen_once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: events that come again (a third of them, in a later batch) are told once, by a state that forgets after thirty days."""
+    root = workspace(spark, "once")
+    stream = arriving(spark, sf_dir, "events", "event_id").where("event_id is not null").select("event_id", "user_id", "event_type")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    with rocks(spark, idle=False):
+        once(stream, "event_id", 30 * 24).writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long, event_type string, batch int").parquet(f"{root}/out").drop("batch")
+
+
+PLANS = {f.__name__: f for f in (m3_seen_once_stream, m4_dead_letter_stream, m5_stage_stream, m7_snooze_stream, m8_reminder_stream, m9_cooldown_stream, m16_heartbeat_stream)}
 
 _ROWS = "SELECT user_id, event_id AS id, event_type AS kind, epoch_us(ts) AS us, row_number() OVER w AS n, lead(epoch_us(ts)) OVER w AS next_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 _NEXT = "FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1"
@@ -332,6 +375,7 @@ _TO = "CASE WHEN {s} = 'open' AND {k} = 'view' THEN 'snoozed' WHEN {s} = 'snooze
 _MORE = "CASE WHEN {k} = 'error' THEN {a} + 1 ELSE 0 END"
 #: A row after the other by recursion, wakings from where a state stood until the next row.
 ORACLES = {
+    "m3_seen_once_stream": lambda d: "SELECT event_id, user_id, event_type FROM events WHERE event_id IS NOT NULL",
     "m9_cooldown_stream": lambda d: f"""WITH RECURSIVE o AS ({_ROWS}), f AS (
       SELECT user_id, n, us, id, us AS last, true AS accepted, 0::BIGINT AS wait FROM o WHERE n = 1 UNION ALL
       SELECT o.user_id, o.n, o.us, o.id, CASE WHEN o.us - f.last >= {COOLDOWN_US} THEN o.us ELSE f.last END, o.us - f.last >= {COOLDOWN_US}, greatest(0, f.last + {COOLDOWN_US} - o.us) {_NEXT}
