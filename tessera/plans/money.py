@@ -12,9 +12,7 @@ from tessera.plans.signals import EMAIL, address, display, domain, names, regist
 
 QUERIES = {}
 MOST, LARGEST = 20, 10_000_000_000
-NUMBER = r"\d{1,3}(?:,\d{2,3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?"
-BEFORE = r"₹|rs\.?|inr|us\$|\$|usd|€|eur|£|gbp"
-AFTER = "inr|rupees|usd|eur|gbp"
+NUMBER, BEFORE, AFTER = fixed.NUMBER, fixed.BEFORE, fixed.AFTER
 TOKEN = rf"(?i)(?:^|[^\pL\pN_.])(?:{BEFORE})\s?\d[\d,.]*|(?:^|[^\pL\pN_.,])\d[\d,.]*\s?(?:{AFTER})\b"
 MONTHS = "january february march april may june july august september october november december".split()
 
@@ -116,35 +114,27 @@ def shown(d, minor: str, currency: str) -> str:
     return f"concat(CASE {currency} WHEN 'INR' THEN '₹' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' ELSE concat({currency}, ' ') END, CASE WHEN {currency} = 'INR' THEN {by(2)} ELSE {by(3)} END, {cents})"
 
 
-#: What a text must have for a mask to look at it, the mask, its tag, and whether its end is looked at too.
-MASKS = (
-    (r"(?i)https?://|www\.", r"(?i)(^|[^\pL\pN_])(?:https?://|www\.)[^\s<>]+", "URL", False),
-    (r"\d", r"(?i)(^|[^\pL\pN_])(?:\$|₹|Rs\.?|INR|USD)\s*\d[\d,]*(?:\.\d+)?", "AMOUNT", False),
-    ("@", r"(?i)(^|[^\pL\pN_.+-])[\pL\pN_.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+([^\pL\pN_.-]|$)", "EMAIL", True),
-    ("@", r"(?i)(^|[^\pL\pN_.+-])[\pL\pN_.+-]+@[a-z0-9_-]+([^\pL\pN_.-]|$)", "UPI_ID", True),
-    (r"[A-Za-z]\d{4}[A-Za-z]", r"(?i)(^|[^\pL\pN_])[A-Z]{5}\d{4}[A-Z]([^\pL\pN_]|$)", "PAN_ID", True),
-    (r"\d[\d ()-]{6,}\d", r"(^|[^\pL\pN_])\+?\d[\d ()-]{6,}\d([^\pL\pN_]|$)", "ACCOUNT_NUM", True),
-)
-
-
-def masked(d, s: str, pattern: str, tag: str, ends: bool) -> str:
-    """A mask whose end is looked at is put twice, as a match takes the character after it."""
-    if not ends:
+def masked(d, s: str, pattern: str, behind: str, tag: str) -> str:
+    """A mask put on a text. One engine looks at what stands behind without taking it; the other's patterns take it, so that it goes over a text twice."""
+    if not behind:
         return d.sub(s, pattern, f"$1[{tag}]")
+    if d.name == "spark":
+        return d.sub(s, f"{pattern}(?![{behind}])", f"$1[{tag}]")
+    pattern = f"{pattern}([^{behind}]|$)"
     return d.sub(d.sub(s, pattern, f"$1[{tag}]$2"), pattern, f"$1[{tag}]$2")
 
 
 def redacted(d, s: str) -> str:
     """H19 of a short text: six masks in order."""
-    for _, pattern, tag, ends in MASKS:
-        s = masked(d, s, pattern, tag, ends)
+    for _, pattern, behind, tag in fixed.MASKS:
+        s = masked(d, s, pattern, behind, tag)
     return s
 
 
 def redacted_rows(d, source: str, keep: str, column: str) -> str:
     """H19 of a table's column, a step a mask, so that a text without a mask's marks is only looked through for them."""
-    for needs, pattern, tag, ends in MASKS:
-        source = f"(SELECT {keep}, CASE WHEN {d.like(column, needs)} THEN {masked(d, column, pattern, tag, ends)} ELSE {column} END AS {column} FROM {source} step_)"
+    for needs, pattern, behind, tag in fixed.MASKS:
+        source = f"(SELECT {keep}, CASE WHEN {d.like(column, needs)} THEN {masked(d, column, pattern, behind, tag)} ELSE {column} END AS {column} FROM {source} step_)"
     return source
 
 
