@@ -181,6 +181,20 @@ def test_tagger_adds_spans_and_redacts(spark, monkeypatch):
     base = [pii.base_spans(t) for t in texts]
     near = pii.added_spans(tagger, texts, base)
     assert near == pii.added_spans(tagger, texts, base, everywhere=True) and sum(map(len, near)) > 5
+    # recall by kind, and false spans, on forms written into texts that training has not seen
+    unseen = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 2000").select("text").limit(300).collect() if r.text]
+    rng, rows = np.random.default_rng(77), []
+    for t in unseen:
+        at = int(rng.integers(0, min(len(t), 1500) + 1))
+        form, kind = pii.written_forms(rng)
+        before = t[max(0, at - 200) : at] + " "
+        rows.append((before + form + " " + t[at : at + 200], kind, len(before), len(before) + len(form)))
+    based = [pii.base_spans(r[0]) for r in rows]
+    added = pii.added_spans(tagger, [r[0] for r in rows], based)
+    found = [a + b for a, b in zip(based, added, strict=True)]
+    hit = {k: [(k, a, b) in got for (_, kind, a, b), got in zip(rows, found, strict=True) if kind == k] for k in pii.KINDS}
+    assert all(sum(h) >= 0.9 * len(h) for h in hit.values()), {k: (sum(h), len(h)) for k, h in hit.items()}
+    assert sum(any(a <= x and y <= b for _, x, y in got) for (_, kind, a, b), got in zip(rows, added, strict=True) if kind is None) <= 2
     redacted = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert redacted[1].text == "mail <EMAIL> now, <IP> too" and redacted[1].n_chars == 26 and redacted[4].n_chars == 16 and redacted[3].text is None
 
