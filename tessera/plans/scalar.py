@@ -60,8 +60,11 @@ def i8_deadline_canonical(d):
 
 @query
 def i11_backoff(d):
-    """I11, B8"""
-    return "SELECT n, CAST(least(300, 5 * power(2, least(greatest(n - 1, 0), 6))) AS BIGINT) AS delay, CAST(least(60, 5 * power(2, least(greatest(n - 1, 0), 6))) AS BIGINT) AS offline FROM (VALUES (0), (1), (2), (3), (6), (7), (8), (40)) AS t(n)"
+    """Of each failure the attempt (failures of the user in a row) and the seconds before the next, online and offline."""
+    runs = "(SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events)"
+    tries = f"(SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, run ORDER BY event_id) AS n FROM {runs} r WHERE event_type = 'error')"
+    wait = lambda most: f"CAST(least({most}, 5 * power(2, least(n - 1, 6))) AS BIGINT)"
+    return f"SELECT user_id, event_id, n AS attempt, {wait(300)} AS delay, {wait(60)} AS offline FROM {tries} t"
 
 
 @query

@@ -225,10 +225,10 @@ def o8_step_shape(d):
 
 @query
 def o10_question_score(d):
-    """Every fact by any of its wordings, no forbidden phrase; of every assistant turn."""
-    facts = "(VALUES (1, 'the'), (1, 'a '), (2, 'is'), (2, 'to'), (2, 'and')) AS f(fact, wording)"
-    rows = f"SELECT t.conv_id, t.turn, f.fact, max(CASE WHEN {d.has('lower(t.text)', 'f.wording')} THEN 1 ELSE 0 END) AS ok, max(CASE WHEN {d.has('lower(t.text)', chr(39) + 'sorry' + chr(39))} THEN 1 ELSE 0 END) AS bad FROM {TURNS} t CROSS JOIN {facts} WHERE t.role = 'assistant' GROUP BY t.conv_id, t.turn, f.fact"
-    return f"SELECT conv_id, turn, min(ok) = 1 AND max(bad) = 0 AS correct FROM ({rows}) q GROUP BY conv_id, turn"
+    """Every fact by any of its wordings, no forbidden phrase; of every assistant turn whose question has facts. A question's facts are the first three longer words of the turn before, each whole or by its first five letters."""
+    facts = d.exploded(f"(SELECT conv_id, turn, lower(text) AS said, {d.cut(d.unique(d.every('lower(before)', '[a-z]{5,}')), 3)} AS ws FROM {TURNS} t WHERE role = 'assistant')", "conv_id, turn, said", "ws", "fact", "at_fact")
+    ok = f"CASE WHEN {d.has('said', 'fact')} OR {d.has('said', 'substr(fact, 1, 5)')} THEN 1 ELSE 0 END"
+    return f"SELECT conv_id, turn, count(*) AS facts, CAST(sum({ok}) AS BIGINT) AS told, min({ok}) = 1 AND NOT bool_or({d.has('said', chr(39) + 'sorry' + chr(39))}) AS correct FROM {facts} f GROUP BY conv_id, turn"
 
 
 @query

@@ -127,9 +127,16 @@ def semantic_topk(d, near):
     return f"SELECT q, id, round(d, 6) AS distance, CAST(rn AS BIGINT) AS rn FROM {near} r WHERE rn <= 5"
 
 
-@planned(lambda s, p: _table(s, p, 3, 2.0, lambda d, i, label, ql: ~np.isnan(label) & (i >= 100)), pairs("label IS NOT NULL AND id >= 100"))
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    current = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").select("doc_id").distinct()
+    valid = rows.where("label is not null").join(current, F.col("vec_id") == F.col("doc_id"), "left_semi")
+    return neighbours(valid, rows.where(f"vec_id % {EVERY} = 0"), 3)
+
+
+@planned(_judged, pairs("label IS NOT NULL AND id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)"))
 def j2_knn_valid(d, near):
-    """Neighbours with labels that are valid and current (ids from 100 on are the newest of their key)."""
+    """Neighbours that have a label, and whose document's own judgement stands in the labels."""
     return f"SELECT q, id, label FROM {near} r WHERE rn <= 3"
 
 
