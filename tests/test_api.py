@@ -65,3 +65,24 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, vectors.neighbours(rows, rows, 4).collect()), key=str) == whole
     assert len(whole) == 60 * 4 and all(a[0] != a[2] for a in whole)
     assert vectors.neighbours(rows, rows.limit(0)).count() == 0 and vectors.neighbours(rows.limit(0), rows).count() == 0
+
+
+def test_history_of_a_message(spark):
+    mails = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "account string, id long")
+    feedback = spark.createDataFrame([("a", 1, k, f"label{k}") for k in range(60)] + [("b", 1, 99, "other")], "account string, id long, number long, label string")
+    attempts = spark.createDataFrame([("a", 2, 1, "classify")], "account string, id long, number long, stage string")
+    got = operators.history(mails, "a", 1, feedback=feedback, attempts=attempts)
+    assert [r.number for r in got["feedback"].collect()] == list(range(59, 9, -1)) and got["attempts"].count() == 0 and got["feedback"].columns == ["number", "label"]
+    with pytest.raises(LookupError):
+        operators.history(mails, "b", 2, feedback=feedback)
+
+
+def test_status_of_accounts(spark):
+    tasks = spark.createDataFrame([("a", "queued", "live"), ("a", "retry", "backlog"), ("a", "dead", "live"), ("b", "complete", None), (None, "queued", "live")], "account string, status string, source string")
+    index = spark.createDataFrame([("a", "pending"), ("c", "indexed"), ("c", None)], "account string, state string")
+    jobs = spark.createDataFrame([("a", k, "down" if k > 3 else None) for k in range(6)] + [("b", 1, "ok")] + [("d", k, "down") for k in range(40)], "account string, number long, code string")
+    got = {r.account: r for r in operators.status(tasks, index, jobs, ["down"]).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"]
+    a, d = got["a"], got["d"]
+    assert (a.tasks, a.active, a.finished, a.active_live, a.active_backlog, a.pending, a.failed_checks, a.retry_seconds) == (3, 2, 1, 1, 1, 1, 2, 10)
+    assert (got["b"].failed_checks, got["b"].retry_seconds, got["c"].indexed, d.failed_checks, d.retry_seconds, d.tasks) == (0, None, 1, 30, 60, 0)
