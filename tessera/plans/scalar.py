@@ -75,10 +75,11 @@ def i19_bounded_slice(d):
 
 def page_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6, H7: visible text, links (of each text and target the first, in order) and hidden text of pages: lengths and hashes."""
-    e = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mail.page_evidence("html").alias("e"))
+    e = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mail.page_evidence("html").alias("e")).select("page_id", "e", F.col("e.visible").alias("seen"))
+    e = e.select("page_id", "e", F.expr(canonical(SPARK, "seen")).alias("visible"))
     listed = F.array_join(F.transform("e.links", lambda x: F.concat(x["text"], F.lit(" -> "), x["href"])), "\n")
     sha = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
-    return e.select("page_id", F.length("e.visible").cast("long").alias("visible"), F.size("e.links").cast("long").alias("links"), F.length("e.hidden").cast("long").alias("hidden"), sha(F.col("e.visible")).alias("visible_sha"), sha(listed).alias("links_sha"), sha(F.col("e.hidden")).alias("hidden_sha"))
+    return e.select("page_id", F.length("visible").cast("long").alias("visible"), F.size("e.links").cast("long").alias("links"), F.length("e.hidden").cast("long").alias("hidden"), sha(F.col("visible")).alias("visible_sha"), sha(listed).alias("links_sha"), sha(F.col("e.hidden")).alias("hidden_sha"))
 
 
 def _pages(d) -> str:
@@ -97,7 +98,8 @@ def a9_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan(lambda d: f"SELECT id, sender, subject, body, id % 6 AS shape FROM {messages(d)} m")(spark, sf_dir)
     raw = mail.raw_message("id", "sender", "subject", "body", "shape")
     parsed = rows.select("id", "shape", mail.parse_message(raw).alias("m"))
-    return parsed.select("id", "shape", "m.subject", "m.kind", F.sha2(F.coalesce("m.body", F.lit("")), 256).alias("body"), "m.warning")
+    parsed = parsed.select("id", "shape", "m.subject", "m.kind", F.col("m.body").alias("raw"), "m.warning")
+    return parsed.select("id", "shape", "subject", "kind", F.sha2(F.coalesce(F.expr(canonical(SPARK, "raw")), F.lit("")), 256).alias("body"), "warning")
 
 
 def h1_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
