@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def brief(stages: Sequence[tuple[str, Callable[[], DataFrame], str]], most: int
     for kind, candidates, fallback in stages:
         try:
             rows = [(r.id, r.line) for r in candidates().limit(most).collect()]
-        except Exception:  # one stage's failure leaves the others
+        except (PySparkException, LookupError, ValueError):  # a stage that can't be read leaves the others
             rows = []
         out += [(kind, k, i, line) for k, (i, line) in enumerate(rows, 1)] or [(kind, 1, None, fallback)]
     return out
