@@ -38,7 +38,7 @@ from tessera.llm.base import WORDS, column_bytes, mapped, per_batch, table, writ
 N = 13
 SHARD = 100_000
 PIECE = 20_000
-AT_ONCE = 8
+AT_ONCE = 2
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
 HITS = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(SPAN)), StructField("items", ArrayType(StringType()))])
