@@ -2,7 +2,7 @@
 
 ``asof``: both sides are dealt by key and a bucket of time. A bucket finds its rows' latest match by one running maximum, and
 where it has none yet, the key's latest of earlier buckets, which comes from one row a bucket. ``within``: the left side is
-dealt to the bins that its interval touches, the right side to its own, and only rows of one key and bin meet. ``sessions``:
+dealt to the bins that its interval touches, the right side to its own, and only rows of one key and bin meet; ``counted`` sums what it would pair without pairing. ``sessions``:
 runs of a bucket are found first, and runs of a key are then joined where they are near; so no task orders all of a key's rows.
 
 Defined cases: rows with a null key or time match nothing (left rows of ``asof`` stay, with nulls; they are in no session);
@@ -12,11 +12,13 @@ each; times are timestamps with or without a zone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.cells import saved
+
 DAY, HOUR, MINUTE = 86_400, 3600, 60
 
 
@@ -54,6 +56,23 @@ def within(left: DataFrame, right: DataFrame, key: str, at_left: str, at_right:
     return a.join(b, (F.col("k") == F.col("rk")) & (F.col("bin") == F.col("rbin"))).where((F.col("rus") <= F.col("us")) & (F.col("rus") >= F.col("us") - back * 10**6)).select("l", "r")
 
 
+def counted(left: DataFrame, right: DataFrame, key: str, at_left: str, at_right: str, back: int, sums: Mapping[str, Column], width: int = DAY) -> DataFrame:
+    """left's columns and, of the right rows that ``within`` would pair with each, the sums of expressions over right (whole numbers): a
+    running sum at the interval's end less one before its beginning, so that no pair is made however dense a key is."""
+    own = saved(left.withColumn("_n", F.monotonically_increasing_id()), "left")
+    ends = F.array(F.struct(micros(F.col(at_left)).alias("us"), F.lit(1).alias("sign")), F.struct((micros(F.col(at_left)) - back * 10**6 - 1).alias("us"), F.lit(-1).alias("sign")))
+    a = own.where(F.col(key).isNotNull() & F.col(at_left).isNotNull()).select(F.col(key).alias("k"), "_n", F.explode(ends).alias("e")).select("k", "_n", "e.us", "e.sign")
+    b = right.where(F.col(key).isNotNull() & F.col(at_right).isNotNull()).select(F.col(key).alias("k"), micros(F.col(at_right)).alias("us"), F.lit(0).alias("sign"), *(c.cast("long").alias(f"s_{n}") for n, c in sums.items()))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("bin", binned(F.col("us"), width))
+    before = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("k", "bin").agg(*(F.sum(f"s_{n}").alias(f"s_{n}") for n in sums)).select("k", "bin", *(F.coalesce(F.sum(f"s_{n}").over(before), F.lit(0)).alias(f"c_{n}") for n in sums))
+    # right rows of one time come first
+    upto = Window.partitionBy("k", "bin").orderBy("us", F.abs("sign")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.select("*", *(F.coalesce(F.sum(f"s_{n}").over(upto), F.lit(0)).alias(f"r_{n}") for n in sums)).where("sign <> 0").join(carried, ["k", "bin"])
+    got = seen.groupBy("_n").agg(*(F.sum(F.col("sign") * (F.col(f"r_{n}") + F.col(f"c_{n}"))).alias(n) for n in sums))
+    return own.join(got, "_n", "left").select(*left.columns, *(F.coalesce(n, F.lit(0)).alias(n) for n in sums))
+
+
 def sessions(rows: DataFrame, key: str, at: str, gap: int, width: int = DAY) -> DataFrame:
     """key, began, ended (microseconds), n: a session ends where the next row of its key is ``gap`` seconds or more away."""
     df = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key), micros(F.col(at)).alias("us")).withColumn("bin", binned(F.col("us"), width))
@@ -86,8 +105,10 @@ def asof_last_click(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_clicks_before_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval join: a client's clicks in the hour up to each sale, by kind."""
-    pairs = within(_table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at"), _clicks(spark, sf_dir), "client_id", "sold_at", "ts", HOUR)
-    return pairs.groupBy(F.col("l.sale_id").alias("sale_id")).agg(F.count(F.lit(1)).alias("clicks"), F.count_if(F.col("r.kind") == "purchase").alias("purchases"))
+    sales = _table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at")
+    sums = {"clicks": F.lit(1), "purchases": F.coalesce((F.col("kind") == "purchase").cast("int"), F.lit(0))}
+    got = counted(sales, _clicks(spark, sf_dir), "client_id", "sold_at", "ts", HOUR, sums)
+    return got.where("clicks > 0").groupBy("sale_id").agg(F.sum("clicks").alias("clicks"), F.sum("purchases").alias("purchases"))
 
 
 def client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

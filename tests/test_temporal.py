@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import sketches, temporal
 
@@ -38,6 +39,16 @@ def test_intervals(spark):
         assert got == sorted((i, j) for i, k, s, _ in left for j, kk, t, _ in right if k is not None and k == kk and s is not None and t is not None and 0 <= s - t <= back)
 
 
+@pytest.mark.parametrize("width", [7, 3600])
+def test_interval_sums_without_pairs(spark, width):
+    left, right = drawn(120, 6) + drawn(3, 7), drawn(150, 8)
+    a, b = seconds(spark, left, "i long, k long, s long, v string"), seconds(spark, right, "j long, k long, s long, w string")
+    got = sorted((r.i, r.n, r.j) for r in temporal.counted(a, b, "k", "t", "t", 30, {"n": F.lit(1), "j": F.col("j")}, width).collect())
+    near = lambda k, s: [j for j, kk, t, _ in right if k is not None and k == kk and s is not None and t is not None and 0 <= s - t <= 30]
+    assert got == sorted((i, len(near(k, s)), sum(near(k, s))) for i, k, s, _ in left)
+    assert temporal.counted(a.limit(0), b, "k", "t", "t", 30, {"n": F.lit(1)}).count() == 0
+
+
 @pytest.mark.parametrize("width", [7, 3600])
 def test_sessions(spark, width):
     rows = drawn(150, 5, 2000)
