@@ -27,6 +27,8 @@ from tessera.plans.vectors import MOST, matrix, thinned
 from tessera.sources.published import workspace
 
 SAMPLE, CENTRES, PART, PROBES = 20_000, 1024, 20_000, 4
+#: Rows a cell: where vectors hardly cluster each query asks nearly all cells, so that few large ones send fewer queries on.
+CELL = 4000
 #: Queries, by smallest hash, on which recall is measured.
 TRIED = 200
 #: More than rounding errors of a distance.
@@ -40,11 +42,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def centred(rows: DataFrame, cells: int | None = None, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Unit centres by k-means on the sample; about the root of the rows, CENTRES at most."""
+    """Unit centres by k-means on the sample: one for CELL rows, or as many as are asked for, CENTRES at most."""
     n = rows.where("embedding is not null").count()
     if not n:
         return np.empty((0, 1))
-    k = min(cells or max(1, round(n**0.5)), CENTRES, n)
+    k = min(cells or max(1, n // CELL), CENTRES, n)
     got = rows.where("embedding is not null").select("embedding", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h").limit(SAMPLE).collect()
     x = matrix(pa.array([list(r.embedding) for r in got], pa.list_(pa.float64())))
     rng = np.random.default_rng(seed)

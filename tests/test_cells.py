@@ -30,7 +30,7 @@ def clustered(n, seed, dims=8):
     return [*rows, (5000, [0.0] * dims, 1, "x"), (5001, None, 1, "x"), (5002, [-1.0] + [0.0] * (dims - 1), None, "x")]
 
 
-@pytest.mark.parametrize(("probes", "count"), [(1, None), (3, 2), (50, 40)])
+@pytest.mark.parametrize(("probes", "count"), [(1, None), (1, 9), (3, 2), (50, 40)])
 def test_exact_by_bounds(spark, probes, count, monkeypatch):
     monkeypatch.setattr(cells, "PART", 17)  # a hot cell in many parts
     rows = clustered(120, 1)
@@ -55,6 +55,8 @@ def test_recall_of_tuned_probes(spark, sf):
     queries = rows.where("vec_id % 20 = 0")
     want = {(r.q, r.id) for r in vectors.neighbours(rows, queries).collect()}
     assert {(r.q, r.id) for r in cells.neighbours(rows, queries).collect()} == want
-    probes = cells.probes_for(rows)
-    got = {(r.q, r.id) for r in cells.neighbours(rows, queries, probes=probes, exact=False).collect()}
+    many = round(rows.count() ** 0.5)
+    probes = cells.probes_for(rows, cells=many)
+    got = {(r.q, r.id) for r in cells.neighbours(rows, queries, probes=probes, exact=False, cells=many).collect()}
+    assert probes < many
     assert len(got & want) / len(want) >= 0.9
