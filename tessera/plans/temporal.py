@@ -104,11 +104,12 @@ def asof_last_click(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_clicks_before_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval join: a client's clicks in the hour up to each sale, by kind."""
+    """Interval join: a client's clicks in the hour up to each sale, by kind; of a sale whose clicks have no kind it isn't known how many were purchases."""
     sales = _table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at")
-    sums = {"clicks": F.lit(1), "purchases": F.coalesce((F.col("kind") == "purchase").cast("int"), F.lit(0))}
+    sums = {"clicks": F.lit(1), "kinds": F.col("kind").isNotNull().cast("int"), "purchases": F.coalesce((F.col("kind") == "purchase").cast("int"), F.lit(0))}
     got = counted(sales, _clicks(spark, sf_dir), "client_id", "sold_at", "ts", HOUR, sums)
-    return got.where("clicks > 0").groupBy("sale_id").agg(F.sum("clicks").alias("clicks"), F.sum("purchases").alias("purchases"))
+    known = F.when(F.col("kinds") > 0, F.col("purchases"))
+    return got.where("clicks > 0").groupBy("sale_id").agg(F.sum("clicks").alias("clicks"), F.sum(known).alias("purchases"))
 
 
 def client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
