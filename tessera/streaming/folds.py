@@ -97,14 +97,19 @@ def parted(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(5):
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == k).write.parquet(f"{root}/part={k}")
     events.where("event_id % 3 = 0").write.parquet(f"{root}/part=5")
-    kind = events.schema
-    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{root}/part=*")
+    return by_parts(spark, root, events)
+
+
+def by_parts(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Written parts as a stream that takes as many files a batch as the first part has: as many batches as parts, however many tasks write and read one."""
+    files = len(spark.read.parquet(f"{root}/part=0").inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/part=*")
 
 
 def unseen(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-    """The rows of a batch whose event no earlier batch wrote, each once."""
+    """The rows of a batch whose event no earlier batch wrote, each once; the earlier ones grow without end, so both sides are dealt by id and neither passes the driver."""
     new = batch.dropDuplicates(["event_id"])
-    return new if earlier is None else new.join(earlier.select("event_id"), "event_id", "left_anti").select(batch.columns)
+    return new if earlier is None else new.join(earlier.select("event_id").hint("merge"), "event_id", "left_anti").select(batch.columns)
 
 
 def a1_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +123,9 @@ def arriving(spark: SparkSession, sf_dir: str, table: str, key: str, parts: int
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     h = F.xxhash64(key)
     for k in range(parts):
-        rows.where(F.pmod(h, F.lit(parts)) == k).coalesce(1).write.parquet(f"{root}/part={k}")
-    rows.where(F.pmod(h, F.lit(3)) == 0).coalesce(1).write.parquet(f"{root}/part={parts}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/part=*")
+        rows.where(F.pmod(h, F.lit(parts)) == k).write.parquet(f"{root}/part={k}")
+    rows.where(F.pmod(h, F.lit(3)) == 0).write.parquet(f"{root}/part={parts}")
+    return by_parts(spark, root, rows)
 
 
 def stages(batch: DataFrame) -> DataFrame:
@@ -143,7 +148,7 @@ def m1_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def step(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
         new = batch.dropDuplicates(["doc_id"])
-        new = new if earlier is None else new.join(earlier.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(batch.columns)
+        new = new if earlier is None else new.join(earlier.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti").select(batch.columns)
         return stages(new)
 
     return streamed(spark, arriving(spark, sf_dir, "documents", "doc_id"), step, "cycle")
