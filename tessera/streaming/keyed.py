@@ -196,26 +196,11 @@ def ran(spark: SparkSession, sf_dir: str, machine: Machine, parts: int = 4) -> D
     return spark.read.schema(f"{out_ddl(machine, 'user_id')}, batch int").parquet(f"{root}/out").drop("batch")
 
 
-class Once(StatefulProcessor):
-    """The first row of each key; a key is forgotten after a time (TTL), so that the state doesn't grow without end."""
-
-    def __init__(self, kind: StructType, hours: int) -> None:
-        self.kind, self.hours = kind, hours
-        self.seen_kind = StructType.fromDDL("at long")
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", self.seen_kind, self.hours * 3600 * 1000)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = min(tuple(r) for r in rows)
-        if not self.seen.exists():
-            self.seen.update((timerValues.getCurrentProcessingTimeInMs(),))
-            yield Row(*self.kind.names)(*first)
-
-
 def once(stream: DataFrame, key: str, hours: int) -> DataFrame:
-    """A stream's rows, each key's first within ``hours`` of being seen; of several rows of a batch the smallest. Columns can't be null but by type."""
-    return stream.groupBy(key).transformWithState(Once(stream.schema, hours), stream.schema, "append", "ProcessingTime")
+    """A stream's rows, each key's first within ``hours`` of its coming, by the engine's own state (a key and when it is forgotten), so that no row goes
+    through Python; of rows of one batch that share a key but differ, one."""
+    come = stream.withColumn("come_", F.current_timestamp()).withWatermark("come_", f"{hours} hours")
+    return come.dropDuplicatesWithinWatermark([key]).drop("come_")
 
 
 class Cooldown(Machine):
