@@ -1,9 +1,10 @@
 """Keyed state with timers: state machines over a stream's keys, in event time, on the RocksDB state store.
 
 A ``Machine`` is plain: its state (a tuple), what a row does to it, when it wants to be woken, and what waking does. ``kept``
-runs it as ``transformWithState``: rows that come out of order wait in a list state until the watermark has passed them, then
+runs it as ``transformWithStateInPandas``: rows that come out of order wait in a list state until the watermark has passed them, then
 rows and wakings are handled in the order of their times (a row before a waking of the same time, rows of one time by id), so
-that the result is that of the sorted rows however they arrive. One event-time timer a key stands at what comes next.
+that the result is that of the sorted rows however they arrive. State is kept by buckets of keys, and one event-time timer a
+bucket stands at what comes next in it.
 ``replayed`` runs the same machine over a whole table in one sorted pass, for backfills.
 
 ``m4_`` to ``m16_`` feed the events table as a stream whose rows come late by up to a slice of its time, stop it halfway, and
@@ -21,18 +22,21 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import ClassVar
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tessera.sources.published import workspace
 from tessera.streaming.folds import ALLOWED, COOLDOWN_US, arriving, folded
 
 HOUR, SECOND = 3600 * 10**6, 10**6
 ROWS = "us long, id long, kind string"
-#: The end of time: a mark that lets every waking come.
-LAST = "9999-01-01"
+#: Rows of the table for each file of a slice, and for each bucket of keys.
+FILE_ROWS, BUCKET_ROWS = 500_000, 10_000
+#: The clock's range, which is that of pandas: later times stand at its end. A mark at the end lets every row and waking come: once the watermark is at FAR.
+FIRST, LAST, FAR = "1678-01-01", "2262-01-01", 9183110400 * SECOND
 
 
 class Machine:
@@ -69,60 +73,91 @@ def advanced(machine: Machine, state: tuple, rows: list[tuple], upto: int) -> tu
     return woken(state, upto + 1), told
 
 
+def lists(ddl: str) -> StructType:
+    """A list for each column."""
+    return StructType([StructField(f.name, ArrayType(f.dataType)) for f in StructType.fromDDL(ddl)])
+
+
+def plain(x):
+    """Rows and lists as tuples."""
+    return tuple(map(plain, x)) if isinstance(x, list | tuple) else x
+
+
 class Ordered(StatefulProcessor):
-    """transformWithState's side of a machine: a value state, a list state of rows that wait, one timer."""
+    """transformWithState's side of a machine, for a bucket of keys at a time, since each value of state is a turn between the engine and Python: the
+    states of the bucket's keys as one value of lists, a value of lists for each batch of rows that wait, one timer at what comes next."""
 
     def __init__(self, machine: Machine, key: str) -> None:
         self.machine, self.key = machine, key
-        self.kinds = StructType.fromDDL(machine.state), StructType.fromDDL(ROWS)
-        self.told = Row(*StructType.fromDDL(out_ddl(machine, key)).names)
+        self.kinds = lists(f"key long, {machine.state}"), lists(f"key long, {ROWS}")
+        self.names = StructType.fromDDL(out_ddl(machine, key)).names
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("state", self.kinds[0])
+        self.states = handle.getValueState("states", self.kinds[0])
         self.waiting = handle.getListState("waiting", self.kinds[1])
         self.handled: set = set()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r["us"], r["id"], r["kind"]) for r in rows if r["kind"] is not None]
-        if new:
-            self.waiting.appendList([Row(us=a, id=b, kind=c) for a, b, c in new])
-            self._timer(min(new)[0])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            columns = [part[c].tolist() for c in ("key", "us", "id", "kind", "lacks")]
+            new = [(None if lacks & 1 else k, us, None if lacks & 2 else i, kind) for k, us, i, kind, lacks in zip(*columns, strict=True) if kind is not None]
+            if new:
+                self.waiting.appendList([tuple(map(list, zip(*new, strict=True)))])
+                self._timer(min(r[1] for r in new))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if tuple(key) in self.handled:  # the first of a key's timers does all there is to do
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if tuple(key) in self.handled:  # the first of a bucket's timers does all there is to do
             return
         self.handled.add(tuple(key))
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((r[0], r[1], r[2]) for r in self.waiting.get())
-        ready, later = [r for r in held if r[0] <= upto], [r for r in held if r[0] > upto]
-        before = tuple(self.value.get()) if self.value.exists() else self.machine.first
-        state, told = advanced(self.machine, before, ready, upto)
-        if state != before:
-            self.value.update(state)
+        upto = upto if upto < FAR else 1 << 62
+        held = self.states.get() if self.states.exists() else None
+        states = {k: plain(state) for k, *state in zip(*held, strict=True)} if held else {}
+        ready: dict = {}
+        later = []
+        for part in self.waiting.get():
+            for row in zip(*part, strict=True):
+                if row[1] <= upto:
+                    ready.setdefault(row[0], []).append(row[1:])
+                else:
+                    later.append(row)
+        due = [k for k, state in states.items() if k not in ready and (at := self.machine.due(state)) is not None and at <= upto]
+        outs = []
+        for k in [*ready, *due]:
+            states[k], told = advanced(self.machine, states.get(k, self.machine.first), sorted(ready.get(k, ())), upto)
+            outs.extend((k, *out) for out in told)
+        if ready or due:
+            self.states.update(tuple(map(list, zip(*((k, *state) for k, state in states.items()), strict=True))))
         if ready and later:
-            self.waiting.put([Row(us=a, id=b, kind=c) for a, b, c in later])
+            self.waiting.put([tuple(map(list, zip(*later, strict=True)))])
         elif ready:
             self.waiting.clear()
-        after = [x for x in (later[0][0] if later else None, self.machine.due(state)) if x is not None]
+        after = [r[1] for r in later] + [at for state in states.values() if (at := self.machine.due(state)) is not None]
         if after:
             self._timer(min(after))
-        for out in told:
-            yield self.told(*key, *out)
+        if outs:
+            yield pd.DataFrame(outs, columns=self.names, dtype=object)  # objects, as numbers with nulls would become floats
 
     def _timer(self, us: int) -> None:
-        self.handle.registerTimer(-(-us // 1000))
+        self.handle.registerTimer(-(-min(us, FAR) // 1000))
 
 
 def out_ddl(machine: Machine, key: str) -> str:
     return f"{key} long, us long, id long, {machine.out}"
 
 
-def kept(stream: DataFrame, machine: Machine, key: str, id_: str, time: str, kind: str, delay: str) -> DataFrame:
-    """A stream (key: long, id_, time, kind) through a machine; rows of null kind only move the clock."""
-    rows = stream.where(F.col(time).isNotNull()).select(F.col(key), F.col(time).cast("timestamp").alias("at"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"), F.col(id_).alias("id"), F.col(kind).alias("kind"))
-    return rows.withWatermark("at", delay).groupBy(key).transformWithState(Ordered(machine, key), StructType.fromDDL(out_ddl(machine, key)), "append", "EventTime")
+def kept(stream: DataFrame, machine: Machine, key: str, id_: str, time: str, kind: str, delay: str, buckets: int = 256) -> DataFrame:
+    """A stream (key: long, id_, time, kind) through a machine; rows of null kind only move the clock. A bucket's keys and waiting rows are in memory
+    together: buckets should grow with them, and stay what they are for a checkpoint. delay: less than a year."""
+    at, first, last = F.col(time).cast("timestamp"), F.lit(FIRST).cast("timestamp"), F.lit(LAST).cast("timestamp")
+    lacks = F.col(key).isNull().cast("int") + F.col(id_).isNull().cast("int") * 2
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))  # noqa: E731  pandas has no null in numbers: lacks tells which are
+    rows = stream.where(F.col(time).isNotNull()).select(
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), known(key).alias("key"), F.greatest(first, F.least(last, at)).alias("at"), F.unix_micros(at).alias("us"), known(id_).alias("id"), F.col(kind).alias("kind"), lacks.alias("lacks")
+    )
+    return rows.withWatermark("at", delay).groupBy("bucket").transformWithStateInPandas(Ordered(machine, key), StructType.fromDDL(out_ddl(machine, key)), "append", "EventTime")
 
 
 def replayed(df: DataFrame, machine: Machine, key: str, id_: str, time: str, kind: str) -> DataFrame:
@@ -149,12 +184,15 @@ def replay_of_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> Callab
     late = (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).cast("int")
     events.join(F.broadcast(ends)).withColumn("part", F.coalesce(slice_, F.lit(0)) + late).drop("lo", "hi").write.partitionBy("part").parquet(f"{root}/all")
 
+    n = events.count()
+
     def fill(start: int, end: int) -> str:
         for k in range(start, end):
-            spark.read.parquet(f"{root}/all").where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{root}/come/part={k}")
+            spark.read.parquet(f"{root}/all").where(F.col("part") == k).drop("part").repartition(fill.files).write.parquet(f"{root}/come/part={k}")
         return f"{root}/come/part=*"
 
-    fill.kind = events.schema
+    # a slice is a file for each FILE_ROWS of the table's, and a bucket has BUCKET_ROWS, so that no task grows with the table
+    fill.kind, fill.files, fill.buckets = events.schema, 1 + n // FILE_ROWS, 256 + n // BUCKET_ROWS
     return fill
 
 
@@ -180,9 +218,9 @@ def ran(spark: SparkSession, sf_dir: str, machine: Machine, parts: int = 4) -> D
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     def start(at: str) -> None:
-        stream = spark.readStream.schema(fill.kind).option("maxFilesPerTrigger", 1).parquet(at)
+        stream = spark.readStream.schema(fill.kind).option("maxFilesPerTrigger", fill.files).parquet(at)
         # slices are as wide as the delay, and rows come a slice late at most
-        told = kept(stream, machine, "user_id", "event_id", "ts", "event_type", f"{2 * 31 // (parts - 1) + 1} days")
+        told = kept(stream, machine, "user_id", "event_id", "ts", "event_type", f"{2 * 31 // (parts - 1) + 1} days", fill.buckets)
         told.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
 
     with rocks(spark):
