@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.cells import saved
 from tessera.sources.published import workspace
+from tessera.streaming.folds import unseen
 
 TRIES = 3
 
@@ -40,11 +41,8 @@ class Outbox:
         before = self.outcomes(number - 1) if number else None
         again = before.where("status = 'retry'").drop("status") if before is not None else None
         if new is not None:
-            rows = new.where(F.col(self.key).isNotNull()).dropDuplicates([self.key])
-            if number:
-                earlier = self.spark.read.option("basePath", f"{self.root}/claims").parquet(f"{self.root}/claims").where(F.col("round") < number).select(self.key).distinct()
-                rows = rows.join(earlier, self.key, "left_anti").select(rows.columns)
-            rows = rows.withColumn("attempt", F.lit(1))
+            earlier = self.spark.read.option("basePath", f"{self.root}/claims").parquet(f"{self.root}/claims").where(F.col("round") < number) if number else None
+            rows = unseen(new.where(F.col(self.key).isNotNull()), earlier, self.key).withColumn("attempt", F.lit(1))
             again = rows if again is None else rows.unionByName(again.withColumn("attempt", F.col("attempt") + 1))
         else:
             again = again.withColumn("attempt", F.col("attempt") + 1)

@@ -106,10 +106,10 @@ def by_parts(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/part=*")
 
 
-def unseen(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-    """The rows of a batch whose event no earlier batch wrote, each once; the earlier ones grow without end, so both sides are dealt by id and neither passes the driver."""
-    new = batch.dropDuplicates(["event_id"])
-    return new if earlier is None else new.join(earlier.select("event_id").hint("merge"), "event_id", "left_anti").select(batch.columns)
+def unseen(batch: DataFrame, earlier: DataFrame | None, key: str = "event_id") -> DataFrame:
+    """The rows of a batch whose key no earlier batch wrote, each once; the earlier ones grow without end, so both sides are dealt by key and neither passes the driver."""
+    new = batch.dropDuplicates([key])
+    return new if earlier is None else new.join(earlier.select(key).hint("merge"), key, "left_anti").select(batch.columns)
 
 
 def a1_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
